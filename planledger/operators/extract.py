@@ -33,7 +33,7 @@ def extract_calls(corpus: DataFrame, method_names: Sequence[str] = QUERY_METHODS
     inner = plain % r"(?!)"
     for _ in range(12):
         inner = plain % (r"\(" + inner + r"\)")
-    call = rf"(?:\b\w+\s*\.\s*)?+\b(?:{names})\s*\({inner}\)"
+    call = rf"(?:\b\w+(?:\(\))?\s*\.\s*)*+\b(?:{names})\s*\({inner}\)"
     # Splitting at the calls gives the text before each one; its length is the call's offset.
     found = (
         corpus.withColumn("_calls", F.regexp_extract_all("content", F.lit(call), F.lit(0)))

@@ -244,12 +244,9 @@ def seq_scans(nodes: DataFrame) -> DataFrame:
 
     The root must have an actual time. A scan without a time gives no row.
     """
-    near = nodes.filter("depth <= 1 and actual_total_time is not null and (depth = 0 or node_type = 'Seq Scan')")
-    times = F.collect_list(F.when(F.col("node_type") == "Seq Scan", F.col("actual_total_time")))
-    timed = near.groupBy("plan_id").agg(
-        F.max(F.col("depth") == 0).alias("_timed"), times.alias("_times")
-    ).filter("_timed")
-    return timed.select("plan_id", F.explode_outer("_times").alias("score")).filter("score is not null")
+    timed = nodes.filter("depth = 0 and actual_total_time is not null").select("plan_id")
+    scans = nodes.filter("depth <= 1 and node_type = 'Seq Scan' and actual_total_time is not null")
+    return scans.join(timed, "plan_id", "left_semi").select("plan_id", F.col("actual_total_time").alias("score"))
 
 
 def root_metrics(plans: DataFrame, metrics: Sequence[str] = ("total_cost", "startup_cost", "total_runtime", "execution_time")) -> DataFrame:
