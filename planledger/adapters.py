@@ -143,7 +143,7 @@ def flat_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).selectExpr("plan_id", "n.*")
     lines = table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey plan_id",
-        "concat(if(l_linenumber <= 4, '000000.', '000000.999999.'), l_linenumber, '.', lpad(l_partkey, 12, '0'), '.', lpad(l_suppkey, 12, '0')) path",
+        "concat(if(l_linenumber <= 4, '000000.', '000000.999999.'), l_linenumber, '.', lpad(l_partkey, 12, '0'), '.', lpad(l_suppkey, 12, '0'), '.', lpad(cast(l_quantity as bigint), 6, '0')) path",
         "if(l_linenumber <= 4, 1, 2) depth",
         f"{_NODE_TYPE} node_type",
         "concat('t', l_partkey % 8) relation_name",
@@ -216,7 +216,7 @@ def pg_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.selectExpr("*", f"to_json({child}) _child", f"to_json({other}) _other").selectExpr("*", f"to_json({root}) _root")
     inner = F.expr("replace(_root, concat('\"Plans\":', to_json(array(_child, _other))), concat('\"Plans\":[', _child, ',', _other, ']'))")
     return rows.select(
-        F.expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)").alias("plan_id"),
+        F.expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint))").alias("plan_id"),
         F.col("l_partkey").alias("stmt_id"),
         F.when(F.col("l_partkey") % 50 == 49, F.lit("{bad")).otherwise(
             F.concat(F.lit('[{"Plan":'), inner, F.lit(',"Planning Time":0.5,"Execution Time":'), F.floor(F.col("l_extendedprice") / 1000).cast("string"), F.lit("}]"))
@@ -247,7 +247,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey stmt_id",
         "l_linenumber db_ord",
-        "struct(l_linenumber, l_partkey, l_suppkey) try_ord",
+        "struct(l_linenumber, l_partkey, l_suppkey, l_quantity) try_ord",
         "l_partkey part",
         "l_returnflag = 'R' ok",
         "case concat(l_returnflag, l_linestatus) when 'AO' then 'errorMissingColumn' when 'AF' then 'parserOpenTable' "

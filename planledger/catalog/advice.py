@@ -151,7 +151,7 @@ QUERIES = {
         query_scores,
         _F
         + """, sites as (select o_orderkey // 10 as stmt_id, max((o_orderkey // 10 % 90 + 1, 'f' || (o_custkey % 50) || '.java')) as s from orders group by 1)
-        select plan_id, metric, score, stmt_id, 'from ' || stmt_id as original_query, 'select ' || stmt_id as explained_query, s[2] as path, s[1] as begin_line
+        select plan_id, metric, score, stmt_id, 'from ' || stmt_id as original_query, 'select ' || stmt_id as explained_query, s[2] as path, s[1]::int as begin_line
         from scores join plan using (plan_id) join sites using (stmt_id) where metric <> 'startup_cost'""",
     ),
     "i5_credit_predicates": (credit_predicates, _C + "select stmt_id, table_name, expr, metric, count(*) as credits from credits group by 1, 2, 3, 4"),

@@ -183,14 +183,14 @@ QUERIES = {
         page_calls,
         """with c as (select page_id, html, regexp_extract(html, 'track\\([^)]*\\)') as call_text from pages)
            select 'pages/' || page_id as path, 0 as call_ord, regexp_extract(call_text, '\\((.*)\\)', 1) as argument, call_text,
-             length(head) - length(replace(head, chr(10), '')) + 1 as begin_line, instr(html, call_text) - coalesce(last_break, 0) as begin_col,
-             length(head) - length(replace(head, chr(10), '')) + 1 as end_line, instr(html, call_text) - coalesce(last_break, 0) + length(call_text) - 1 as end_col
+             (length(head) - length(replace(head, chr(10), '')) + 1)::int as begin_line, (instr(html, call_text) - coalesce(last_break, 0))::int as begin_col,
+             (length(head) - length(replace(head, chr(10), '')) + 1)::int as end_line, (instr(html, call_text) - coalesce(last_break, 0) + length(call_text) - 1)::int as end_col
            from (select *, substr(html, 1, instr(html, call_text) - 1) as head, length(substr(html, 1, instr(html, call_text) - 1)) - coalesce(nullif(instr(reverse(substr(html, 1, instr(html, call_text) - 1)), chr(10)), 0) - 1, length(substr(html, 1, instr(html, call_text) - 1))) as last_break
              from c where call_text <> '')""",
     ),
     "b1_service_calls": (
         service_calls,
-        _SERVICE + "select class_name, call_ord, begin_line, begin_col, end_line, begin_col + length(call_text) - 1 as end_col, call_text from svc",
+        _SERVICE + "select class_name, call_ord, begin_line, begin_col, end_line, (begin_col + length(call_text) - 1)::int as end_col, call_text from svc",
     ),
     "b2_fold_concat": (fold_concat, _SERVICE + "select class_name, call_ord, folded as query_text from svc"),
     "b3_classify_static_dynamic": (classify, _SERVICE + "select class_name, call_ord, is_dynamic, query_text from svc"),
@@ -202,7 +202,7 @@ QUERIES = {
     "b5_assemble_appends": (
         assemble_appends,
         """with w as (select *, max(case when role = 'user' then turn end) over (partition by conv_id order by turn rows unbounded preceding) as init_turn from conversations)
-           select u.conv_id, u.turn * 2 + 1 as use_at, u.init_turn * 2 as init_at, count(*) as fragments, string_agg(p.text, '' order by p.turn) as query_text
+           select u.conv_id, u.turn * 2 + 1 as use_at, u.init_turn * 2 as init_at, count(*)::int as fragments, string_agg(p.text, '' order by p.turn) as query_text
            from w u join w p on p.conv_id = u.conv_id and p.init_turn = u.init_turn and p.turn <= u.turn where u.role = 'assistant' group by 1, 2, 3""",
     ),
     "b6_assignments_union": (

@@ -91,6 +91,6 @@ QUERIES = {
         "with "
         + sqlparts.FLAT
         + """, t as (select plan_id, path, unnest(regexp_extract_all(condition, '''(tag-[0-9]+)''', 1)) as sentinel, generate_subscripts(regexp_extract_all(condition, '''(tag-[0-9]+)''', 1), 1) - 1 as match_ord from nodes where condition is not null)
-        select plan_id, path, match_ord, sentinel, 'c' || (cast(substr(sentinel, 5) as bigint) % 10) as expr, cast(cast(substr(sentinel, 5) as bigint) % 10 <> 3 as int) as eligible_index from t""",
+        select plan_id, path, match_ord::int as match_ord, sentinel, 'c' || (cast(substr(sentinel, 5) as bigint) % 10) as expr, cast(cast(substr(sentinel, 5) as bigint) % 10 <> 3 as int) as eligible_index from t""",
     ),
 }

@@ -73,7 +73,7 @@ nodes as (
   from orders
   union all select o_orderkey, '000000.999999', 1, 'Hash', null, null, null, null from orders
   union all
-  select l_orderkey, (case when l_linenumber <= 4 then '000000.' else '000000.999999.' end) || l_linenumber || '.' || lpad(cast(l_partkey as varchar), 12, '0') || '.' || lpad(cast(l_suppkey as varchar), 12, '0'),
+  select l_orderkey, (case when l_linenumber <= 4 then '000000.' else '000000.999999.' end) || l_linenumber || '.' || lpad(cast(l_partkey as varchar), 12, '0') || '.' || lpad(cast(l_suppkey as varchar), 12, '0') || '.' || lpad(cast(cast(l_quantity as bigint) as varchar), 6, '0'),
     case when l_linenumber <= 4 then 1 else 2 end, {_NODE_TYPE}, 't' || (l_partkey % 8), case when l_suppkey % 13 <> 0 then l_extendedprice end, l_quantity,
     case l_returnflag || l_linestatus
       when 'RO' then '(c' || (l_suppkey % 5) || ' = ''tag-' || (l_orderkey // 10 * 10 + l_suppkey % 5) || ''')'
@@ -129,14 +129,14 @@ candidates as (
   select table_name, expr, count(*) as hits, 1 + sum(case when sd > 0 and score > mean + sd then ((score - mean) / sd) * ((score - mean) / sd) else 0 end) as multiplier
   from credits join own_stats using (metric) group by table_name, expr),
 ranked as (select *, cast(floor(hits * multiplier) as bigint) as priority from candidates),
-sites as (select o_orderkey // 10 as stmt_id, 'f' || (o_custkey % 50) || '.java' as path, o_orderkey // 10 % 90 + 1 as begin_line, 5 as begin_col, o_orderkey // 10 % 90 + 1 as end_line, 60 as end_col from orders)
+sites as (select o_orderkey // 10 as stmt_id, 'f' || (o_custkey % 50) || '.java' as path, (o_orderkey // 10 % 90 + 1)::int as begin_line, 5 as begin_col, (o_orderkey // 10 % 90 + 1)::int as end_line, 60 as end_col from orders)
 """
     )
 
 
 # The plan documents, as nodes.
 DOCUMENTS = f"""
-li as (select *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as plan_id, {_NODE_TYPE} as nt from lineitem),
+li as (select *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(l_quantity as bigint) as plan_id, {_NODE_TYPE} as nt from lineitem),
 good as (select * from li where l_partkey % 50 <> 49),
 nodes as (
   select plan_id, l_partkey as stmt_id, '000000' as path, cast(null as varchar) as parent_path, 0 as depth, 0 as node_ord, case when l_linenumber % 2 = 0 then 'Nested Loop' else nt end as node_type,

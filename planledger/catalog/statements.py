@@ -125,11 +125,11 @@ _W, _P = "with " + sqlparts.CALLS, "with " + sqlparts.PREDICATES
 QUERIES = {
     "b7_call_site_lookup": (
         call_site_lookup,
-        _W + "select s.stmt_id, c.path, c.call_ord, c.call_ord % 500 + 1 as begin_line, length(c.query_text) + 9 as end_col from calls c join stmts s on s.query_text = c.query_text where not s.is_dynamic",
+        _W + "select s.stmt_id, c.path, c.call_ord, (c.call_ord % 500 + 1)::int as begin_line, (length(c.query_text) + 9)::int as end_col from calls c join stmts s on s.query_text = c.query_text where not s.is_dynamic",
     ),
     "b7_last_call_site": (
         last_call_site,
-        _W + "select path, query_text, max(call_ord) as call_ord, max(call_ord) % 500 + 1 as begin_line, 9 as begin_col, length(query_text) + 9 as end_col from calls group by path, query_text",
+        _W + "select path, query_text, max(call_ord) as call_ord, (max(call_ord) % 500 + 1)::int as begin_line, 9 as begin_col, (length(query_text) + 9)::int as end_col from calls group by path, query_text",
     ),
     "c1_clean_for_parse": (
         clean_for_parse,

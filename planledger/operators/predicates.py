@@ -28,17 +28,18 @@ def _unwrap(masked: Column) -> Column:
         (rf"\b({_KEYWORDS}|in|any|all|some|exists)\(", "$1 ("),
     )
     no_brackets = r"[^()]*+"
+    not_query = r"(?! ?(?:select|with)\b)"
     for _ in range(NESTING):
         out = text.replace_all(
             out,
             (rf"\( ?(?:select|with)\b{no_brackets}\)", NOTHING),
             (rf"(?<=\w)\(({no_brackets})\)", f"{ARG_OPEN}$1{ARG_CLOSE}"),
-            (rf"\b(in|any|all|some) \(({no_brackets})\)", f"$1 {ARG_OPEN}$2{ARG_CLOSE}"),
+            (rf"\b(in|any|all|some) \({not_query}({no_brackets})\)", f"$1 {ARG_OPEN}$2{ARG_CLOSE}"),
             (
-                r"\(((?:(?!\b(?:and|or|like|ilike|in|is|between|exists)\b)[^()=<>])*+)\)",
+                rf"\({not_query}((?:(?!\b(?:and|or|like|ilike|in|is|between|exists)\b)[^()=<>])*+)\)",
                 f"{ARG_OPEN}$1{ARG_CLOSE}",
             ),
-            (rf"\(({no_brackets})\)", f"{GROUP_OPEN}$1{GROUP_CLOSE}"),
+            (rf"\({not_query}({no_brackets})\)", f"{GROUP_OPEN}$1{GROUP_CLOSE}"),
         )
     return text.replace_all(out, (r"\bbetween\b((?:(?!\band\b).)*?)\band\b", f"between$1{RANGE_AND}"))
 
