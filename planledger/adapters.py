@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.scale import spread_scan
 from .sources.corpus import with_class_names
 from .sources.tables import table
 
 
 def workload_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call sites: one per event, the query template chosen by the user."""
-    e = table(spark, sf_dir, "events").select(
+    e = spread_scan(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("call_ord"),
         F.col("event_type").alias("t"),
         F.col("user_id").alias("u"),
@@ -74,7 +75,7 @@ def entity_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         '  @Embedded\n  private Part', p_partkey div 5 * 5 + 4, ' dims;\n',
         '  public int getSize() { return size; }\n}\n')"""
     )
-    files = table(spark, sf_dir, "part").select(
+    files = spread_scan(table(spark, sf_dir, "part")).select(
         F.expr("concat('/ws/shop/src/main/java/shop/p', p_size, '/Part', p_partkey, '.java')").alias("path"),
         content.alias("content"),
     )
@@ -91,7 +92,7 @@ def service_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         '    this.em.createNativeQuery("select c.id from Customer c where c.name = \\\\"" + name + "\\\\"", Cust.class);\n  }\n',
         '  void c() {\n    run(manager.createQuery("select x from T_', o_orderstatus, ' x where f(x.a, \\')\\') = :p").list());\n  }\n}\n')"""
     )
-    files = table(spark, sf_dir, "orders").select(
+    files = spread_scan(table(spark, sf_dir, "orders")).select(
         F.concat(F.lit("svc/Svc"), F.col("o_orderkey").cast("string"), F.lit(".java")).alias("path"), content.alias("content")
     )
     return with_class_names(files.withColumn("size", F.octet_length("content")))
@@ -190,37 +191,46 @@ def flat_call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _json_node(**fields: str) -> str:
+    """SQL for a JSON object; a null member is left out."""
+    return "concat('{', concat_ws(',', " + ", ".join(f"concat('\"{k.replace('_', ' ')}\":', {v})" for k, v in fields.items()) + "), '}')"
+
+
+def _quoted(sql: str) -> str:
+    return f"concat('\"', {sql}, '\"')"
+
+
 def pg_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PostgreSQL plan documents: one per line item, three or four nodes, some unreadable."""
-    node = (
-        "named_struct('Node Type', {type}, 'Relation Name', {rel}, 'Startup Cost', {start}, 'Total Cost', {cost}, 'Plan Rows', {rows}, "
-        "'Filter', {filter}, 'Recheck Cond', {recheck}, 'Index Cond', {index}, 'Actual Total Time', {time}, 'Sort Key', {sort}, 'Plans', {plans})"
+
+    def tag(column: str, when: str = "true") -> str:
+        return f"if({when}, concat('\"(c', {column}, ' = \\'tag-', l_partkey * 10 + {column}, '\\')\"'), null)"
+
+    grand = _json_node(
+        Node_Type=_quoted("'Seq Scan'"), Relation_Name=_quoted("concat('g', l_partkey % 8)"), Total_Cost="l_extendedprice",
+        Actual_Total_Time="l_quantity * 3", Recheck_Cond=tag("l_linenumber % 5"),
+    )
+    child = _json_node(
+        Node_Type=_quoted("if(l_suppkey % 3 = 0, 'Seq Scan', 'Index Scan')"), Relation_Name=_quoted("concat('s', l_suppkey % 8)"),
+        Total_Cost="floor(l_extendedprice / 2)", Plan_Rows="l_suppkey * 1000000000", Actual_Total_Time="l_quantity + l_suppkey % 7",
+        Filter=tag("l_suppkey % 5", "l_suppkey % 2 = 0"), Plans=f"if(l_linenumber >= 4, concat('[', {grand}, ']'), null)",
+    )
+    other = _json_node(
+        Node_Type=_quoted("'Index Scan'"), Relation_Name=_quoted("'idx'"), Total_Cost="floor(l_extendedprice / 4)",
+        Actual_Total_Time="l_quantity * 2", Index_Cond=_quoted("'(d = 1)'"),
     )
-    null = "cast(null as string)"
-    tag = "concat('(c', {j}, ' = \\'tag-', l_partkey * 10 + {j}, '\\')')"
-    base = dict(rel=null, start="cast(null as double)", rows="cast(null as bigint)", filter=null, recheck=null, index=null,
-                sort="cast(null as array<string>)", plans=null)
-    grand = node.format(**{**base, "type": "'Seq Scan'", "rel": "concat('g', l_partkey % 8)", "cost": "l_extendedprice",
-                           "time": "l_quantity * 3", "recheck": tag.format(j="l_linenumber % 5")})
-    child = node.format(**{**base, "type": "if(l_suppkey % 3 = 0, 'Seq Scan', 'Index Scan')", "rel": "concat('s', l_suppkey % 8)",
-                           "cost": "cast(floor(l_extendedprice / 2) as double)", "time": "l_quantity + l_suppkey % 7", "rows": "l_suppkey * 1000000000",
-                           "filter": f"if(l_suppkey % 2 = 0, {tag.format(j='l_suppkey % 5')}, null)",
-                           "plans": f"if(l_linenumber >= 4, array({grand}), null)"})
-    other = node.format(**{**base, "type": "'Index Scan'", "rel": "'idx'", "cost": "cast(floor(l_extendedprice / 4) as double)",
-                           "time": "l_quantity * 2", "index": "'(d = 1)'"})
-    root = node.format(**{**base, "type": f"if(l_linenumber % 2 = 0, 'Nested Loop', {_NODE_TYPE})", "rel": "if(l_linenumber % 2 = 0, null, concat('r', l_partkey % 8))",
-                          "start": "cast(l_suppkey % 10 as double)", "cost": "l_extendedprice", "time": "if(l_suppkey % 17 = 0, null, l_quantity)",
-                          "filter": f"if(l_linenumber % 2 = 1, {tag.format(j='l_partkey % 5')}, null)", "sort": "array('a', l_returnflag)", "plans": "array(_child, _other)"})
-    lines = table(spark, sf_dir, "lineitem")
-    # Children are rendered first: structs of one array must have one type.
-    rows = lines.selectExpr("*", f"to_json({child}) _child", f"to_json({other}) _other").selectExpr("*", f"to_json({root}) _root")
-    inner = F.expr("replace(_root, concat('\"Plans\":', to_json(array(_child, _other))), concat('\"Plans\":[', _child, ',', _other, ']'))")
-    return rows.select(
-        F.expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint))").alias("plan_id"),
-        F.col("l_partkey").alias("stmt_id"),
-        F.when(F.col("l_partkey") % 50 == 49, F.lit("{bad")).otherwise(
-            F.concat(F.lit('[{"Plan":'), inner, F.lit(',"Planning Time":0.5,"Execution Time":'), F.floor(F.col("l_extendedprice") / 1000).cast("string"), F.lit("}]"))
-        ).alias("json"),
+    root = _json_node(
+        Node_Type=_quoted(f"if(l_linenumber % 2 = 0, 'Nested Loop', {_NODE_TYPE})"),
+        Relation_Name=_quoted("if(l_linenumber % 2 = 0, null, concat('r', l_partkey % 8))"), Startup_Cost="l_suppkey % 10",
+        Total_Cost="l_extendedprice", Actual_Total_Time="if(l_suppkey % 17 = 0, null, l_quantity)",
+        Filter=tag("l_partkey % 5", "l_linenumber % 2 = 1"), Sort_Key="concat('[\"a\",\"', l_returnflag, '\"]')",
+        Plans=f"concat('[', {child}, ',', {other}, ']')",
+    )
+    document = f"""concat('[{{"Plan":', {root}, ',"Planning Time":0.5,"Execution Time":', floor(l_extendedprice / 1000), '}}]')"""
+    return spread_scan(table(spark, sf_dir, "lineitem")).selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint)) plan_id",
+        "l_partkey stmt_id",
+        f"if(l_partkey % 50 = 49, '{{bad', {document}) json",
     )
 
 
@@ -257,7 +267,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parameter_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements with parameters: one per order, four templates."""
-    return table(spark, sf_dir, "orders").selectExpr(
+    return spread_scan(table(spark, sf_dir, "orders")).selectExpr(
         "o_orderkey stmt_id",
         """case o_orderkey % 4
         when 0 then concat('select o from orders o where o.cust = :c and o.status like :s and o.note = ', "'it''s :x ", o_custkey, "'")

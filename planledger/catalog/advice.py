@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import adapters
 from ..plans import advisor, nodes, scoring
-from ..session import written
 from ..sources.plans import read_pg_plans
 from . import sqlparts
 
@@ -68,11 +67,7 @@ def recommend(spark, sf):
 def recommend_from_documents(spark, sf):
     """The same advice from JSON plan documents: everything per plan is computed inside its row."""
     plans = read_pg_plans(adapters.pg_documents(spark, sf), "json").drop("json")
-    picked = written(nodes.document_picks(plans), "document-picks")
-    scans = picked.select("plan_id", F.explode_outer("seq_scan_times").alias("score")).filter("score is not null")
-    scores = scoring.score_rows(nodes.root_metrics(picked), scans)
-    out, _, _ = advisor.advise(scores, picked, adapters.document_predicates(spark, sf), threshold=50)
-    return out
+    return advisor.advise_documents(nodes.document_picks(plans), adapters.document_predicates(spark, sf), threshold=50)[0]
 
 
 def affected(spark, sf):
@@ -90,7 +85,7 @@ def affected_queries(spark, sf):
 def _file_report(spark, sf):
     sites = adapters.flat_call_sites(spark, sf)
     paths = sites.filter(F.col("path").isin("f1.java", "f2.java")).select("path").distinct()
-    return advisor.file_report(_scores(spark, sf), _picks(spark, sf), adapters.flat_predicates(spark, sf), sites, paths, threshold=0, keep=True)
+    return advisor.file_report(_scores(spark, sf), _picks(spark, sf), adapters.flat_predicates(spark, sf), sites, paths, threshold=0)
 
 
 def file_report(spark, sf):

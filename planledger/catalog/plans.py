@@ -42,7 +42,7 @@ def read_mysql(spark, sf):
 
 
 def plan_nodes(spark, sf):
-    typed = nodes.plan_nodes(nodes.flatten_plan(_documents(spark, sf)))
+    typed = nodes.plan_nodes(_documents(spark, sf))
     return typed.select(
         "plan_id", "node_ord", "node_type", "relation_name", "startup_cost", "total_cost", "plan_rows", "actual_total_time", "filter", "recheck_cond",
         "index_cond", F.array_join("sort_key", ",").alias("sort_key"), "heap_fetches",

@@ -33,6 +33,16 @@ def join_hot(
     )
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Deals the rows of a scan with too few splits out to all cores; else returns it as it is.
+
+    For work that costs far more than the rows weigh (parsing documents, matching text). On a
+    large table the scan has more splits than there are cores and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
+
+
 def last_before(
     df: DataFrame, keys: Sequence[str], position: str, value: Column, name: str, block: int = 1024
 ) -> DataFrame:
@@ -57,42 +67,41 @@ def last_before(
     )
 
 
-def nth_largest(df: DataFrame, group: str, value: str, ranks: dict, brackets: int = 256) -> dict:
+def nth_largest(df: DataFrame, group: str, value: str, ranks: dict, accuracy: int = 10000) -> dict:
     """The ``ranks[g]``-th largest ``value`` of each group, values distinct within a group.
 
-    A rank window would sort each group in one task. Here approximate quantiles
-    cut each group into brackets, exact counts say which bracket holds the rank,
-    and only that bracket is sorted. What reaches the driver is at most
-    ``brackets`` + 1 numbers per group.
+    A rank window would sort each group in one task. Here an approximate quantile gives a
+    narrow range around the rank, exact counts confirm that the rank lies in it, and only that
+    range is sorted. Were a range ever to miss, it is opened to the whole group. The driver
+    sees a few numbers per group; the number of groups must be small. ``df`` is read four
+    times, so it should be a written table.
     """
-    marks = [i / brackets for i in range(1, brackets)]
-    cuts = {
-        r[group]: sorted(set(r["cuts"]))
-        for r in df.groupBy(group).agg(F.percentile_approx(value, marks, 10000).alias("cuts")).collect()
-    }
-    bracket = F.lit(None).cast("int")
-    for g, edges in cuts.items():
-        edges_col = F.array(*[F.lit(e) for e in edges])
-        at = F.size(F.filter(edges_col, lambda e: e < F.col(value)))
-        bracket = F.when(F.col(group) == F.lit(g), at).otherwise(bracket)
-    cut = df.withColumn("_bracket", bracket)
-    counts: dict = {}
-    for r in cut.groupBy(group, "_bracket").count().collect():
-        counts.setdefault(r[group], {})[r["_bracket"]] = r["count"]
-    wanted, left = F.lit(False), {}
-    for g, per in counts.items():
-        rest = min(ranks[g], sum(per.values()))
-        for b in sorted(per, reverse=True):
-            if rest <= per[b]:
-                wanted = wanted | ((F.col(group) == F.lit(g)) & (F.col("_bracket") == b))
-                left[g] = rest
-                break
-            rest -= per[b]
-    if not left:
+    of = {g: F.when(F.col(group) == F.lit(g), F.col(value)) for g in ranks}
+    sizes = df.agg(*[F.count(of[g]).alias(str(i)) for i, g in enumerate(ranks)]).first()
+    wanted = {g: min(ranks[g], sizes[i]) for i, g in enumerate(ranks) if sizes[i] > 0}
+    if not wanted:
         return {}
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(value)))
-    target = F.lit(None).cast("int")
-    for g, rest in left.items():
+    margin = 3 / accuracy
+    marks = {}
+    for i, g in enumerate(ranks):
+        if g in wanted:
+            place = 1 - wanted[g] / sizes[i]
+            marks[g] = [max(0.0, place - margin), min(1.0, place + margin)]
+    ends = df.agg(*[F.percentile_approx(of[g], marks[g], accuracy).alias(str(i)) for i, g in enumerate(wanted)]).first()
+    ranges = {g: ends[i] for i, g in enumerate(wanted)}
+    exact = df.agg(
+        *[F.count(F.when(of[g] > F.lit(ranges[g][1]), 1)).alias(f"above{i}") for i, g in enumerate(wanted)],
+        *[F.count(F.when(of[g].between(*map(F.lit, ranges[g])), 1)).alias(f"within{i}") for i, g in enumerate(wanted)],
+    ).first()
+    inside, target = F.lit(False), F.lit(None).cast("bigint")
+    for i, g in enumerate(wanted):
+        above, within = exact[f"above{i}"], exact[f"within{i}"]
+        if above < wanted[g] <= above + within:
+            part, rest = of[g].between(*map(F.lit, ranges[g])), wanted[g] - above
+        else:
+            part, rest = of[g].isNotNull(), wanted[g]
+        inside = inside | F.coalesce(part, F.lit(False))
         target = F.when(F.col(group) == F.lit(g), F.lit(rest)).otherwise(target)
-    hits = cut.filter(wanted).withColumn("_place", place).filter(F.col("_place") == target)
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(value)))
+    hits = df.filter(inside).withColumn("_place", place).filter(F.col("_place") == target)
     return {r[group]: r[value] for r in hits.select(group, value).collect()}

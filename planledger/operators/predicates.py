@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.text import ARG_CLOSE, ARG_OPEN, GROUP_CLOSE, GROUP_OPEN, NOTHING, RANGE_AND
 
-NESTING = 8  # bracket levels unwrapped; deeper statements are listed by deep_statements()
-
 _KEYWORDS = "and|or|not|where|on|between|having|when|then|else|by|select|from|set"
 _BARE_COLUMN = r"^[a-z_][\w$]*(?:\.[a-z_][\w$]*)*$"
 _VALUE = rf"^(?:{text.LIT_OPEN}[0-9]+{text.LIT_CLOSE}|[-+]?[0-9][0-9.]*|:\w+|\?[0-9]*|true|false)$"
@@ -18,20 +16,25 @@ _TAIL = r"\b(?:group\s+by|order\s+by|having|limit|offset|for\s+update)\b.*$"
 _SET_OPERATION = r"\b(?:union(?:\s+all)?|intersect(?:\s+all)?|except(?:\s+all)?|minus)\b"
 
 
-def _unwrap(masked: Column) -> Column:
-    """Text in which brackets are marks: arguments, groups, and subqueries reduced to one mark."""
-    out = text.replace_all(
+def _even(masked: Column) -> Column:
+    """Masked text with single blanks, CASE reduced to a mark, and no blank between a function and its bracket."""
+    return text.replace_all(
         masked,
         (r"\s+", " "),
         (r"\bcase\b(?:(?!\bcase\b|\bend\b).)*+\bend\b", NOTHING),
         (rf"\b((?!(?:{_KEYWORDS}|in|any|all|some|exists)\b)[a-z_][\w.$]*) \(", "$1("),
         (rf"\b({_KEYWORDS}|in|any|all|some|exists)\(", "$1 ("),
     )
+
+
+def _unwrap(even: Column) -> Column:
+    """Text in which brackets are marks: arguments, groups, and subqueries reduced to one mark."""
     no_brackets = r"[^()]*+"
     not_query = r"(?! ?(?:select|with)\b)"
-    for _ in range(NESTING):
-        out = text.replace_all(
-            out,
+
+    def innermost(col: Column) -> Column:
+        return text.replace_all(
+            col,
             (rf"\( ?(?:select|with)\b{no_brackets}\)", NOTHING),
             (rf"(?<=\w)\(({no_brackets})\)", f"{ARG_OPEN}$1{ARG_CLOSE}"),
             (rf"\b(in|any|all|some) \({not_query}({no_brackets})\)", f"$1 {ARG_OPEN}$2{ARG_CLOSE}"),
@@ -41,6 +44,10 @@ def _unwrap(masked: Column) -> Column:
             ),
             (rf"\({not_query}({no_brackets})\)", f"{GROUP_OPEN}$1{GROUP_CLOSE}"),
         )
+
+    # Inside out, one level per round; there are at most as many levels as opening brackets.
+    rounds = F.sequence(F.lit(0), _chars(even, "("))
+    out = F.aggregate(rounds, even, lambda acc, _: F.when(F.contains(acc, F.lit("(")), innermost(acc)).otherwise(acc))
     return text.replace_all(out, (r"\bbetween\b((?:(?!\band\b).)*?)\band\b", f"between$1{RANGE_AND}"))
 
 
@@ -69,7 +76,8 @@ def extract_predicates(statements: DataFrame, col: str = "query_text") -> DataFr
     step = (
         statements.withColumn("_text", F.lower(col))
         .withColumn("_literals", text.string_literals(F.col("_text")))
-        .withColumn("_open", _unwrap(text.mask_literals(F.col("_text"))))
+        .withColumn("_even", _even(text.mask_literals(F.col("_text"))))
+        .withColumn("_open", _unwrap(F.col("_even")))
         .withColumn("_branches", F.split("_open", _SET_OPERATION))
     )
     step = step.select(
@@ -115,6 +123,7 @@ def extract_predicates(statements: DataFrame, col: str = "query_text") -> DataFr
         )
         .withColumn("_right", F.when(F.col("_compared"), F.regexp_extract("_piece", _COMPARE, 3)))
     )
+    step = step.withColumn("_left_name", _column_name(F.col("_left"))).withColumn("_right_name", _column_name(F.col("_right")))
     ranked = F.col("_compared") & ~F.col("op").contains("like") & (F.col("_depth") == 0)
     left_value, right_value = F.col("_left").rlike(_VALUE), F.col("_right").rlike(_VALUE)
     has_param = F.concat("_left", F.lit(" "), "_right").rlike(rf"{text.LIT_OPEN}|(?<![\w.:])(?:[0-9]|:\w|\?)")
@@ -125,8 +134,8 @@ def extract_predicates(statements: DataFrame, col: str = "query_text") -> DataFr
         *statements.columns,
         F.col("branch").cast("int").alias("branch"),
         F.col("pred_ord").cast("int").alias("pred_ord"),
-        _ranked_column(F.col("_left"), ranked).alias("left_column"),
-        _ranked_column(F.col("_right"), ranked).alias("right_column"),
+        _ranked_column(F.col("_left_name"), ranked).alias("left_column"),
+        _ranked_column(F.col("_right_name"), ranked).alias("right_column"),
         "op",
         _readable(F.col("_left"), F.col("_literals")).alias("left_side"),
         _readable(F.col("_right"), F.col("_literals")).alias("right_side"),
@@ -137,17 +146,22 @@ def extract_predicates(statements: DataFrame, col: str = "query_text") -> DataFr
     )
 
 
-def _ranked_column(side: Column, ranked: Column) -> Column:
-    """The bare column of one side of a ranked comparison; a cast counts as its column."""
+def _column_name(side: Column) -> Column:
+    """One side of a comparison; a cast stands for its column."""
     inner = F.regexp_extract(side, rf"^cast{ARG_OPEN}\s*([a-z_][\w.$]*)\s+as\b[^{ARG_CLOSE}]*{ARG_CLOSE}", 1)
-    name = F.when(inner != "", inner).otherwise(side)
+    return F.coalesce(F.nullif(inner, F.lit("")), side)
+
+
+def _ranked_column(name: Column, ranked: Column) -> Column:
+    """The bare column of one side of a ranked comparison."""
     bare = name.rlike(_BARE_COLUMN) & ~name.isin("true", "false", "null")
     return F.when(ranked & bare, F.substring_index(name, ".", -1))
 
 
-def deep_statements(statements: DataFrame, col: str = "query_text") -> DataFrame:
-    """Statements whose brackets are nested deeper than :data:`NESTING` or do not pair up."""
-    return statements.filter(_unwrap(text.mask_literals(F.lower(col))).rlike(r"[()]"))
+def unpaired_statements(statements: DataFrame, col: str = "query_text") -> DataFrame:
+    """Statements whose brackets do not pair up."""
+    marked = statements.withColumn("_even", _even(text.mask_literals(F.lower(col))))
+    return marked.filter(_unwrap(F.col("_even")).rlike(r"[()]")).drop("_even")
 
 
 def first_table(statements: DataFrame, entity_tables: DataFrame, col: str = "query_text") -> DataFrame:

@@ -40,7 +40,7 @@ def dedupe(call_sites: DataFrame, order: str = "call_ord") -> DataFrame:
             "occurrences",
             F.col("_last.path").alias("owner_path"),
         )
-        .withColumn("kind", text.statement_kind(text.clean_query(F.col("query_text"))))
+        .withColumn("kind", text.statement_kind(F.col("query_text")))
     )
 
 

@@ -13,22 +13,44 @@ from .scoring import METRIC_ORDER, metric_order, score_stats
 PRIORITY_THRESHOLD = 50
 
 
+def _with_picks(ranked: DataFrame) -> DataFrame:
+    """Two rows per row: its plan's costliest and slowest pick; picks without condition are left out."""
+    both = F.array(
+        F.struct(F.lit("costliest").alias("pick_kind"), F.lit(0).alias("pick_ord"), F.col("costliest").alias("what")),
+        F.struct(F.lit("slowest").alias("pick_kind"), F.lit(1).alias("pick_ord"), F.col("slowest").alias("what")),
+    )
+    useful = F.filter(both, lambda p: p["what"]["condition"].isNotNull() & p["what"]["table_name"].isNotNull())
+    return ranked.withColumn("_p", F.explode_outer(useful)).filter("_p is not null").select(
+        "plan_id", "stmt_id", "metric", "score", "metric_ord", "_p.pick_kind", "_p.pick_ord", "_p.what.table_name", "_p.what.condition"
+    )
+
+
 def picks(scores: DataFrame, plan_picks: DataFrame) -> DataFrame:
     """One row per score and pick that has a condition, with its place in the visiting order.
 
     ``plan_picks``: plan_id, stmt_id, costliest, slowest. The order is metric, falling score,
     plan, costliest before slowest.
     """
-    both = F.array(
-        F.struct(F.lit("costliest").alias("pick_kind"), F.lit(0).alias("pick_ord"), F.col("costliest").alias("what")),
-        F.struct(F.lit("slowest").alias("pick_kind"), F.lit(1).alias("pick_ord"), F.col("slowest").alias("what")),
-    )
-    useful = plan_picks.select("plan_id", "stmt_id", F.explode(both).alias("_p")).select(
-        "plan_id", "stmt_id", "_p.pick_kind", "_p.pick_ord", "_p.what.table_name", "_p.what.condition"
-    )
-    useful = useful.filter("condition is not null and table_name is not null")
     ranked = scores.withColumn("metric_ord", metric_order()).filter("metric_ord is not null")
-    return ranked.join(useful, "plan_id")
+    return _with_picks(ranked.join(plan_picks.select("plan_id", "stmt_id", "costliest", "slowest"), "plan_id"))
+
+
+def document_scores(picked: DataFrame) -> DataFrame:
+    """(all columns of ``picked``, metric, score) for rows of ``document_picks``: no join, no shuffle."""
+    measures = F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("score"))
+        for m in ("total_cost", "startup_cost", "total_runtime", "execution_time")
+        if m in picked.columns
+    ])
+    scans = F.transform("seq_scan_times", lambda t: F.struct(F.lit("sequence_scan").alias("metric"), t.alias("score")))
+    every = F.concat(measures, scans) if "seq_scan_times" in picked.columns else measures
+    every = F.coalesce(every, measures)
+    return picked.withColumn("_m", F.explode_outer(every)).select(*picked.columns, "_m.metric", "_m.score").filter("score is not null")
+
+
+def document_pick_rows(scored: DataFrame) -> DataFrame:
+    """:func:`picks` for the rows of :func:`document_scores`, inside each row."""
+    return _with_picks(scored.withColumn("metric_ord", metric_order()).filter("metric_ord is not null"))
 
 
 def credit(pick_rows: DataFrame, predicates: DataFrame) -> DataFrame:
@@ -36,29 +58,34 @@ def credit(pick_rows: DataFrame, predicates: DataFrame) -> DataFrame:
 
     The first pick of a statement that matches an eligible predicate credits every predicate
     it matches; each later pick of the statement credits the last of those again. Expressed as
-    a minimum per statement plus two joins, so a statement with very many picks is never
-    sorted or gathered in one task.
+    a minimum per statement between two joins, both spread over salts, so a statement with
+    very many picks is never sorted or gathered in one task. ``pick_rows`` is read twice.
     """
     visit = F.struct("metric_ord", (-F.col("score")).alias("neg_score"), "plan_id", "pick_ord")
     rows = pick_rows.withColumn("visit", visit)
-    tokens = rows.select(
-        "stmt_id", "visit", "table_name", F.posexplode_outer(condition_tokens(F.col("condition"))).alias("match_ord", "sentinel")
-    ).filter("sentinel is not null")
-    known = sentinel_lookup(predicates).filter("eligible_index").drop("eligible_index")
-    matches = join_hot(tokens, known, ["stmt_id", "sentinel"], ["visit"])
-    # The first matching pick of a statement, with the predicates it matched: at most one per predicate.
-    first = matches.groupBy("stmt_id").agg(F.min("visit").alias("first_visit"))
-    opening = (
-        join_hot(matches, first, ["stmt_id"], ["visit"])
-        .filter(F.col("visit") == F.col("first_visit"))
-        .groupBy("stmt_id", "first_visit", "table_name")
-        .agg(F.sort_array(F.collect_set(F.struct("match_ord", "pred_ord", "expr"))).alias("matched"))
+    # One row per statement; its map is as small as the statement's WHERE clause.
+    entry = F.struct("sentinel", F.struct("pred_ord", "expr").alias("p"))
+    known = (
+        sentinel_lookup(predicates)
+        .filter("eligible_index")
+        .groupBy("stmt_id")
+        .agg(F.map_from_entries(F.collect_list(entry)).alias("known"))
+    )
+    found = F.filter(
+        F.transform(condition_tokens(F.col("condition")), lambda t: F.try_element_at("known", t)), lambda p: p.isNotNull()
+    )
+    matched = join_hot(rows, known, ["stmt_id"], ["visit"]).select("stmt_id", "visit", "table_name", found.alias("matched"))
+    first = (
+        matched.groupBy("stmt_id")
+        .agg(F.min(F.when(F.size("matched") > 0, F.struct("visit", "table_name", "matched"))).alias("_first"))
+        .filter("_first is not null")
+        .select("stmt_id", F.col("_first.visit").alias("first_visit"), "_first.table_name", "_first.matched")
     )
     credited = F.when(F.col("visit") == F.col("first_visit"), F.col("matched")).otherwise(
         F.slice("matched", F.size("matched"), F.lit(1))
     )
     return (
-        join_hot(rows.drop("table_name"), opening, ["stmt_id"], ["visit"])
+        join_hot(rows.drop("table_name", "condition"), first, ["stmt_id"], ["visit"])
         .filter(F.col("visit") >= F.col("first_visit"))
         .select("stmt_id", "plan_id", "metric", "score", "pick_kind", "table_name", F.explode(credited).alias("_c"))
         .withColumn("expr", F.col("_c.expr"))
@@ -114,24 +141,43 @@ def affected_queries(statements: DataFrame, credits: DataFrame, recommendations:
 def advise(scores: DataFrame, plan_picks: DataFrame, predicates: DataFrame, threshold: int = PRIORITY_THRESHOLD, keep: bool = True):
     """The whole report: (recommendations, credits, stats).
 
-    ``keep`` writes the pick rows once to the shared folder, since three joins read them.
+    ``keep`` writes the pick rows once to the shared folder, since two joins read them.
     """
-    stats = score_stats(scores)
     rows = picks(scores, plan_picks)
-    rows = written(rows, "picks") if keep else rows
-    credits = credit(rows, predicates)
+    return _report(written(rows, "picks") if keep else rows, score_stats(scores), predicates, threshold)
+
+
+def advise_documents(picked: DataFrame, predicates: DataFrame, threshold: int = PRIORITY_THRESHOLD, keep: bool = True):
+    """:func:`advise` for the rows of ``document_picks``: scores and picks meet without a join.
+
+    ``keep`` writes the scored rows once, so that each document is parsed a single time.
+    """
+    scored = document_scores(picked)
+    scored = written(scored.select("plan_id", "stmt_id", "metric", "score", "costliest", "slowest"), "scored") if keep else scored
+    return _report(document_pick_rows(scored), score_stats(scored), predicates, threshold)
+
+
+def _report(pick_rows: DataFrame, stats: DataFrame, predicates: DataFrame, threshold: int):
+    credits = credit(pick_rows, predicates)
     return recommend(index_candidates(credits, stats), threshold), credits, stats
 
 
-def file_report(scores, plan_picks, predicates, call_sites, paths, threshold: int = PRIORITY_THRESHOLD, keep: bool = False):
-    """The report for chosen files only: ``paths`` has one column, path.
+def file_report(
+    scores: DataFrame,
+    plan_picks: DataFrame,
+    predicates: DataFrame,
+    call_sites: DataFrame,
+    paths: DataFrame,
+    threshold: int = PRIORITY_THRESHOLD,
+    keep: bool = True,
+):
+    """The report for chosen files only, as (recommendations, affected places, stats); ``paths`` has one column, path.
 
     Plans and scores are cut to the statements called in those files before anything is
     counted, so means and priorities are those of the chosen files.
     """
     chosen = call_sites.join(paths.select("path").distinct(), "path", "left_semi")
-    wanted = chosen.select("stmt_id").distinct()
-    own_picks = plan_picks.join(wanted, "stmt_id", "left_semi")
+    own_picks = plan_picks.join(chosen.select("stmt_id").distinct(), "stmt_id", "left_semi")
     own_scores = scores.join(own_picks.select("plan_id").distinct(), "plan_id", "left_semi")
     recommendations, credits, stats = advise(own_scores, own_picks, predicates, threshold, keep)
     return recommendations, affected(recommendations, credits, chosen), stats

@@ -69,29 +69,45 @@ def node_field(node: Column, name: str) -> Column:
     return F.try_variant_get(node, f'$["{json}"]', kind)
 
 
-def tree(plan: Column, levels: Column) -> Column:
-    """All nodes of a plan, in pre-order: array of (path, depth, node).
+def _numbered(path: Column, i: Column) -> Column:
+    return F.concat(path, F.lit("."), F.lpad(i.cast("string"), 6, "0"))
 
-    A fold over the levels of the tree; ``levels`` is any upper bound of its depth, so no
-    plan is cut. Paths are zero-padded child numbers, hence their text order is pre-order.
+
+def _by_path(nodes: Column) -> Column:
+    """Nodes in the order of their paths; sorts (path, place), so only plain text is compared."""
+    places = F.array_sort(F.transform(nodes, lambda n, i: F.struct(n["path"].alias("path"), i.alias("i"))))
+    return F.transform(places, lambda p: F.get(nodes, p["i"]))
+
+
+def tree(plan: Column, levels: Column, fields: Sequence[str] | None = None, ordered: bool = True) -> Column:
+    """All nodes of a plan: array of (path, depth, node), in pre-order or else level by level.
+
+    ``node`` is the VARIANT subtree, or with ``fields`` a struct of those typed fields (under
+    their JSON names), read by one conversion per node. The walk is a fold over the levels of
+    the tree; ``levels`` is any upper bound of its depth, so no plan is cut. Paths are
+    zero-padded child numbers, hence their text order is pre-order.
     """
-    start = F.struct(
-        F.expr("cast(array() as array<struct<path:string,depth:int,node:variant>>)").alias("done"),
-        F.array(F.struct(F.lit("000000").alias("path"), F.lit(0).alias("depth"), plan.alias("node"))).cast(
-            "array<struct<path:string,depth:int,node:variant>>"
-        ).alias("front"),
-    )
+    if fields is None:
+        kind = "variant"
+    else:
+        kind = "struct<" + "".join(f"`{_FIELD[f][0]}`:{_FIELD[f][1]}," for f in fields) + "`Plans`:array<variant>>"
+    rows = f"array<struct<path:string,depth:int,node:{kind}>>"
+
+    def read(node: Column) -> Column:
+        return node if fields is None else F.try_variant_get(node, "$", kind)
+
+    def subplans(node: Column) -> Column:
+        found = F.try_variant_get(node, "$.Plans", "array<variant>") if fields is None else node["Plans"]
+        return F.coalesce(found, F.expr("cast(array() as array<variant>)"))
+
+    root = F.struct(F.lit("000000").alias("path"), F.lit(0).alias("depth"), read(plan).alias("node"))
+    start = F.struct(F.expr(f"cast(array() as {rows})").alias("done"), F.array(root).cast(rows).alias("front"))
 
     def children(parent: Column) -> Column:
-        subplans = F.coalesce(
-            F.try_variant_get(parent["node"], "$.Plans", "array<variant>"), F.expr("cast(array() as array<variant>)")
-        )
         return F.transform(
-            subplans,
+            subplans(parent["node"]),
             lambda child, i: F.struct(
-                F.concat(parent["path"], F.lit("."), F.lpad(i.cast("string"), 6, "0")).alias("path"),
-                (parent["depth"] + 1).alias("depth"),
-                child.alias("node"),
+                _numbered(parent["path"], i).alias("path"), (parent["depth"] + 1).alias("depth"), read(child).alias("node")
             ),
         )
 
@@ -101,34 +117,36 @@ def tree(plan: Column, levels: Column) -> Column:
             F.struct(F.concat(acc["done"], acc["front"]).alias("done"), below.alias("front"))
         )
 
-    nodes = F.aggregate(F.sequence(F.lit(1), levels), start, step)["done"]
-    in_order = F.array_sort(
-        nodes, lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0)
+    folded = F.aggregate(
+        F.sequence(F.lit(1), levels), start, step, lambda acc: _by_path(acc["done"]) if ordered else acc["done"]
     )
-    return F.when(plan.isNotNull(), in_order)
+    return F.when(plan.isNotNull(), folded)
+
+
+def _positions(plans: DataFrame, nodes: Column) -> DataFrame:
+    """One row per node: kept columns, node_ord and the node as ``_n``."""
+    kept = [c for c in plans.columns if c not in ("plan", "levels")]
+    # The null test follows the explosion: before it, the optimizer would parse each document twice.
+    return plans.select(*kept, F.posexplode_outer(nodes).alias("node_ord", "_n")).filter("_n is not null")
+
+
+def _place() -> list[Column]:
+    parent = F.nullif(F.regexp_replace("_n.path", r"\.?[0-9]+$", ""), F.lit(""))
+    return [F.col("_n.path").alias("path"), parent.alias("parent_path"), F.col("_n.depth").alias("depth"), F.col("node_ord")]
 
 
 def flatten_plan(plans: DataFrame) -> DataFrame:
-    """One row per plan node, each node once: path, parent_path, depth, node_ord, node."""
+    """One row per plan node, each node once: path, parent_path, depth, node_ord, node (VARIANT)."""
     kept = [c for c in plans.columns if c not in ("plan", "levels")]
-    return (
-        plans.filter("plan is not null")
-        .select(*kept, F.posexplode_outer(tree(F.col("plan"), F.col("levels"))).alias("node_ord", "_n"))
-        .select(
-            *kept,
-            F.col("_n.path").alias("path"),
-            F.nullif(F.regexp_replace("_n.path", r"\.?[0-9]+$", ""), F.lit("")).alias("parent_path"),
-            F.col("_n.depth").alias("depth"),
-            "node_ord",
-            F.col("_n.node").alias("node"),
-        )
-    )
+    rows = _positions(plans, tree(F.col("plan"), F.col("levels")))
+    return rows.select(*kept, *_place(), F.col("_n.node").alias("node"))
 
 
-def plan_nodes(flat: DataFrame, fields: Sequence[str] = tuple(_FIELD)) -> DataFrame:
-    """Typed columns in place of ``node``. Columns nobody reads are pruned from the plan."""
-    kept = [c for c in flat.columns if c != "node"]
-    return flat.select(*kept, *[node_field(F.col("node"), name).alias(name) for name in fields])
+def plan_nodes(plans: DataFrame, fields: Sequence[str] = tuple(_FIELD)) -> DataFrame:
+    """One row per plan node with the typed ``fields`` as columns."""
+    kept = [c for c in plans.columns if c not in ("plan", "levels")]
+    rows = _positions(plans, tree(F.col("plan"), F.col("levels"), fields))
+    return rows.select(*kept, *_place(), *[F.col("_n.node").getField(_FIELD[f][0]).alias(f) for f in fields])
 
 
 def condition_clause(nodes: DataFrame) -> DataFrame:
@@ -186,44 +204,43 @@ def document_picks(plans: DataFrame, exclude: Sequence[str] = EXCLUDED) -> DataF
     ``total_cost``, ``startup_cost`` and ``seq_scan_times``.
     """
     kept = [c for c in plans.columns if c not in ("plan", "levels")]
-    slim = F.transform(
-        tree(F.col("plan"), F.col("levels")),
-        lambda n, i: F.struct(
-            i.alias("node_ord"),
-            n["depth"].alias("depth"),
-            *[
-                node_field(n["node"], f).alias(f)
-                for f in ("node_type", "relation_name", "total_cost", "startup_cost", "actual_total_time", "filter", "recheck_cond")
-            ],
-        ),
-    )
-    rows = plans.filter("plan is not null").select(*kept, slim.alias("_nodes"))
+    wanted = ("node_type", "relation_name", "total_cost", "startup_cost", "actual_total_time", "filter", "recheck_cond")
+    walked = tree(F.col("plan"), F.col("levels"), wanted, ordered=False)
+    # One row per document; as in flatten_plan, unreadable ones are dropped after the explosion.
+    rows = plans.select(*kept, F.explode_outer(F.array(F.struct(walked.alias("nodes")))).alias("_doc"))
+    rows = rows.select(*kept, F.col("_doc.nodes").alias("_nodes")).filter("_nodes is not null")
+
+    def of(n: Column, field: str) -> Column:
+        return n["node"].getField(_FIELD[field][0])
 
     def usable(n: Column) -> Column:
-        return n["total_cost"].isNotNull() & ~F.coalesce(n["node_type"].isin(*exclude), F.lit(False))
+        return of(n, "total_cost").isNotNull() & ~F.coalesce(of(n, "node_type").isin(*exclude), F.lit(False))
 
     def best(value: str) -> Column:
+        # Text order of paths is pre-order, so the smallest (-value, path) is the pick.
         ranked = F.transform(
-            F.filter("_nodes", lambda n: usable(n) & n[value].isNotNull()),
+            F.filter("_nodes", lambda n: usable(n) & of(n, value).isNotNull()),
             lambda n: F.struct(
-                (-n[value]).alias("v"),
-                n["node_ord"].alias("o"),
+                (-of(n, value)).alias("v"),
+                n["path"].alias("o"),
                 F.struct(
-                    n["relation_name"].alias("table_name"), F.coalesce(n["filter"], n["recheck_cond"]).alias("condition")
+                    of(n, "relation_name").alias("table_name"), F.coalesce(of(n, "filter"), of(n, "recheck_cond")).alias("condition")
                 ).alias("what"),
             ),
         )
         return F.array_min(ranked)["what"]
 
     root = F.get("_nodes", F.lit(0))
-    near = F.filter("_nodes", lambda n: (n["depth"] <= 1) & (n["node_type"] == "Seq Scan") & n["actual_total_time"].isNotNull())
+    near = F.filter(
+        "_nodes", lambda n: (n["depth"] <= 1) & (of(n, "node_type") == "Seq Scan") & of(n, "actual_total_time").isNotNull()
+    )
     return rows.select(
         *kept,
         best("total_cost").alias("costliest"),
         best("actual_total_time").alias("slowest"),
-        root["total_cost"].alias("total_cost"),
-        root["startup_cost"].alias("startup_cost"),
-        F.when(root["actual_total_time"].isNotNull(), F.transform(near, lambda n: n["actual_total_time"])).alias("seq_scan_times"),
+        of(root, "total_cost").alias("total_cost"),
+        of(root, "startup_cost").alias("startup_cost"),
+        F.when(of(root, "actual_total_time").isNotNull(), F.transform(near, lambda n: of(n, "actual_total_time"))).alias("seq_scan_times"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scale import join_hot, nth_largest
+from ..session import written
 
 # Fixed order in which the metrics are visited; startup cost is collected but not reported.
 METRIC_ORDER = {"total_runtime": 1, "execution_time": 2, "total_cost": 3, "sequence_scan": 4}
@@ -44,7 +45,7 @@ def score_stats(scores: DataFrame) -> DataFrame:
 
 def top_offenders(scores: DataFrame, pct: int = 10) -> DataFrame:
     """Rows whose score is among the first floor(pct% of distinct) + 1 distinct scores of its metric."""
-    distinct = scores.filter(F.col("metric").isin(*METRIC_ORDER)).select("metric", "score").distinct()
+    distinct = written(scores.filter(F.col("metric").isin(*METRIC_ORDER)).select("metric", "score").distinct(), "distinct-scores")
     counts = {r["metric"]: r["count"] for r in distinct.groupBy("metric").count().collect()}  # one row per metric
     ranks = {m: min(math.floor(pct * n / 100) + 1, n) for m, n in counts.items()}
     limits = nth_largest(distinct, "metric", "score", ranks)

@@ -18,6 +18,8 @@ def local_session(app: str = "planledger", cores: str = "8", memory: str = "16g"
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        # Matching text and parsing plans cost much per byte: keep small stages on all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed layout of a MySQL plan document.
@@ -15,6 +15,11 @@ MYSQL_PLAN = (
 )
 
 
+def _occurrences(text: Column, what: str) -> Column:
+    removed = F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
+    return F.coalesce((removed / len(what)).cast("int"), F.lit(0))
+
+
 def read_pg_plans(df: DataFrame, json_col: str) -> DataFrame:
     """PostgreSQL plan documents (a JSON array whose first object is the plan).
 
@@ -29,7 +34,7 @@ def read_pg_plans(df: DataFrame, json_col: str) -> DataFrame:
         .withColumn("planning_time", F.expr(first.format('["Planning Time"]', "double").replace(".[", "[")))
         .withColumn("execution_time", F.expr(first.format('["Execution Time"]', "double").replace(".[", "[")))
         .withColumn("total_runtime", F.expr(first.format('["Total Runtime"]', "double").replace(".[", "[")))
-        .withColumn("levels", F.regexp_count(json_col, F.lit(r'"Plans"\s*:')) + 1)
+        .withColumn("levels", _occurrences(F.col(json_col), '"Plans"') + 1)
         .drop("_doc")
     )
 

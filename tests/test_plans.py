@@ -30,7 +30,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def flat(docs):
-    return nodes.plan_nodes(nodes.flatten_plan(docs))
+    return nodes.plan_nodes(docs)
 
 
 def test_flatten(flat):
@@ -69,7 +69,7 @@ def test_deep_and_wide_plans_are_whole(spark):
         deep = {"Node Type": f"N{i}", "Total Cost": 1.0, "Plans": [deep]}
     wide = {"Node Type": "Append", "Plans": [{"Node Type": "Seq Scan", "Total Cost": float(i)} for i in range(2000)]}
     df = spark.createDataFrame([(1, json.dumps([{"Plan": deep}])), (2, json.dumps([{"Plan": wide}]))], "plan_id int, json string")
-    rows = nodes.plan_nodes(nodes.flatten_plan(read_pg_plans(df, "json")), ["node_type", "total_cost"])
+    rows = nodes.plan_nodes(read_pg_plans(df, "json"), ["node_type", "total_cost"])
     got = {r.plan_id: (r.n, r.d) for r in rows.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("d")).collect()}
     assert got == {1: (151, 150), 2: (2001, 1)}
 

@@ -45,5 +45,5 @@ def test_nth_largest_equals_sort(spark):
     b = [x / 7 for x in rng.sample(range(10**6), 10)]
     df = spark.createDataFrame([("a", float(x)) for x in a] + [("b", x) for x in b], "g string, v double")
     for n in (1, 2, 299, 3000):
-        got = nth_largest(df, "g", "v", {"a": n, "b": min(n, 10)}, brackets=32)
+        got = nth_largest(df, "g", "v", {"a": n, "b": min(n, 10)}, accuracy=200)
         assert got == {"a": float(sorted(a, reverse=True)[n - 1]), "b": sorted(b, reverse=True)[min(n, 10) - 1]}

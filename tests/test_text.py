@@ -120,10 +120,15 @@ def test_coverage(spark, query, ranked, indexed):
     assert [r.expr for r in rows if r.eligible_index] == indexed
 
 
-def test_deep_statements_are_listed(spark):
-    deep = "select * from t where " + "(" * 20 + "a = 1" + ")" * 20
-    df = spark.createDataFrame([("d", deep), ("s", MIXED)], "stmt_id string, query_text string")
-    assert [r.stmt_id for r in predicates.deep_statements(df).collect()] == ["d"]
+def test_any_depth_of_brackets(spark):
+    deep = "select * from t where " + "(" * 40 + "a = 1" + ")" * 40 + " and b = 2"
+    rows = preds(spark, deep).orderBy("pred_ord").collect()
+    assert [(r.expr, r.eligible_rank) for r in rows] == [("a", False), ("b", True)]
+
+
+def test_unpaired_statements_are_listed(spark):
+    df = spark.createDataFrame([("d", "select * from t where ((a = 1)"), ("s", MIXED)], "stmt_id string, query_text string")
+    assert [r.stmt_id for r in predicates.unpaired_statements(df).collect()] == ["d"]
 
 
 def test_aliases(spark):
