@@ -228,7 +228,7 @@ def pg_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     document = f"""concat('[{{"Plan":', {root}, ',"Planning Time":0.5,"Execution Time":', floor(l_extendedprice / 1000), '}}]')"""
     return spread_scan(table(spark, sf_dir, "lineitem")).selectExpr(
-        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint)) plan_id",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint), cast(round(l_extendedprice * 100) as bigint)) plan_id",
         "l_partkey stmt_id",
         f"if(l_partkey % 50 = 49, '{{bad', {document}) json",
     )

@@ -115,15 +115,15 @@ _DOCUMENT_ADVICE = (
     + sqlparts.DOCUMENTS
     + """,
 scores as (
-  select plan_id, 'total_cost' as metric, total_cost as score from nodes where depth = 0
-  union all select plan_id, 'execution_time', floor(l_extendedprice / 1000) from good
-  union all select s.plan_id, 'sequence_scan', s.actual_total_time from nodes s join nodes r on r.plan_id = s.plan_id and r.depth = 0 and r.actual_total_time is not null
+  select rid, plan_id, 'total_cost' as metric, total_cost as score from nodes where depth = 0
+  union all select rid, plan_id, 'execution_time', floor(l_extendedprice / 1000) from good
+  union all select s.rid, s.plan_id, 'sequence_scan', s.actual_total_time from nodes s join nodes r on r.rid = s.rid and r.depth = 0 and r.actual_total_time is not null
     where s.depth <= 1 and s.node_type = 'Seq Scan' and s.actual_total_time is not null),
 stats as (select metric, avg(score) as mean, coalesce(stddev_samp(score), 0) as sd from (select distinct metric, score from scores) group by metric),
-both_picks as (select plan_id, stmt_id, 0 as pick_ord, relation_name as table_name, condition from costliest union all select plan_id, stmt_id, 1, relation_name, condition from slowest),
+both_picks as (select rid, stmt_id, 0 as pick_ord, relation_name as table_name, condition from costliest union all select rid, stmt_id, 1, relation_name, condition from slowest),
 ordered as (
   select s.metric, s.score, b.*, row_number() over (partition by b.stmt_id order by case s.metric when 'execution_time' then 2 when 'total_cost' then 3 else 4 end, s.score desc, s.plan_id, b.pick_ord, s.score) as visit
-  from scores s join both_picks b using (plan_id) where b.condition is not null and b.table_name is not null),
+  from scores s join both_picks b using (rid) where b.condition is not null and b.table_name is not null),
 found as (select *, cast(regexp_extract(condition, 'tag-([0-9]+)', 1) as bigint) as tag from ordered where condition like '%tag-%'),
 matched as (select *, tag % 10 as pred from found where tag // 10 = stmt_id and tag % 10 <> 3),
 opening as (select stmt_id, min(visit) as first_visit from matched group by 1),

@@ -131,11 +131,11 @@ _TRIES = """with a as (select *, l_returnflag = 'R' as ok, row_number() over (pa
 QUERIES = {
     "a6_read_pg_plans": (
         read_pg,
-        "select l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(l_quantity as bigint) as plan_id, 0.5::double as planning_time, floor(l_extendedprice / 1000) as execution_time, l_extendedprice as root_cost from lineitem where l_partkey % 50 <> 49",
+        "select l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(l_quantity as bigint) || '-' || cast(round(l_extendedprice * 100) as bigint) as plan_id, 0.5::double as planning_time, floor(l_extendedprice / 1000) as execution_time, l_extendedprice as root_cost from lineitem where l_partkey % 50 <> 49",
     ),
     "a6_unreadable_plans": (
         unreadable_pg,
-        "select l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(l_quantity as bigint) as plan_id from lineitem where l_partkey % 50 = 49",
+        "select l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(l_quantity as bigint) || '-' || cast(round(l_extendedprice * 100) as bigint) as plan_id from lineitem where l_partkey % 50 = 49",
     ),
     "a7_read_mysql_plans": (
         read_mysql,
@@ -158,10 +158,10 @@ QUERIES = {
     "h4_document_picks": (
         document_picks,
         _D
-        + """, near as (select r.plan_id, count(s.plan_id) as scans, coalesce(sum(s.actual_total_time), 0) as scan_time from nodes r left join nodes s on s.plan_id = r.plan_id and s.depth <= 1 and s.node_type = 'Seq Scan' and s.actual_total_time is not null
+        + """, near as (select r.rid, count(s.rid) as scans, coalesce(sum(s.actual_total_time), 0) as scan_time from nodes r left join nodes s on s.rid = r.rid and s.depth <= 1 and s.node_type = 'Seq Scan' and s.actual_total_time is not null
              where r.depth = 0 and r.actual_total_time is not null group by 1)
              select r.plan_id, c.relation_name as costly_table, c.condition as costly_condition, s.relation_name as slow_table, s.condition as slow_condition, r.startup_cost,
-               n.scans::int as scans, n.scan_time from nodes r left join costliest c using (plan_id) left join slowest s using (plan_id) left join near n using (plan_id) where r.depth = 0""",
+               n.scans::int as scans, n.scan_time from nodes r left join costliest c on c.rid = r.rid left join slowest s on s.rid = r.rid left join near n on n.rid = r.rid where r.depth = 0""",
     ),
     "h5_mysql_node": (
         mysql_node,

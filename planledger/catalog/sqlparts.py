@@ -136,22 +136,22 @@ sites as (select o_orderkey // 10 as stmt_id, 'f' || (o_custkey % 50) || '.java'
 
 # The plan documents, as nodes.
 DOCUMENTS = f"""
-li as (select *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(l_quantity as bigint) as plan_id, {_NODE_TYPE} as nt from lineitem),
+li as materialized (select *, row_number() over () as rid, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(l_quantity as bigint) || '-' || cast(round(l_extendedprice * 100) as bigint) as plan_id, {_NODE_TYPE} as nt from lineitem),
 good as (select * from li where l_partkey % 50 <> 49),
 nodes as (
-  select plan_id, l_partkey as stmt_id, '000000' as path, cast(null as varchar) as parent_path, 0 as depth, 0 as node_ord, case when l_linenumber % 2 = 0 then 'Nested Loop' else nt end as node_type,
+  select rid, plan_id, l_partkey as stmt_id, '000000' as path, cast(null as varchar) as parent_path, 0 as depth, 0 as node_ord, case when l_linenumber % 2 = 0 then 'Nested Loop' else nt end as node_type,
     case when l_linenumber % 2 = 1 then 'r' || (l_partkey % 8) end as relation_name, cast(l_suppkey % 10 as double) as startup_cost, l_extendedprice as total_cost, cast(null as bigint) as plan_rows,
     case when l_suppkey % 17 <> 0 then l_quantity end as actual_total_time, case when l_linenumber % 2 = 1 then '(c' || (l_partkey % 5) || ' = ''tag-' || (l_partkey * 10 + l_partkey % 5) || ''')' end as filter,
     cast(null as varchar) as recheck_cond, cast(null as varchar) as index_cond, 'a,' || l_returnflag as sort_key from good
   union all
-  select plan_id, l_partkey, '000000.000000', '000000', 1, 1, case when l_suppkey % 3 = 0 then 'Seq Scan' else 'Index Scan' end, 's' || (l_suppkey % 8), null, floor(l_extendedprice / 2), l_suppkey * 1000000000,
+  select rid, plan_id, l_partkey, '000000.000000', '000000', 1, 1, case when l_suppkey % 3 = 0 then 'Seq Scan' else 'Index Scan' end, 's' || (l_suppkey % 8), null, floor(l_extendedprice / 2), l_suppkey * 1000000000,
     l_quantity + l_suppkey % 7, case when l_suppkey % 2 = 0 then '(c' || (l_suppkey % 5) || ' = ''tag-' || (l_partkey * 10 + l_suppkey % 5) || ''')' end, null, null, null from good
   union all
-  select plan_id, l_partkey, '000000.000000.000000', '000000.000000', 2, 2, 'Seq Scan', 'g' || (l_partkey % 8), null, l_extendedprice, null, l_quantity * 3, null,
+  select rid, plan_id, l_partkey, '000000.000000.000000', '000000.000000', 2, 2, 'Seq Scan', 'g' || (l_partkey % 8), null, l_extendedprice, null, l_quantity * 3, null,
     '(c' || (l_linenumber % 5) || ' = ''tag-' || (l_partkey * 10 + l_linenumber % 5) || ''')', null, null from good where l_linenumber >= 4
   union all
-  select plan_id, l_partkey, '000000.000001', '000000', 1, case when l_linenumber >= 4 then 3 else 2 end, 'Index Scan', 'idx', null, floor(l_extendedprice / 4), null, l_quantity * 2, null, null, '(d = 1)', null from good),
+  select rid, plan_id, l_partkey, '000000.000001', '000000', 1, case when l_linenumber >= 4 then 3 else 2 end, 'Index Scan', 'idx', null, floor(l_extendedprice / 4), null, l_quantity * 2, null, null, '(d = 1)', null from good),
 usable as (select * from nodes where total_cost is not null and node_type not in ('Nested Loop', 'Aggregate')),
-costliest as (select *, coalesce(filter, recheck_cond) as condition from (select *, row_number() over (partition by plan_id order by total_cost desc, path) as rn from usable) where rn = 1),
-slowest as (select *, coalesce(filter, recheck_cond) as condition from (select *, row_number() over (partition by plan_id order by actual_total_time desc, path) as rn from usable where actual_total_time is not null) where rn = 1)
+costliest as (select *, coalesce(filter, recheck_cond) as condition from (select *, row_number() over (partition by rid order by total_cost desc, path) as rn from usable) where rn = 1),
+slowest as (select *, coalesce(filter, recheck_cond) as condition from (select *, row_number() over (partition by rid order by actual_total_time desc, path) as rn from usable where actual_total_time is not null) where rn = 1)
 """
