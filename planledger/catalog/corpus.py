@@ -127,8 +127,9 @@ def assemble_appends(spark, sf):
 
 
 def assignments_union(spark, sf):
-    users = table(spark, sf, "conversations").filter("role = 'user'")
-    return extract.fold_assignments(users, "conv_id", "turn", "text")
+    """A variable is the user turns of eight places of a conversation, so no variable grows with its conversation."""
+    users = table(spark, sf, "conversations").filter("role = 'user'").selectExpr("concat(conv_id, '/', turn div 8) variable", "turn", "text")
+    return extract.fold_assignments(users, "variable", "turn", "text")
 
 
 def scan_summary(spark, sf):
@@ -207,7 +208,7 @@ QUERIES = {
     ),
     "b6_assignments_union": (
         assignments_union,
-        "select conv_id, count(*) as assignments, string_agg(text, '' order by turn) as query_text from conversations where role = 'user' group by conv_id",
+        "select conv_id || '/' || (turn // 8) as variable, count(*) as assignments, string_agg(text, '' order by turn) as query_text from conversations where role = 'user' group by 1",
     ),
     "b8_scan_summary": (
         scan_summary,

@@ -88,7 +88,7 @@ def first_table(col: Column) -> Column:
 def source_without_comments(col: Column) -> Column:
     """Java source without comments; quoted strings are left alone."""
     return F.regexp_replace(
-        col, "(" + JAVA_STRING + r")|//[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/", "$1"
+        col, "(" + JAVA_STRING + r")|//[^\n]*+|(?s:/\*.*?\*/)", "$1"
     )
 
 

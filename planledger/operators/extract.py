@@ -14,13 +14,6 @@ from ..functions.scale import last_before
 QUERY_METHODS = ("createQuery", "createNativeQuery", "createNamedQuery", "createSQLQuery")
 
 
-def _prefix_position(prefix: Column) -> tuple[Column, Column]:
-    """1-based line and column of the character that follows ``prefix``."""
-    line = F.length(prefix) - F.length(F.replace(prefix, F.lit("\n"), F.lit(""))) + 1
-    column = F.length(F.substring_index(prefix, "\n", -1)) + 1
-    return line, column
-
-
 def extract_calls(corpus: DataFrame, method_names: Sequence[str] = QUERY_METHODS) -> DataFrame:
     """One row per call of a query-making method: argument, call text and position.
 
@@ -34,45 +27,45 @@ def extract_calls(corpus: DataFrame, method_names: Sequence[str] = QUERY_METHODS
     for _ in range(12):
         inner = plain % (r"\(" + inner + r"\)")
     call = rf"(?:\b\w+(?:\(\))?\s*\.\s*)*+\b(?:{names})\s*\({inner}\)"
-    # Splitting at the calls gives the text before each one; its length is the call's offset.
+    # Splitting at the calls gives the text before each one; walking over gap, call, gap, call …
+    # with a running (line, column) places every call in one pass over the file.
+    kept = [c for c in corpus.columns if c != "content"]
     found = (
         corpus.withColumn("_calls", F.regexp_extract_all("content", F.lit(call), F.lit(0)))
         .withColumn("_gaps", F.split("content", call))
-        .filter(F.size("_calls") > 0)
+        .select(*kept, "_calls", "_gaps")
+    )
+
+    def extent(part: Column) -> Column:
+        breaks = F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
+        return F.struct(breaks.alias("breaks"), F.length(F.substring_index(part, "\n", -1)).alias("tail"))
+
+    def moved(line: Column, column: Column, step: Column) -> tuple[Column, Column]:
+        return line + step["breaks"], F.when(step["breaks"] > 0, step["tail"] + 1).otherwise(column + step["tail"])
+
+    def place(acc: Column, step: Column) -> Column:
+        begin_line, begin_col = moved(acc["line"], acc["col"], step["gap"])
+        end_line, end_col = moved(begin_line, begin_col, step["call"])
+        spot = F.struct(
+            begin_line.alias("begin_line"), begin_col.alias("begin_col"), end_line.alias("end_line"), (end_col - 1).alias("end_col")
+        )
+        return F.struct(end_line.alias("line"), end_col.alias("col"), F.concat(acc["spots"], F.array(spot)).alias("spots"))
+
+    steps = F.transform(
+        "_calls", lambda c, i: F.struct(extent(F.get("_gaps", i)).alias("gap"), extent(c).alias("call"))
     )
-    gap_chars = F.transform("_gaps", lambda g: F.length(g))
-    call_chars = F.transform("_calls", lambda c: F.length(c))
-    found = found.withColumn("_gap_chars", gap_chars).withColumn("_call_chars", call_chars)
-    steps = F.zip_with("_gap_chars", "_call_chars", lambda g, c: F.struct(g.alias("gap"), F.coalesce(c, F.lit(0)).alias("call")))
-    # One pass over the steps; each entry is (start offset of the call, its length).
-    walk = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["call"]).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"] + s["gap"])).alias("starts"),
-        ),
+    start = F.struct(
+        F.lit(1).alias("line"),
+        F.lit(1).alias("col"),
+        F.expr("cast(array() as array<struct<begin_line:int,begin_col:int,end_line:int,end_col:int>>)").alias("spots"),
     )
-    rows = found.withColumn("_starts", walk["starts"]).select(
-        *[c for c in corpus.columns if c != "content"],
-        "content",
-        F.posexplode_outer(F.arrays_zip("_calls", "_starts")).alias("call_ord", "_call"),
+    spots = F.aggregate(steps, start, place, lambda acc: acc["spots"])
+    rows = found.withColumn("_spots", spots).select(
+        *kept, F.posexplode_outer(F.arrays_zip(F.col("_calls").alias("call"), F.col("_spots").alias("spot"))).alias("call_ord", "_c")
     )
-    rows = rows.filter(F.col("_call._calls").isNotNull())
-    before = F.expr("substring(content, 1, _call._starts)")
-    through = F.expr("substring(content, 1, _call._starts + length(_call._calls) - 1)")
-    begin_line, begin_col = _prefix_position(before)
-    end_line, end_col = _prefix_position(through)
-    argument = F.regexp_extract("_call._calls", rf"(?s)\b(?:{names})\s*\((.*)\)$", 1)
-    return rows.select(
-        *[c for c in corpus.columns if c != "content"],
-        "call_ord",
-        F.trim(_first_argument(argument)).alias("argument"),
-        F.col("_call._calls").alias("call_text"),
-        begin_line.alias("begin_line"),
-        begin_col.alias("begin_col"),
-        end_line.alias("end_line"),
-        end_col.alias("end_col"),
+    argument = F.regexp_extract("_c.call", rf"(?s)\b(?:{names})\s*\((.*)\)$", 1)
+    return rows.filter("_c is not null").select(
+        *kept, "call_ord", F.trim(_first_argument(argument)).alias("argument"), F.col("_c.call").alias("call_text"), "_c.spot.*"
     )
 
 

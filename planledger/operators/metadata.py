@@ -64,23 +64,21 @@ def class_annotations(corpus: DataFrame) -> DataFrame:
 def entity_fields(corpus: DataFrame) -> DataFrame:
     """One row per annotated field, in source order. Narrow: everything happens in the file's row."""
     source = text.source_without_comments(F.col("content"))
-    blocks = F.arrays_zip(
-        F.regexp_extract_all("_source", F.lit(_FIELD), F.lit(1)).alias("annotations"),
-        F.regexp_extract_all("_source", F.lit(_FIELD), F.lit(2)).alias("type"),
-        F.regexp_extract_all("_source", F.lit(_FIELD), F.lit(3)).alias("field"),
-    )
+    # The text is searched once; the parts are then read from each short block.
     return (
         corpus.select("path", "qualified_class", F.lower("class_name").alias("entity"), source.alias("_source"))
-        .select("path", "qualified_class", "entity", F.posexplode_outer(blocks).alias("field_ord", "_field"))
+        .select(
+            "path", "qualified_class", "entity", F.posexplode_outer(F.regexp_extract_all("_source", F.lit(_FIELD), F.lit(0))).alias("field_ord", "_field")
+        )
         .filter("_field is not null")
         .select(
             "path",
             "qualified_class",
             "entity",
             "field_ord",
-            F.lower("_field.field").alias("field"),
-            F.col("_field.type").alias("declared"),
-            F.regexp_extract_all("_field.annotations", F.lit(_ANNOTATION), F.lit(0)).alias("annotations"),
+            F.lower(F.regexp_extract("_field", _FIELD, 3)).alias("field"),
+            F.regexp_extract("_field", _FIELD, 2).alias("declared"),
+            F.regexp_extract_all(F.regexp_extract("_field", _FIELD, 1), F.lit(_ANNOTATION), F.lit(0)).alias("annotations"),
         )
     )
 

@@ -30,32 +30,39 @@ def find_parameters(statements: DataFrame, col: str = "query_text") -> DataFrame
     (WHERE, or SET of an update). ``in_like`` and ``cast_type`` describe the comparison.
     """
     step = statements.withColumn("_text", text.mask_literals(F.lower(col)))
-    step = step.withColumn("_clause", F.regexp_extract("_text", r"\b(?:where|set)\b(.*)$", 1))
-    step = (
-        step.withColumn("_tokens", F.regexp_extract_all("_clause", F.lit(_PARAMETER), F.lit(0)))
-        .withColumn("_gaps", F.split("_clause", _PARAMETER))
-        .filter(F.size("_tokens") > 0)
+    step = step.withColumn("_clause", F.regexp_extract("_text", r"(?s)\b(?:where|set)\b(.*)$", 1))
+    step = step.withColumn("_tokens", F.regexp_extract_all("_clause", F.lit(_PARAMETER), F.lit(0)))
+    step = step.withColumn("_gaps", F.split("_clause", _PARAMETER))
+
+    # Last column named in each gap, then carried forward: one pass over the clause.
+    def last_name(gap: Column) -> Column:
+        plain = F.regexp_replace(gap, r"\bcast\s*\(\s*([\w.]+)\s+as\s+\w+\s*\)", "$1")
+        names = F.filter(F.regexp_extract_all(plain, F.lit(_NAME), F.lit(0)), lambda n: ~n.isin(*_KEYWORDS))
+        return F.get(names, F.size(names) - 1)
+
+    carried = F.aggregate(
+        F.transform("_gaps", last_name),
+        F.struct(F.lit(None).cast("string").alias("last"), F.expr("cast(array() as array<string>)").alias("all")),
+        lambda acc, n: F.struct(F.coalesce(n, acc["last"]).alias("last"), F.concat(acc["all"], F.array(F.coalesce(n, acc["last"]))).alias("all")),
+        lambda acc: acc["all"],
     )
-    step = step.select(
-        *statements.columns, "_gaps", F.posexplode_outer("_tokens").alias("param_ord", "token")
+    step = step.withColumn("_columns", carried)
+    found = F.transform(
+        "_tokens",
+        lambda t, i: F.struct(
+            t.alias("token"), F.get("_columns", i).alias("column_ref"), F.get("_gaps", i).alias("before"), F.get("_gaps", i + 1).alias("after")
+        ),
     )
-    before = F.array_join(F.slice("_gaps", F.lit(1), F.col("param_ord") + 1), " ? ")
-    after = F.get("_gaps", F.col("param_ord") + 1)
-    step = step.withColumn("_before", before).withColumn("_after", after)
-    cast_body = F.regexp_replace("_before", r"\bcast\s*\(\s*([\w.]+)\s+as\s+\w+\s*\)", "$1")
-    columns = F.filter(
-        F.regexp_extract_all(cast_body, F.lit(_NAME), F.lit(0)),
-        lambda n: ~n.isin(*_KEYWORDS),
-    )
-    left_cast = F.regexp_extract("_before", r"\bcast\s*\([^()]*\bas\s+(\w+)[^()]*\)\s*(?:=|<>|!=|<=|>=|<|>)\s*$", 1)
-    right_cast = F.regexp_extract("_after", r"^\s*(?:=|<>|!=|<=|>=|<|>)\s*cast\s*\([^()]*\bas\s+(\w+)", 1)
-    named = F.startswith("token", F.lit(":"))
+    step = step.select(*statements.columns, F.posexplode_outer(found).alias("param_ord", "_p")).filter("_p is not null")
+    left_cast = F.regexp_extract("_p.before", r"\bcast\s*\([^()]*\bas\s+(\w+)[^()]*\)\s*(?:=|<>|!=|<=|>=|<|>)\s*$", 1)
+    right_cast = F.regexp_extract("_p.after", r"^\s*(?:=|<>|!=|<=|>=|<|>)\s*cast\s*\([^()]*\bas\s+(\w+)", 1)
+    named = F.startswith("_p.token", F.lit(":"))
     return step.select(
         *statements.columns,
         F.col("param_ord").cast("int").alias("param_ord"),
-        "token",
-        F.get(columns, F.size(columns) - 1).alias("column_ref"),
-        (named & F.col("_before").rlike(r"\blike\s*$")).alias("in_like"),
+        F.col("_p.token").alias("token"),
+        F.col("_p.column_ref").alias("column_ref"),
+        (named & F.col("_p.before").rlike(r"\blike\s*$")).alias("in_like"),
         F.coalesce(F.nullif(left_cast, F.lit("")), F.nullif(right_cast, F.lit(""))).alias("cast_type"),
     )
 

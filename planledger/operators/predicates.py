@@ -181,8 +181,8 @@ def statement_aliases(statements: DataFrame, col: str = "query_text") -> DataFra
         r"(?:\b(?:from|join|update)|,)\s+([\w.$]+)\s+(?:as\s+)?"
         r"(?!(?:where|set|join|inner|left|right|full|cross|on|order|group|having|limit|union|as)\b)([a-z_]\w*)"
     )
-    body = F.regexp_replace(text.mask_literals(F.lower(col)), r"^.*?\b(?=from\b|update\b)", "")
-    body = F.regexp_replace(body, r"\b(?:where|set|order by|group by|having)\b.*$", "")
+    body = F.regexp_replace(text.mask_literals(F.lower(col)), r"(?s)^.*?\b(?=from\b|update\b)", "")
+    body = F.regexp_replace(body, r"(?s)\b(?:where|set|order\s+by|group\s+by|having)\b.*$", "")
     items = F.arrays_zip(
         F.regexp_extract_all(body, F.lit(item), F.lit(1)).alias("table_name"),
         F.regexp_extract_all(body, F.lit(item), F.lit(2)).alias("alias"),

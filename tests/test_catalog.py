@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from planledger import catalog
 
@@ -43,8 +44,39 @@ def test_query_equals_sql(spark, oracle, name):
     got = catalog.queries()[name](spark, SF)
     names = got.columns
     rows = [tuple(r) for r in got.collect()]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas"):
+        assert unwanted not in plan
     want = oracle.execute(catalog.oracles()[name])
     want_names = [d[0] for d in want.description]
     want_rows = want.fetchall()
     assert sorted(names) == sorted(want_names)
     assert _rows(names, rows) == _rows(want_names, want_rows)
+
+
+def test_scans_read_only_what_is_used(spark):
+    plan = catalog.queries()["f5_multi_hop"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    schemas = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert len(schemas) == 5
+    assert any("struct<l_orderkey:bigint,l_extendedprice:double>" in s for s in schemas)
+    assert any("struct<c_custkey:bigint,c_nationkey:int>" in s for s in schemas)
+
+
+def test_filters_reach_the_scan(spark):
+    from planledger.operators.paths import path_join
+    from planledger.catalog.paths import model
+
+    rows = path_join(model(spark, SF), "order", "customer").filter(F.col("order__customer__c_mktsegment") == "BUILDING")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(c_mktsegment,BUILDING)" in plan
+
+
+def test_document_picks_shuffle_nothing(spark):
+    from planledger import adapters
+    from planledger.plans import nodes
+    from planledger.sources.plans import read_pg_plans
+
+    docs = spark.createDataFrame([(1, "[]")], "plan_id int, json string")
+    plan = nodes.document_picks(read_pg_plans(docs, "json"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert adapters.flat_nodes(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
