@@ -142,7 +142,7 @@ def flat_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "named_struct('path', '000000.999999', 'depth', 1, 'node_type', 'Hash', 'relation_name', cast(null as string), 'startup_cost', cast(null as double),"
         " 'total_cost', cast(null as double), 'actual_total_time', cast(null as double), 'filter', cast(null as string), 'recheck_cond', cast(null as string)))) n",
     ).selectExpr("plan_id", "n.*")
-    lines = table(spark, sf_dir, "lineitem").selectExpr(
+    lines = spread_scan(table(spark, sf_dir, "lineitem")).selectExpr(
         "l_orderkey plan_id",
         "concat(if(l_linenumber <= 4, '000000.', '000000.999999.'), l_linenumber, '.', lpad(l_partkey, 12, '0'), '.', lpad(l_suppkey, 12, '0'), '.', lpad(cast(l_quantity as bigint), 6, '0')) path",
         "if(l_linenumber <= 4, 1, 2) depth",

@@ -73,9 +73,9 @@ def restore_arrays(col: Column) -> Column:
 
 
 def statement_kind(col: Column) -> Column:
-    """select, update or delete; anything else is failed. A text that starts with FROM is a select."""
+    """select, update or delete; anything else is failed. A text that starts with FROM or WITH is a select."""
     verb = F.lower(F.regexp_extract(col, r"^[\s(]*(\w+)", 1))
-    return F.when(verb == "from", "select").when(verb.isin("select", "update", "delete"), verb).otherwise(F.lit("failed"))
+    return F.when(verb.isin("from", "with"), "select").when(verb.isin("select", "update", "delete"), verb).otherwise(F.lit("failed"))
 
 
 def first_table(col: Column) -> Column:

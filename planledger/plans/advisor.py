@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scale import join_hot
@@ -13,26 +13,52 @@ from .scoring import METRIC_ORDER, metric_order, score_stats
 PRIORITY_THRESHOLD = 50
 
 
+def match_picks(plan_picks: DataFrame, predicates: DataFrame) -> DataFrame:
+    """Adds ``matched`` to both picks: the eligible expressions behind the sentinels of their condition.
+
+    ``plan_picks``: plan_id, stmt_id, costliest, slowest. The predicates of a statement travel
+    as one map per statement, no bigger than its WHERE clause; plans are spread over salts. A
+    plan is matched once, however many scores it has.
+    """
+    known = (
+        sentinel_lookup(predicates)
+        .filter("eligible_index")
+        .groupBy("stmt_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("sentinel", "expr"))).alias("_known"))
+    )
+
+    def with_matches(pick: str) -> Column:
+        exprs = F.transform(condition_tokens(F.col(pick)["condition"]), lambda t: F.try_element_at("_known", t))
+        found = F.coalesce(F.filter(exprs, lambda e: e.isNotNull()), F.expr("cast(array() as array<string>)"))
+        return F.when(
+            F.col(pick)["condition"].isNotNull() & F.col(pick)["table_name"].isNotNull(),
+            F.struct(F.col(pick)["table_name"].alias("table_name"), found.alias("matched")),
+        )
+
+    joined = join_hot(plan_picks, known, ["stmt_id"], ["plan_id"], how="left")
+    return joined.withColumn("costliest", with_matches("costliest")).withColumn("slowest", with_matches("slowest")).drop("_known")
+
+
 def _with_picks(ranked: DataFrame) -> DataFrame:
     """Two rows per row: its plan's costliest and slowest pick; picks without condition are left out."""
     both = F.array(
         F.struct(F.lit("costliest").alias("pick_kind"), F.lit(0).alias("pick_ord"), F.col("costliest").alias("what")),
         F.struct(F.lit("slowest").alias("pick_kind"), F.lit(1).alias("pick_ord"), F.col("slowest").alias("what")),
     )
-    useful = F.filter(both, lambda p: p["what"]["condition"].isNotNull() & p["what"]["table_name"].isNotNull())
-    return ranked.withColumn("_p", F.explode_outer(useful)).filter("_p is not null").select(
-        "plan_id", "stmt_id", "metric", "score", "metric_ord", "_p.pick_kind", "_p.pick_ord", "_p.what.table_name", "_p.what.condition"
+    rows = ranked.withColumn("_p", F.explode_outer(F.filter(both, lambda p: p["what"].isNotNull()))).filter("_p is not null")
+    return rows.select(
+        "plan_id", "stmt_id", "metric", "score", "metric_ord", "_p.pick_kind", "_p.pick_ord", "_p.what.table_name", "_p.what.matched"
     )
 
 
-def picks(scores: DataFrame, plan_picks: DataFrame) -> DataFrame:
+def picks(scores: DataFrame, matched_picks: DataFrame) -> DataFrame:
     """One row per score and pick that has a condition, with its place in the visiting order.
 
-    ``plan_picks``: plan_id, stmt_id, costliest, slowest. The order is metric, falling score,
-    plan, costliest before slowest.
+    ``matched_picks`` comes from :func:`match_picks`. The order is metric, falling score, plan,
+    costliest before slowest.
     """
     ranked = scores.withColumn("metric_ord", metric_order()).filter("metric_ord is not null")
-    return _with_picks(ranked.join(plan_picks.select("plan_id", "stmt_id", "costliest", "slowest"), "plan_id"))
+    return _with_picks(ranked.join(matched_picks.select("plan_id", "stmt_id", "costliest", "slowest"), "plan_id"))
 
 
 def document_scores(picked: DataFrame) -> DataFrame:
@@ -53,43 +79,29 @@ def document_pick_rows(scored: DataFrame) -> DataFrame:
     return _with_picks(scored.withColumn("metric_ord", metric_order()).filter("metric_ord is not null"))
 
 
-def credit(pick_rows: DataFrame, predicates: DataFrame) -> DataFrame:
+def credit(pick_rows: DataFrame) -> DataFrame:
     """Credits: (stmt_id, plan_id, metric, score, pick_kind, table_name, expr).
 
     The first pick of a statement that matches an eligible predicate credits every predicate
     it matches; each later pick of the statement credits the last of those again. Expressed as
-    a minimum per statement between two joins, both spread over salts, so a statement with
-    very many picks is never sorted or gathered in one task. ``pick_rows`` is read twice.
+    a minimum per statement and one join spread over salts, so a statement with very many
+    picks is never sorted or gathered in one task. ``pick_rows`` is read twice.
     """
     visit = F.struct("metric_ord", (-F.col("score")).alias("neg_score"), "plan_id", "pick_ord")
     rows = pick_rows.withColumn("visit", visit)
-    # One row per statement; its map is as small as the statement's WHERE clause.
-    entry = F.struct("sentinel", F.struct("pred_ord", "expr").alias("p"))
-    known = (
-        sentinel_lookup(predicates)
-        .filter("eligible_index")
-        .groupBy("stmt_id")
-        .agg(F.map_from_entries(F.collect_list(entry)).alias("known"))
-    )
-    found = F.filter(
-        F.transform(condition_tokens(F.col("condition")), lambda t: F.try_element_at("known", t)), lambda p: p.isNotNull()
-    )
-    matched = join_hot(rows, known, ["stmt_id"], ["visit"]).select("stmt_id", "visit", "table_name", found.alias("matched"))
     first = (
-        matched.groupBy("stmt_id")
-        .agg(F.min(F.when(F.size("matched") > 0, F.struct("visit", "table_name", "matched"))).alias("_first"))
-        .filter("_first is not null")
+        rows.filter(F.size("matched") > 0)
+        .groupBy("stmt_id")
+        .agg(F.min(F.struct("visit", "table_name", "matched")).alias("_first"))
         .select("stmt_id", F.col("_first.visit").alias("first_visit"), "_first.table_name", "_first.matched")
     )
     credited = F.when(F.col("visit") == F.col("first_visit"), F.col("matched")).otherwise(
         F.slice("matched", F.size("matched"), F.lit(1))
     )
     return (
-        join_hot(rows.drop("table_name", "condition"), first, ["stmt_id"], ["visit"])
+        join_hot(rows.drop("table_name", "matched"), first, ["stmt_id"], ["plan_id"])
         .filter(F.col("visit") >= F.col("first_visit"))
-        .select("stmt_id", "plan_id", "metric", "score", "pick_kind", "table_name", F.explode(credited).alias("_c"))
-        .withColumn("expr", F.col("_c.expr"))
-        .drop("_c")
+        .select("stmt_id", "plan_id", "metric", "score", "pick_kind", "table_name", F.explode(credited).alias("expr"))
     )
 
 
@@ -143,22 +155,22 @@ def advise(scores: DataFrame, plan_picks: DataFrame, predicates: DataFrame, thre
 
     ``keep`` writes the pick rows once to the shared folder, since two joins read them.
     """
-    rows = picks(scores, plan_picks)
-    return _report(written(rows, "picks") if keep else rows, score_stats(scores), predicates, threshold)
+    rows = picks(scores, match_picks(plan_picks, predicates))
+    return _report(written(rows, "picks") if keep else rows, score_stats(scores), threshold)
 
 
 def advise_documents(picked: DataFrame, predicates: DataFrame, threshold: int = PRIORITY_THRESHOLD, keep: bool = True):
     """:func:`advise` for the rows of ``document_picks``: scores and picks meet without a join.
 
-    ``keep`` writes the scored rows once, so that each document is parsed a single time.
+    ``keep`` writes the matched plans once, so that each document is parsed a single time.
     """
-    scored = document_scores(picked)
-    scored = written(scored.select("plan_id", "stmt_id", "metric", "score", "costliest", "slowest"), "scored") if keep else scored
-    return _report(document_pick_rows(scored), score_stats(scored), predicates, threshold)
+    matched = match_picks(picked, predicates)
+    scored = document_scores(written(matched, "matched-plans") if keep else matched)
+    return _report(document_pick_rows(scored), score_stats(scored), threshold)
 
 
-def _report(pick_rows: DataFrame, stats: DataFrame, predicates: DataFrame, threshold: int):
-    credits = credit(pick_rows, predicates)
+def _report(pick_rows: DataFrame, stats: DataFrame, threshold: int):
+    credits = credit(pick_rows)
     return recommend(index_candidates(credits, stats), threshold), credits, stats
 
 

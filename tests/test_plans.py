@@ -128,7 +128,7 @@ def test_credit_order(spark):
         "plan_id int, stmt_id int, costliest struct<table_name string, condition string>, slowest struct<table_name string, condition string>",
     )
     s = scores(spark, [40, 30, 20, 10])
-    credits = advisor.credit(advisor.picks(s, plan_picks), preds)
+    credits = advisor.credit(advisor.picks(s, advisor.match_picks(plan_picks, preds)))
     got = {r.expr: r["count"] for r in credits.groupBy("expr").count().collect()}
     assert got == {"a": 1, "b": 2}
 

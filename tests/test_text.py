@@ -36,7 +36,7 @@ def test_arrays_round_trip(spark):
 
 @pytest.mark.parametrize(
     "query, kind",
-    [("insert into t values (1)", "failed"), ("SELECT 1", "select"), (" update t set a = 1", "update"), ("delete from t", "delete"), ("", "failed")],
+    [("insert into t values (1)", "failed"), ("SELECT 1", "select"), (" update t set a = 1", "update"), ("delete from t", "delete"), ("", "failed"), ("with x as (select 1 from a) select * from x", "select"), ("from t", "select"), ("(select 1) union (select 2)", "select")],
 )
 def test_kind(spark, query, kind):
     assert one(spark, query, text.statement_kind) == kind
@@ -111,6 +111,7 @@ def test_functions_and_column_pairs(spark):
         ("delete from t where a <= 1 and b not like 'q'", ["a"], ["a", "b"]),
         ("select * from t where case when a = 1 then 2 else 3 end = 4 and b = 1", ["b"], ["b"]),
         ("select * from t", [], []),
+        ("with x as (select 1 from a where z = 1) select *\n from x\n where b = 1\n limit 5", ["b"], ["b"]),
         ("select * from t where a not in ('x', 'y') and b != 1 group by c having d = 1", ["b"], ["b"]),
     ],
 )
