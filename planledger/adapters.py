@@ -3,7 +3,8 @@
 The tables hold no source code and no plans, so these functions derive them row by row:
 query calls from ``events``, Java classes from ``part``, service classes from ``orders``, plan
 documents from ``lineitem`` and plan nodes from ``orders`` and ``lineitem``. All are
-projections (no shuffle), so the derived data grows with the tables.
+projections, so the derived data grows with the tables. A table with fewer splits than cores
+is dealt out to all cores first; a large one is not shuffled.
 """
 
 from __future__ import annotations
