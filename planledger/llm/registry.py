@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planledger.llm import bpe, token_orc
+from planledger.llm import bpe, simhash, token_orc
 from planledger.llm.common import read_table
 from planledger.session import work_dir
 
@@ -26,9 +26,14 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_bpe": op2_bpe,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
