@@ -95,6 +95,11 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def small_letters(column: pa.Array) -> pa.Array:
+    """Texts in lower case, of any script; nulls stay."""
+    return pc.utf8_lower(column)
+
+
 def runs(inside: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each run of true positions; a run never crosses the start of a value."""
     if not len(inside):

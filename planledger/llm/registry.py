@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planledger.llm import bpe, quality, simhash, token_orc, toxicity
+from planledger.llm import bpe, decontam, quality, simhash, token_orc, toxicity
 from planledger.llm.common import read_table
 from planledger.llm.labelled import held_out
 from planledger.session import work_dir
@@ -27,6 +27,10 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
     rows = toxicity.scores(docs, toxicity.train(docs, labels))
@@ -46,6 +50,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_bpe": op2_bpe,
+    "op4_decontam": op4_decontam,
     "op5_toxicity": op5_toxicity,
     "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,

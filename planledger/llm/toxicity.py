@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from planledger.llm import labelled
-from planledger.llm.common import byte_view, hashes, lowered, mix, rounds, word_runs
+from planledger.llm.common import byte_view, hashes, mix, rounds, small_letters, word_runs
 
 #: Labelled rows used for fitting, at most; passes over them; what a toxic document's step weighs.
 SAMPLE, PASSES, POSITIVE = 20_000, 6, 2.0
@@ -31,8 +31,7 @@ ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.01
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Text number and bucket of each feature, by text; features may repeat."""
-    data, starts = byte_view(texts)
-    data = lowered(data)
+    data, starts = byte_view(small_letters(texts))
     begin, end = word_runs(data, starts)
     h = hashes(data, begin, end)
     owner = np.searchsorted(starts, begin, side="right") - 1
