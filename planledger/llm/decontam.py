@@ -33,19 +33,19 @@ FILTER_BITS = 24
 CELLS = 1 << 20
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: pa.Array, size: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and text number of each word, and the hash of the n-gram that begins there (0: none)."""
     data, starts = byte_view(small_letters(texts))
     begin, end = word_runs(data, starts)
     h = hashes(data, begin, end)
     owner = np.searchsorted(starts, begin, side="right") - 1
-    n = len(h) - SEED_WORDS + 1
+    n = len(h) - size + 1
     grams = np.zeros(len(h), np.uint64)
     if n > 0:
         code = h[:n].copy()
-        for k in range(1, SEED_WORDS):
+        for k in range(1, size):
             code = code * np.uint64(0x9E3779B97F4A7C15) + h[k : n + k]
-        inside = owner[SEED_WORDS - 1 :] == owner[:n]
+        inside = owner[size - 1 :] == owner[:n]
         grams[:n][inside] = mix(code[inside]) | np.uint64(1)
     return h, owner, grams
 
@@ -103,20 +103,21 @@ def item_grams(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
-def document_counts(docs: DataFrame, text_col: str, bits: np.ndarray) -> DataFrame:
-    """``gram``, ``docs``: in how many documents each n-gram of the filter is."""
+def gram_counts(docs: DataFrame, text_col: str, bits: np.ndarray, size: int = SEED_WORDS) -> DataFrame:
+    """``gram``, ``docs``, ``times``: in how many documents each n-gram of the filter is, and how often."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rounds(batches):
-            _, owner, grams = words(batch.column("text"))
+            _, owner, grams = words(batch.column("text"), size)
             at = _hits(shared.value, grams)
-            pairs = np.unique(np.stack((grams[at], owner[at].astype(np.uint64))), axis=1)[0]
-            gram, count = np.unique(pairs, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(count)], names=["gram", "docs"])
+            pairs, times = np.unique(np.stack((grams[at], owner[at].astype(np.uint64))), axis=1, return_counts=True)
+            gram, first, count = np.unique(pairs[0], return_index=True, return_counts=True)
+            total = np.add.reduceat(times, first) if len(first) else times
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(count), pa.array(total)], names=["gram", "docs", "times"])
 
     own = docs.select(docs[text_col].alias("text"))
-    return own.mapInArrow(run, "gram bigint, docs bigint").groupBy("gram").agg(F.sum("docs").alias("docs"))
+    return own.mapInArrow(run, "gram bigint, docs bigint, times bigint").groupBy("gram").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray, reach: int) -> DataFrame:
@@ -221,7 +222,7 @@ def _align(cut: float):
 def matches(docs: DataFrame, items: DataFrame, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per aligned stretch: ``id``, ``tag``, ``item_id``, ``score``, ``word_start``, ``word_end``."""
     grams = written(item_grams(items, item_col, item_text), "item-grams")
-    counts = written(document_counts(docs, text_col, bloom(grams)), "gram-counts")
+    counts = written(gram_counts(docs, text_col, bloom(grams)).drop("times"), "gram-counts")
     counted = grams.select("item", "gram", "place").join(counts, "gram", "left").fillna(0, ["docs"])
     usual = counted.groupBy("item").agg(F.percentile_approx("docs", 0.5).alias("usual"))
     rare = F.col("docs") <= F.greatest(F.lit(RARE_DOCS), RARE * F.col("usual"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planledger.llm import bpe, decontam, quality, simhash, token_orc, toxicity
+from planledger.llm import bpe, decontam, pii, quality, secret_scan, simhash, spans, token_orc, toxicity
 from planledger.llm.common import read_table
 from planledger.llm.labelled import held_out
 from planledger.session import work_dir
@@ -16,6 +16,11 @@ from planledger.session import work_dir
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def spanned(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    counts = [spans.count("spans", kind).alias(f"n_{kind}") for kind in kinds]
+    return rows.select("doc_id", *counts, spans.digest("spans").alias("base_sha256"), spans.listed("spans").alias("spans"))
+
+
 def op1_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     path = token_orc.write_token_ids(read_table(spark, folder, "documents"), TOKENIZER, work_dir(spark, "token-ids"))
     rows = token_orc.positions(token_orc.checksums(token_orc.read_token_ids(spark, path)))
@@ -27,6 +32,10 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return spanned(pii.scan(read_table(spark, folder, "documents")), pii.KINDS)
+
+
 def op4_decontam(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -37,6 +46,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return spanned(secret_scan.scan(read_table(spark, folder, "documents")), secret_scan.KINDS[:3])
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
     rows = quality.scores(docs, quality.train(docs, labels))
@@ -50,8 +63,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_bpe": op2_bpe,
+    "op3_pii": op3_pii,
     "op4_decontam": op4_decontam,
     "op5_toxicity": op5_toxicity,
+    "op6_secrets": op6_secrets,
     "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
 }
