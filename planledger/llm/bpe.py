@@ -13,6 +13,7 @@ has the columns (id, ``n_tokens``, ``ids``, ``decoded``) only, whatever else the
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -28,8 +29,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 from planledger.llm.common import binary, rounds
 
-#: Pieces that one Python worker keeps encoded; beyond that it starts anew, with the same results.
-KEPT_PIECES = 300_000
+#: Pieces in each of the two generations that a Python worker keeps encoded; results don't depend on it.
+KEPT_PIECES = 250_000
 #: Longer pieces are merged on a heap.
 LIST_BYTES = 96
 LETTER, NUMBER, OTHER, BLANK = 1, 2, 3, 0
@@ -42,14 +43,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def plain_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file splits texts by the byte-level pattern and nothing else."""
+    before = spec["pre_tokenizer"] or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec["normalizer"]
+    return bool(plain) and spec["model"]["type"] == "BPE" and not any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in spec["added_tokens"])
+
+
 class Merges:
     """Vocabulary and merge table of a byte-level BPE tokenizer file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        model, before = spec["model"], spec["pre_tokenizer"]
-        if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec["normalizer"]:
+        model = spec["model"]
+        if not plain_byte_level(spec):
             raise ValueError("a byte-level BPE file without normalizer and prefix blank is needed")
         letters = byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
@@ -162,7 +170,7 @@ class Merges:
         longest = self.greedy.iter_long
         found = [[self.special[p]] if p in self.special else [t for _, t in longest(p.decode("latin-1"))] for p in pieces]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((t for tokens in found for t in tokens), np.int64, int(lengths.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(found)), lengths)
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, which = np.unique(flat[inside] << 32 | flat[inside + 1], return_inverse=True)
@@ -267,41 +275,53 @@ def pieces(texts: pa.Array, special: tuple[bytes, ...] = ()) -> tuple[pa.Diction
 
 
 class Store:
-    """Encoded pieces, kept over the rounds of a worker."""
+    """Encoded pieces, kept over the rounds of a worker in two generations: when the younger is full
+    it becomes the older, from which pieces met again move up, and the older one is given up."""
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], special: tuple[bytes, ...]):
         self.encode, self.special = encode, special
-        self.clear()
-
-    def clear(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.older = self.slot, self.flat, self.start
+
+    def add(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words)), strict=True))
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(lengths)))
+        self.flat = np.concatenate((self.flat, flat))
+
+    def learn(self, words: list[bytes]) -> None:
+        if len(self.slot) > KEPT_PIECES:
+            self.older = self.slot, self.flat, self.start
+            self.slot, self.flat, self.start = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+        missing = [w for w in words if w not in self.slot]
+        old, flat, start = self.older
+        if old is not self.slot and (again := [w for w in missing if w in old]):
+            self.add(again, *gather(flat, start, np.fromiter(map(old.__getitem__, again), np.int64, len(again))))
+            missing = [w for w in missing if w not in old]
+        if missing:
+            found = self.encode(missing)
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self.add(missing, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum())), lengths)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, one after the other, and the number of ids of each text."""
         coded, count = pieces(texts, self.special)
         words = coded.dictionary.to_pylist()
-        if len(self.slot) > KEPT_PIECES:
-            self.clear()
-        missing = [w for w in words if w not in self.slot]
-        if missing:
-            new = self.encode(missing)
-            self.slot.update(zip(missing, range(len(self.slot), len(self.slot) + len(missing)), strict=True))
-            lengths = np.fromiter(map(len, new), np.int64, len(new))
-            flat = np.fromiter((t for tokens in new for t in tokens), np.int32, int(lengths.sum()))
-            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(lengths)))
-            self.flat = np.concatenate((self.flat, flat))
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-        slots = slots[coded.indices.to_numpy()] if len(words) else slots
-        low = self.start[slots]
-        length = self.start[slots + 1] - low
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(low - (ends - length), length) + np.arange(total)]
-        upto = np.concatenate(([0], ends))[np.cumsum(count)]
+        self.learn(words)
+        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        ids, lengths = gather(self.flat, self.start, slots)
+        upto = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(count)]
         return ids, np.diff(upto, prepend=0)
 
 
+def gather(flat: np.ndarray, start: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some slots, one after the other, and how many each has."""
+    low = start[slots]
+    length = start[slots + 1] - low
+    ends = np.cumsum(length)
+    return flat[np.repeat(low - (ends - length), length) + np.arange(length.sum())], length
+
+
 @lru_cache(2)
 def store(path: str) -> Store:
     merges = load(path)

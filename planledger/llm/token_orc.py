@@ -13,6 +13,7 @@ empty table gives a folder without rows. Further columns of the input are not wr
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -47,12 +48,10 @@ def text_coder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
     def encode(texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    try:
-        special = tuple(bpe.load(path).special)
-    except (ValueError, KeyError, TypeError):
-        special = None
-    if special is not None:
-        return bpe.Store(encode, special).ids
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    if bpe.plain_byte_level(spec):
+        return bpe.Store(encode, tuple(a["content"].encode() for a in spec["added_tokens"])).ids
 
     def whole(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = encode(binary(texts).to_pylist())
