@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planledger.llm import bpe, decontam, pii, quality, secret_scan, simhash, spans, token_orc, toxicity
+from planledger.llm import ann, bpe, decontam, lm, pii, quality, secret_scan, simhash, spans, token_orc, toxicity
 from planledger.llm.common import read_table
 from planledger.llm.labelled import held_out
 from planledger.session import work_dir
@@ -50,12 +50,20 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return spanned(secret_scan.scan(read_table(spark, folder, "documents")), secret_scan.KINDS[:3])
 
 
+def op7_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scores(read_table(spark, folder, "documents"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
     rows = quality.scores(docs, quality.train(docs, labels))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(read_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
@@ -67,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontam": op4_decontam,
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
+    "op7_lm": op7_lm,
     "op8_quality": op8_quality,
+    "op9_ann": op9_ann,
     "op10_simhash": op10_simhash,
 }
 
