@@ -99,6 +99,56 @@ def service_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_class_names(files.withColumn("size", F.octet_length("content")))
 
 
+def hard_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes with calls that are easily missed or mistaken: one per customer."""
+    content = F.expr(
+        """concat(
+        'class Hard', c_custkey, ' {\n',
+        '  // em.createQuery("select old', c_custkey, '")\n',
+        '  /* em.createQuery("gone") */ String s = "em.createQuery(\\\\"no\\\\")"; char a = \\'"\\', b = \\')\\';\n',
+        '  Object c = em.createQuery("select a from T where k = " + ', repeat('f(', 40), c_custkey, repeat(')', 40), ', X.class);\n',
+        '  Object d = em.createQuery("select b from U where u = " + (((x))));\n',
+        '  Object e = em.createQuery(("select " + ("c" + (" from V', c_custkey, '"))) /* ) */);\n}\n')"""
+    )
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("hard/"), F.col("c_custkey").cast("string")).alias("path"), content.alias("content"))
+
+
+def deep_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities whose annotations nest brackets ten deep: one per supplier."""
+    content = F.expr(
+        """concat('import javax.persistence.*;\n@Entity\n@Table(name = "S_', s_suppkey, '", x = ', repeat('(', 10), '1', repeat(')', 10), ')\n',
+        'public class Supplier', s_suppkey, ' {\n  @Column(name = "deep', s_suppkey, '", length = ', repeat('f(', 10), '2', repeat(')', 10), ')\n  private int deep;\n',
+        '  @Column(columnDefinition = "number(9)", name = "flat")\n  private int flat;\n}\n')"""
+    )
+    files = table(spark, sf_dir, "supplier").select(F.expr("concat('/ws/src/main/java/d/Supplier', s_suppkey, '.java')").alias("path"), content.alias("content"))
+    return with_class_names(files.withColumn("size", F.octet_length("content")))
+
+
+def report_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes with one query each: one per order, with the customer's statement."""
+    content = F.expr(
+        """concat('class Rep', o_orderkey, ' {\n  // em.createQuery("no")\n    return em.createQuery("select o from t', o_custkey % 8, ' o where o.c', o_custkey % 5,
+        ' = :a and o.day >= :b and o.k = ', o_custkey, '");\n}\n')"""
+    )
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("rep/Rep"), F.col("o_orderkey").cast("string"), F.lit(".java")).alias("path"), content.alias("content"))
+
+
+def report_documents(spark: SparkSession, sf_dir: str, sites: DataFrame, bound: DataFrame) -> DataFrame:
+    """One plan for each call site: a scan with the bound statement's conditions, as a database prints them."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("rep/Rep"), F.col("o_orderkey").cast("string"), F.lit(".java")).alias("path"), "o_orderkey", "o_totalprice"
+    )
+    marks = F.regexp_extract("bound_text", r"(t\d) o where o\.(c\d) = ('tag-\d+') and o\.day >= \{d '([\d-]+)'\}", 0)
+    part = lambda group: F.regexp_extract(marks, r"(t\d) o where o\.(c\d) = ('tag-\d+') and o\.day >= \{d '([\d-]+)'\}", group)
+    texts = bound.select("stmt_id", part(1).alias("t"), F.concat(F.lit("(("), part(2), F.lit(")::text = "), part(3), F.lit(") AND (day >= '"), part(4), F.lit("'::date)")).alias("filter"))
+    scan = F.struct(
+        F.lit("Seq Scan").alias("Node Type"), F.col("t").alias("Relation Name"), F.floor(F.col("o_totalprice") / 100).alias("Total Cost"),
+        (F.col("o_orderkey") % 97).alias("Actual Total Time"), F.col("filter").alias("Filter"),
+    )
+    json = F.to_json(F.array(F.struct(scan.alias("Plan"), F.floor(F.col("o_totalprice") / 1000).alias("Execution Time"))))
+    return sites.join(texts, "stmt_id").join(orders, "path").select(F.col("path").alias("plan_id"), "stmt_id", json.alias("json"))
+
+
 def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files; the source stands for the class."""
     return table(spark, sf_dir, "documents").select(

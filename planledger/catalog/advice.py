@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters
+from ..operators import extract, params, predicates, statements
 from ..plans import advisor, nodes, scoring
+from ..session import written
 from ..sources.plans import read_pg_plans
 from . import sqlparts
 
@@ -67,7 +69,7 @@ def recommend(spark, sf):
 def recommend_from_documents(spark, sf):
     """The same advice from JSON plan documents: everything per plan is computed inside its row."""
     plans = read_pg_plans(adapters.pg_documents(spark, sf), "json").drop("json")
-    return advisor.advise_documents(nodes.document_picks(plans), adapters.document_predicates(spark, sf), threshold=50)[0]
+    return advisor.advise_documents(nodes.document_picks(plans), adapters.document_predicates(spark, sf), threshold=1_500_000)[0]
 
 
 def affected(spark, sf):
@@ -77,7 +79,7 @@ def affected(spark, sf):
 
 def affected_queries(spark, sf):
     _, credits, stats = _report(spark, sf)
-    best = advisor.recommend(advisor.index_candidates(credits, stats), 100)
+    best = advisor.recommend(advisor.index_candidates(credits, stats), 150_000)
     stmts = adapters.flat_call_sites(spark, sf).select("stmt_id").distinct()
     return advisor.affected_queries(stmts, credits, best)
 
@@ -96,6 +98,33 @@ def file_report_locations(spark, sf):
     return _file_report(spark, sf)[1]
 
 
+def _from_source(spark, sf):
+    """From Java source to advice: (recommendations, credits, call sites).
+
+    Calls are found in the files, their texts counted, parameters typed and bound; each call's
+    plan is written as the database would for the bound text, and read back.
+    """
+    calls = extract.classify(extract.extract_calls(adapters.report_corpus(spark, sf)))
+    stmts = statements.dedupe(calls).filter("not is_dynamic and kind <> 'failed'")
+    found = params.find_parameters(stmts)
+    marks = params.make_sentinels(found.withColumn("type_name", F.when(F.col("column_ref").endswith("day"), "Date").otherwise("String")))
+    bound = written(params.bind(stmts, marks), "bound")
+    preds = params.sentinel_predicates(predicates.extract_predicates(bound.drop("query_text"), "bound_text"), marks)
+    sites = written(extract.locate(bound, calls), "sites")
+    documents = adapters.report_documents(spark, sf, sites, bound)
+    plans = read_pg_plans(documents, "json").drop("json")
+    out, credits, _ = advisor.advise_documents(nodes.document_picks(plans), preds, threshold=200)
+    return out, credits, sites
+
+
+def source_to_recommendation(spark, sf):
+    return _from_source(spark, sf)[0]
+
+
+def source_to_places(spark, sf):
+    return advisor.affected(*_from_source(spark, sf))
+
+
 _F = "with " + sqlparts.FLAT
 _C = "with " + sqlparts.credits()
 _CHOSEN = "with chosen as (select distinct o_orderkey // 10 as stmt_id from orders where o_custkey % 50 in (1, 2)),\n" + sqlparts.credits("chosen")
@@ -134,10 +163,40 @@ candidates as (
   from credits join stats using (metric) group by table_name, expr)
 select """
     + _DDL
-    + " as ddl, priority, table_name, expr from candidates where priority >= 50"
+    + " as ddl, priority, table_name, expr from candidates where priority >= 1500000"
+)
+
+# Every order's file has one call; its plan is one scan with the statement's two conditions.
+_SOURCE_ADVICE = (
+    """with calls as (
+  select o_orderkey as k, 'rep/Rep' || o_orderkey || '.java' as path, 't' || (o_custkey % 8) as t, 'select o from t' || (o_custkey % 8) || ' o where o.c' || (o_custkey % 5) || ' = :a and o.day >= :b and o.k = ' || o_custkey as q,
+    'c' || (o_custkey % 5) as e, o_totalprice as price, o_orderkey % 97 as time from orders),
+scores as (
+  select path, q, t, e, 'total_cost' as metric, floor(price / 100) as score from calls
+  union all select path, q, t, e, 'execution_time', floor(price / 1000) from calls
+  union all select path, q, t, e, 'sequence_scan', time from calls),
+stats as (select metric, avg(score) as mean, coalesce(stddev_samp(score), 0) as sd from (select distinct metric, score from scores) group by metric),
+ordered as (
+  select s.*, row_number() over (partition by q order by case metric when 'execution_time' then 2 when 'total_cost' then 3 else 4 end, score desc, path, pick) as visit
+  from scores s, (values (0), (1)) p(pick)),
+credits as (select *, 'day' as expr from ordered union all select *, e from ordered where visit = 1),
+candidates as (
+  select t as table_name, expr, cast(floor(count(*) * (1 + sum(case when sd > 0 and score > mean + sd then ((score - mean) / sd) * ((score - mean) / sd) else 0 end))) as bigint) as priority
+  from credits join stats using (metric) group by 1, 2),
+best as (select """
+    + _DDL
+    + """ as ddl, priority, table_name, expr from candidates where priority >= 200)
+"""
 )
 
 QUERIES = {
+    "e2e_recommend": (source_to_recommendation, _SOURCE_ADVICE + "select * from best"),
+    "e2e_affected": (
+        source_to_places,
+        _SOURCE_ADVICE
+        + """select distinct b.ddl, a.path, 3 as begin_line, 12 as begin_col, 3 as end_line, (12 + 17 + length(a.q))::int as end_col
+        from best b join (select distinct t, expr, q from credits) c on c.t = b.table_name and c.expr = b.expr join calls a on a.q = c.q""",
+    ),
     "i1_score_table": (score_table, _F + "select metric, score, count(*) as plans from scores group by 1, 2"),
     "i2_score_stats": (score_stats, _F + "select metric, distinct_scores, round(mean, 4) as mean, round(sd, 4) as sd from stats"),
     "i3_top_offenders": (top_offenders, _offenders(10)),
@@ -159,7 +218,7 @@ QUERIES = {
     ),
     "i9_affected_queries": (
         affected_queries,
-        _C + "select distinct stmt_id from credits join ranked using (table_name, expr) where priority >= 100",
+        _C + "select distinct stmt_id from credits join ranked using (table_name, expr) where priority >= 150000",
     ),
     "i10_file_report": (file_report, _CHOSEN + f"select {_DDL} as ddl, priority, table_name, expr from ranked"),
     "i10_file_report_locations": (

@@ -127,8 +127,8 @@ def assemble_appends(spark, sf):
 
 
 def assignments_union(spark, sf):
-    """A variable is the user turns of eight places of a conversation, so no variable grows with its conversation."""
-    users = table(spark, sf, "conversations").filter("role = 'user'").selectExpr("concat(conv_id, '/', turn div 8) variable", "turn", "text")
+    """A variable is all user turns of a conversation."""
+    users = table(spark, sf, "conversations").filter("role = 'user'").selectExpr("cast(conv_id as string) variable", "turn", "text")
     return extract.fold_assignments(users, "variable", "turn", "text")
 
 
@@ -147,7 +147,21 @@ _SERVICE = """with svc as (
     'select x from t_' || lower(o_orderstatus) || ' x where f(x.a, '')'') = :p', 'select x from t_' || lower(o_orderstatus) || ' x where f(x.a, '')'') = :p' from orders)
 """
 
+def hard_calls(spark, sf):
+    """Comments, strings, characters and deep brackets round the calls."""
+    calls = extract.classify(extract.extract_calls(adapters.hard_corpus(spark, sf)))
+    return calls.select("path", "call_ord", "argument", F.col("is_dynamic").cast("int").alias("is_dynamic"), "query_text", "begin_line", "begin_col", "end_line", "end_col")
+
+
+_HARD = """with h as (
+  select 'hard/' || c_custkey as path, 0 as call_ord, '"select a from T where k = " + ' || repeat('f(', 40) || c_custkey || repeat(')', 40) as argument, ', X.class' as rest, 1 as is_dynamic, null as folded, 4 as line from customer
+  union all select 'hard/' || c_custkey, 1, '"select b from U where u = " + (((x)))', '', 1, null, 5 from customer
+  union all select 'hard/' || c_custkey, 2, '("select " + ("c" + (" from V' || c_custkey || '")))', ' /* ) */', 0, 'select c from v' || c_custkey, 6 from customer)
+select path, call_ord, argument, is_dynamic, coalesce(folded, lower(argument)) as query_text, line as begin_line, 14 as begin_col, line as end_line,
+  (13 + 16 + length(argument) + length(rest))::int as end_col from h"""
+
 QUERIES = {
+    "b1_hard_calls": (hard_calls, _HARD),
     "a1_scan_corpus": (
         scan_corpus,
         "select page_id, strlen(html) + 1 as size, md5(html) as content_md5 from pages",
@@ -208,7 +222,7 @@ QUERIES = {
     ),
     "b6_assignments_union": (
         assignments_union,
-        "select conv_id || '/' || (turn // 8) as variable, count(*) as assignments, string_agg(text, '' order by turn) as query_text from conversations where role = 'user' group by 1",
+        "select cast(conv_id as varchar) as variable, count(*) as assignments, string_agg(text, '' order by turn) as query_text from conversations where role = 'user' group by 1",
     ),
     "b8_scan_summary": (
         scan_summary,

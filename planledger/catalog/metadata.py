@@ -103,7 +103,25 @@ def same_table_failover(spark, sf):
 
 _J = "with " + sqlparts.PARTS
 
+def deep_tables(spark, sf):
+    return metadata.entity_tables(adapters.deep_corpus(spark, sf))
+
+
+def deep_columns(spark, sf):
+    """Annotations with brackets ten deep, and brackets inside a string."""
+    return metadata.entity_columns(adapters.deep_corpus(spark, sf))
+
+
 QUERIES = {
+    "e1_deep_annotations": (
+        deep_tables,
+        "select 'supplier' || s_suppkey as entity, 's_' || s_suppkey as table_name from supplier union all select 's_' || s_suppkey, 's_' || s_suppkey from supplier",
+    ),
+    "e2_deep_annotations": (
+        deep_columns,
+        """select 'supplier' || s_suppkey as entity, 'Supplier' || s_suppkey as qualified_class, unnest(['deep', 'deep' || s_suppkey, 'flat']) as field,
+          unnest(['deep' || s_suppkey, 'deep' || s_suppkey, 'flat']) as column_name from supplier""",
+    ),
     "e1_entity_tables": (entity_tables, _J + "select * from tabs"),
     "e1_embeddables": (embeddables, _J + "select entity from java where embeddable"),
     "e2_entity_columns": (entity_columns, _J + "select entity, qualified_class, field, column_name from cols"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import adapters
 from ..operators import params
 from ..plans.nodes import condition_clause
+from ..sources.tables import table
 from . import sqlparts
 
 
@@ -72,7 +73,21 @@ s as (select *, case type_name when 'Boolean' then 'true' when 'Integer' then ca
 v as (select *, case when type_name in ('Boolean', 'Integer', 'Long') then sentinel when type_name = 'Date' then '{d ''' || sentinel || '''}' else '''' || sentinel || '''' end as sql_value from s)
 """
 
+def many_parameters(spark, sf):
+    """Statements of 2,500 parameters: every one has a sentinel of its own."""
+    text = F.concat(F.lit("select s from supplier s where "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2499)), lambda i: F.concat(F.lit("s.a"), i.cast("string"), F.lit(" = ?"))), " and "))
+    stmts = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("stmt_id"), text.alias("query_text"))
+    marks = params.make_sentinels(params.find_parameters(stmts).withColumn("type_name", F.lit("Integer")))
+    number = F.col("sentinel").cast("bigint")
+    return marks.groupBy("stmt_id").agg(F.count_distinct("sentinel").alias("sentinels"), F.min(number).alias("least"), F.max(number).alias("most"))
+
+
 QUERIES = {
+    "g3_many_sentinels": (
+        many_parameters,
+        """select s_suppkey as stmt_id, 2500 as sentinels, cast('0x' || substr(md5(cast(s_suppkey as varchar)), 1, 5) as bigint) * 2000 as least,
+          cast('0x' || substr(md5(cast(s_suppkey as varchar)), 1, 5) as bigint) * 2000 + 2499 as most from supplier""",
+    ),
     "g1_find_parameters": (find_parameters, _PARAMS + "select stmt_id, param_ord, token, column_ref, in_like, cast_type from p"),
     "g2_infer_parameter_type": (infer_types, _PARAMS + "select stmt_id, param_ord, type_name from p"),
     "g3_make_sentinels": (make_sentinels, _PARAMS + "select stmt_id, param_ord, sentinel, sql_value from v"),

@@ -14,7 +14,7 @@ calls as (
       else 'insert into ' || t || ' values (' || u || ', ' || k || ')' end as query_text
   from ev),
 stmts as (
-  select md5(query_text) as stmt_id, query_text, is_dynamic, t, u, k, count(*) as occurrences, arg_max(path, call_ord) as owner_path,
+  select md5(query_text || case when is_dynamic then chr(1) || 'dynamic' else '' end) as stmt_id, query_text, is_dynamic, t, u, k, count(*) as occurrences, arg_max(path, call_ord) as owner_path,
     case u % 7 when 6 then 'failed' when 5 then 'update' else 'select' end as kind
   from calls group by query_text, is_dynamic, t, u, k)
 """
@@ -65,7 +65,7 @@ _NODE_TYPE = """case l_returnflag || l_linestatus when 'RO' then 'Seq Scan' when
 
 # The flat plan log.
 FLAT = f"""
-nodes as (
+nodes as materialized (
   select o_orderkey as plan_id, '000000' as path, 0 as depth,
     case o_orderstatus when 'F' then 'Seq Scan' when 'O' then 'Nested Loop' else 'Aggregate' end as node_type, 'orders_' || (o_custkey % 8) as relation_name,
     floor(o_totalprice / 100) as total_cost, case when o_orderkey % 11 <> 0 then cast(o_orderkey % 97 as double) end as actual_total_time,
@@ -81,12 +81,12 @@ nodes as (
   from lineitem),
 plan as (select o_orderkey as plan_id, o_orderkey // 10 as stmt_id, floor(o_totalprice / 100) as total_cost, cast(o_custkey % 10 as double) as startup_cost,
     o_totalprice as total_runtime, case when o_orderstatus <> 'P' then floor(o_totalprice / 1000) end as execution_time from orders),
-usable as (select * from nodes where total_cost is not null and node_type not in ('Nested Loop', 'Aggregate')),
+usable as materialized (select * from nodes where total_cost is not null and node_type not in ('Nested Loop', 'Aggregate')),
 costliest as (select * from (select *, row_number() over (partition by plan_id order by total_cost desc, path) as rn from usable) where rn = 1),
 slowest as (select * from (select *, row_number() over (partition by plan_id order by actual_total_time desc, path) as rn from usable where actual_total_time is not null) where rn = 1),
 scans as (
-  select plan_id, actual_total_time as score from nodes n where depth <= 1 and node_type = 'Seq Scan' and actual_total_time is not null
-    and exists (select 1 from nodes r where r.plan_id = n.plan_id and r.depth = 0 and r.actual_total_time is not null)),
+  select n.plan_id, n.actual_total_time as score from nodes n join (select distinct plan_id from nodes where depth = 0 and actual_total_time is not null) r on r.plan_id = n.plan_id
+    where n.depth <= 1 and n.node_type = 'Seq Scan' and n.actual_total_time is not null),
 roots as (
   select plan_id, 'total_cost' as metric, total_cost as score from plan union all select plan_id, 'startup_cost', startup_cost from plan
   union all select plan_id, 'total_runtime', total_runtime from plan
@@ -101,7 +101,7 @@ def credits(chosen: str = "") -> str:
     """Credits of the flat plan log; ``chosen`` names a relation of (stmt_id) the report is limited to."""
     only = f" and p.stmt_id in (select stmt_id from {chosen})" if chosen else ""
     source = (
-        f"own as (select * from scores s where exists (select 1 from plan p where p.plan_id = s.plan_id{only})),\n"
+        f"own as (select s.* from scores s join (select distinct plan_id from plan p where true{only}) p on p.plan_id = s.plan_id),\n"
         "own_stats as (select metric, avg(score) as mean, coalesce(stddev_samp(score), 0) as sd from (select distinct metric, score from own) group by metric),\n"
     )
     return (
@@ -138,7 +138,7 @@ sites as (select o_orderkey // 10 as stmt_id, 'f' || (o_custkey % 50) || '.java'
 DOCUMENTS = f"""
 li as materialized (select *, row_number() over () as rid, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(l_quantity as bigint) || '-' || cast(round(l_extendedprice * 100) as bigint) as plan_id, {_NODE_TYPE} as nt from lineitem),
 good as (select * from li where l_partkey % 50 <> 49),
-nodes as (
+nodes as materialized (
   select rid, plan_id, l_partkey as stmt_id, '000000' as path, cast(null as varchar) as parent_path, 0 as depth, 0 as node_ord, case when l_linenumber % 2 = 0 then 'Nested Loop' else nt end as node_type,
     case when l_linenumber % 2 = 1 then 'r' || (l_partkey % 8) end as relation_name, cast(l_suppkey % 10 as double) as startup_cost, l_extendedprice as total_cost, cast(null as bigint) as plan_rows,
     case when l_suppkey % 17 <> 0 then l_quantity end as actual_total_time, case when l_linenumber % 2 = 1 then '(c' || (l_partkey % 5) || ' = ''tag-' || (l_partkey * 10 + l_partkey % 5) || ''')' end as filter,
@@ -151,7 +151,7 @@ nodes as (
     '(c' || (l_linenumber % 5) || ' = ''tag-' || (l_partkey * 10 + l_linenumber % 5) || ''')', null, null from good where l_linenumber >= 4
   union all
   select rid, plan_id, l_partkey, '000000.000001', '000000', 1, case when l_linenumber >= 4 then 3 else 2 end, 'Index Scan', 'idx', null, floor(l_extendedprice / 4), null, l_quantity * 2, null, null, '(d = 1)', null from good),
-usable as (select * from nodes where total_cost is not null and node_type not in ('Nested Loop', 'Aggregate')),
+usable as materialized (select * from nodes where total_cost is not null and node_type not in ('Nested Loop', 'Aggregate')),
 costliest as (select *, coalesce(filter, recheck_cond) as condition from (select *, row_number() over (partition by rid order by total_cost desc, path) as rn from usable) where rn = 1),
 slowest as (select *, coalesce(filter, recheck_cond) as condition from (select *, row_number() over (partition by rid order by actual_total_time desc, path) as rn from usable where actual_total_time is not null) where rn = 1)
 """

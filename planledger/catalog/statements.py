@@ -10,7 +10,7 @@ from . import sqlparts
 
 
 def _statements(spark, sf):
-    return statements.dedupe(adapters.workload_calls(spark, sf))
+    return statements.dedupe(adapters.workload_calls(spark, sf), order=("call_ord",))
 
 
 def _accepted(spark, sf):
@@ -112,7 +112,7 @@ def columns_in(spark, sf):
 
 def call_site_lookup(spark, sf):
     calls = adapters.workload_calls(spark, sf)
-    sites = extract.locate(_statements(spark, sf).filter("not is_dynamic"), calls)
+    sites = extract.locate(_statements(spark, sf), calls)
     return sites.select("stmt_id", "path", "call_ord", "begin_line", "end_col")
 
 
@@ -125,7 +125,7 @@ _W, _P = "with " + sqlparts.CALLS, "with " + sqlparts.PREDICATES
 QUERIES = {
     "b7_call_site_lookup": (
         call_site_lookup,
-        _W + "select s.stmt_id, c.path, c.call_ord, (c.call_ord % 500 + 1)::int as begin_line, (length(c.query_text) + 9)::int as end_col from calls c join stmts s on s.query_text = c.query_text where not s.is_dynamic",
+        _W + "select s.stmt_id, c.path, c.call_ord, (c.call_ord % 500 + 1)::int as begin_line, (length(c.query_text) + 9)::int as end_col from calls c join stmts s on s.query_text = c.query_text and s.is_dynamic = c.is_dynamic",
     ),
     "b7_last_call_site": (
         last_call_site,

@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 LIT_OPEN, LIT_CLOSE = "\u0001", "\u0002"
 ARG_OPEN, ARG_CLOSE = "\u000e", "\u000f"
 GROUP_OPEN, GROUP_CLOSE = "\u0011", "\u0012"
+SHIELD = "\u0014\u0015"
 NOTHING, RANGE_AND = "\u0005", "\u0006"
 
 SQL_STRING = r"'[^']*+(?:''[^']*+)*+'"
 JAVA_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+JAVA_CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\n]*+)'"
+JAVA_COMMENT = r"//[^\n]*+|(?s:/\*.*?\*/)"
+
+# Paired brackets become private-use characters, one for each level counted from the innermost.
+PAIR = "[\\x{F0000}-\\x{10FFFF}]"
+_FIRST_PAIR, _PAIRS = 0xF0000, 0x20000
 
 ARRAY_PREFIX = "array_item_"
 
@@ -58,18 +65,19 @@ def unmask(col: Column, literals: Column) -> Column:
 def clean_query(col: Column) -> Column:
     """Query text made fit for clause extraction (lower case, quotes, long paths, arrays, short FROM)."""
     text = F.replace(F.replace(F.lower(col), F.lit('"'), F.lit("")), F.lit("\\'"), F.lit("'"))
-    text = replace_all(
-        text,
-        (r"((?:[^\s.]*+\.){4,}+[^\s.]*+)", '"$1"'),
-        (r"([^ )(\[]+)\[ *([0-9]+) *\]", ARRAY_PREFIX + "$1_$2"),
-    )
+    text = F.regexp_replace(text, r"((?:[^\s.]*+\.){4,}+[^\s.]*+)", '"$1"')
+    # An item is a dotted name and a number in brackets; what is around it, blank or sign, stays.
+    text = F.regexp_replace(text, rf"\b({_DOTTED})\[\s*+(\d+)\s*+\]", ARRAY_PREFIX + "$1_$2")
     text = F.when(F.startswith(text, F.lit("from ")), F.concat(F.lit("select * "), text)).otherwise(text)
     return F.replace(text, F.lit(" join fetch "), F.lit(" join "))
 
 
+_DOTTED = r"\w+(?:\.\w+)*"
+
+
 def restore_arrays(col: Column) -> Column:
     """Lower case, with rewritten array items back in bracket form."""
-    return F.regexp_replace(F.lower(col), ARRAY_PREFIX + r"(\S+)_([0-9]+)", "$1[$2]")
+    return F.regexp_replace(F.lower(col), rf"\b{ARRAY_PREFIX}({_DOTTED})_(\d+)\b", "$1[$2]")
 
 
 def statement_kind(col: Column) -> Column:
@@ -78,6 +86,17 @@ def statement_kind(col: Column) -> Column:
     return F.when(verb.isin("from", "with"), "select").when(verb.isin("select", "update", "delete"), verb).otherwise(F.lit("failed"))
 
 
+# Words that begin a clause: none of them can stand where a table, a column or a condition must.
+_CLAUSE = "(?:where|group|order|having|from|set|union|limit|and|or|on)"
+
+
+def readable(col: Column) -> Column:
+    """Whether brackets and quotes of a statement pair up and no clause is empty."""
+    masked = mask_literals(F.lower(col))
+    empty = rf"(?:\b(?:from|where|update|set|join|select|and|or|by)|,)\s*+(?:[,);]|{_CLAUSE}\b|$)"
+    return ~(F.contains(masked, F.lit("'")) | pair_brackets(masked).rlike(r"[()]") | masked.rlike(empty))
+
+
 def first_table(col: Column) -> Column:
     """First table named by FROM, UPDATE or DELETE; lower case, without the public schema."""
     masked = mask_literals(F.lower(col))
@@ -86,10 +105,65 @@ def first_table(col: Column) -> Column:
 
 
 def source_without_comments(col: Column) -> Column:
-    """Java source without comments; quoted strings are left alone."""
-    return F.regexp_replace(
-        col, "(" + JAVA_STRING + r")|//[^\n]*+|(?s:/\*.*?\*/)", "$1"
-    )
+    """Java source without comments; quoted strings and characters are left alone."""
+    return F.regexp_replace(col, f"({JAVA_STRING}|{JAVA_CHAR})|{JAVA_COMMENT}", "$1")
+
+
+def _each(col: Column, pattern: str, change) -> Column:
+    """The text with each match of the pattern changed by an expression."""
+    found = F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
+    gaps = F.split(col, pattern)
+    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(change(F.get(found, i)), F.lit("")))), "")
+
+
+def blank_comments(col: Column) -> Column:
+    """Java source with comments as blanks: nothing moves."""
+
+    def blank(token: Column) -> Column:
+        return F.when(F.startswith(token, F.lit("/")), F.regexp_replace(token, r"[^\n]", " ")).otherwise(token)
+
+    return _each(col, f"{JAVA_STRING}|{JAVA_CHAR}|{JAVA_COMMENT}", blank)
+
+
+def mask_quoted(col: Column) -> Column:
+    """Source without comments, with the insides of strings and characters as filler: nothing moves."""
+
+    def fill(token: Column) -> Column:
+        quote = F.left(token, F.lit(1))
+        return F.concat(quote, F.regexp_replace(F.substring(token, F.lit(2), F.length(token) - 2), r"[^\n]", "_"), quote)
+
+    return _each(col, f"{JAVA_STRING}|{JAVA_CHAR}", fill)
+
+
+def shield_quoted(col: Column) -> Column:
+    """Source with the brackets inside strings and characters as marks, which ``unshield`` undoes."""
+    return _each(col, f"{JAVA_STRING}|{JAVA_CHAR}", lambda token: F.translate(token, "()", SHIELD))
+
+
+def unshield(col: Column) -> Column:
+    return F.translate(col, SHIELD, "()")
+
+
+def pair_brackets(masked: Column) -> Column:
+    """Both brackets of a pair as the same character, another one for each level from the inside.
+
+    So a pattern finds the partner of a bracket as the next equal character, however deep. There are
+    at most as many rounds as opening brackets; brackets without a partner stay.
+    """
+    start = F.struct(masked.alias("text"), F.lit(False).alias("over"))
+
+    def innermost(acc: Column, level: Column) -> Column:
+        mark = F.decode(F.unhex(F.lpad(F.hex(F.lit(_FIRST_PAIR) + F.pmod(level, F.lit(_PAIRS - 2))), 8, "0")), "UTF-32")
+        new = F.regexp_replace(acc["text"], F.lit(r"\(([^()]*+)\)"), F.concat(mark, F.lit("$1"), mark))
+        return F.when(acc["over"], acc).otherwise(F.struct(new.alias("text"), (new == acc["text"]).alias("over")))
+
+    opening = F.length(masked) - F.length(F.replace(masked, F.lit("("), F.lit("")))
+    return F.aggregate(F.sequence(F.lit(0), opening), start, innermost, lambda acc: acc["text"])
+
+
+def paired(group: int) -> str:
+    """Pattern for a pair in text from ``pair_brackets``; ``group`` is the number of its capture."""
+    return rf"({PAIR})(?:(?!\{group}).)*+\{group}"
 
 
 def fold_java_strings(col: Column) -> Column:

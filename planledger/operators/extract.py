@@ -18,22 +18,24 @@ def extract_calls(corpus: DataFrame, method_names: Sequence[str] = QUERY_METHODS
     """One row per call of a query-making method: argument, call text and position.
 
     Works inside each file row, without a shuffle. Positions are 1-based and the end is
-    inclusive. The last bracket of the call is found by pairing brackets up to 12 deep,
-    with quoted strings skipped.
+    inclusive. Comments, strings and characters are masked first, so only real calls are found;
+    brackets are paired at any depth. A call inside another one's brackets belongs to that one.
     """
     names = "|".join(method_names)
-    plain = r'(?:[^()"]++|' + text.JAVA_STRING + "|%s)*+"
-    inner = plain % r"(?!)"
-    for _ in range(12):
-        inner = plain % (r"\(" + inner + r"\)")
-    call = rf"(?:\b\w+(?:\(\))?\s*\.\s*)*+\b(?:{names})\s*\({inner}\)"
+
+    def chain(group: int) -> str:
+        return rf"(?:\b\w+(?:({text.PAIR})\{group})?\s*\.\s*)*+"
+
+    call = rf"(?s){chain(1)}\b(?:{names})\s*{text.paired(2)}"
     # Splitting at the calls gives the text before each one; walking over gap, call, gap, call …
     # with a running (line, column) places every call in one pass over the file.
     kept = [c for c in corpus.columns if c != "content"]
     found = (
-        corpus.withColumn("_calls", F.regexp_extract_all("content", F.lit(call), F.lit(0)))
-        .withColumn("_gaps", F.split("content", call))
-        .select(*kept, "_calls", "_gaps")
+        corpus.withColumn("_code", text.blank_comments(F.col("content")))
+        .withColumn("_marked", text.pair_brackets(text.mask_quoted(F.col("_code"))))
+        .withColumn("_calls", F.regexp_extract_all("_marked", F.lit(call), F.lit(0)))
+        .withColumn("_gaps", F.split("_marked", call))
+        .select(*kept, "content", "_code", "_calls", "_gaps")
     )
 
     def extent(part: Column) -> Column:
@@ -44,37 +46,49 @@ def extract_calls(corpus: DataFrame, method_names: Sequence[str] = QUERY_METHODS
         return line + step["breaks"], F.when(step["breaks"] > 0, step["tail"] + 1).otherwise(column + step["tail"])
 
     def place(acc: Column, step: Column) -> Column:
+        at = acc["at"] + step["skip"]
         begin_line, begin_col = moved(acc["line"], acc["col"], step["gap"])
         end_line, end_col = moved(begin_line, begin_col, step["call"])
         spot = F.struct(
-            begin_line.alias("begin_line"), begin_col.alias("begin_col"), end_line.alias("end_line"), (end_col - 1).alias("end_col")
+            at.alias("at"), begin_line.alias("begin_line"), begin_col.alias("begin_col"), end_line.alias("end_line"), (end_col - 1).alias("end_col")
         )
-        return F.struct(end_line.alias("line"), end_col.alias("col"), F.concat(acc["spots"], F.array(spot)).alias("spots"))
+        return F.struct((at + step["size"]).alias("at"), end_line.alias("line"), end_col.alias("col"), F.concat(acc["spots"], F.array(spot)).alias("spots"))
 
     steps = F.transform(
-        "_calls", lambda c, i: F.struct(extent(F.get("_gaps", i)).alias("gap"), extent(c).alias("call"))
+        "_calls",
+        lambda c, i: F.struct(
+            extent(F.get("_gaps", i)).alias("gap"), extent(c).alias("call"), F.length(F.get("_gaps", i)).alias("skip"), F.length(c).alias("size")
+        ),
     )
     start = F.struct(
+        F.lit(1).alias("at"),
         F.lit(1).alias("line"),
         F.lit(1).alias("col"),
-        F.expr("cast(array() as array<struct<begin_line:int,begin_col:int,end_line:int,end_col:int>>)").alias("spots"),
+        F.expr("cast(array() as array<struct<at:int,begin_line:int,begin_col:int,end_line:int,end_col:int>>)").alias("spots"),
     )
     spots = F.aggregate(steps, start, place, lambda acc: acc["spots"])
-    rows = found.withColumn("_spots", spots).select(
-        *kept, F.posexplode_outer(F.arrays_zip(F.col("_calls").alias("call"), F.col("_spots").alias("spot"))).alias("call_ord", "_c")
+    parts = F.transform(
+        F.arrays_zip(F.col("_calls").alias("call"), spots.alias("spot")),
+        lambda c: F.struct(
+            c["call"].alias("marked"),
+            F.substring("content", c["spot"]["at"], F.length(c["call"])).alias("call_text"),
+            F.substring("_code", c["spot"]["at"], F.length(c["call"])).alias("code"),
+            c["spot"].dropFields("at").alias("spot"),
+        ),
     )
-    argument = F.regexp_extract("_c.call", rf"(?s)\b(?:{names})\s*\((.*)\)$", 1)
-    return rows.filter("_c is not null").select(
-        *kept, "call_ord", F.trim(_first_argument(argument)).alias("argument"), F.col("_c.call").alias("call_text"), "_c.spot.*"
+    rows = found.select(*kept, F.posexplode_outer(parts).alias("call_ord", "_c")).filter("_c is not null")
+    # The argument starts behind the first bracket of the call's own pair and ends at a comma or at its partner.
+    head = F.regexp_extract("_c.marked", rf"(?s)^({chain(2)}\b(?:{names})\s*{text.PAIR})", 1)
+    inside = F.expr("substring(_c.marked, length(_head) + 1, length(_c.marked) - length(_head) - 1)")
+    first = F.regexp_extract("_inside", rf"(?s)^((?:(?!{text.PAIR})[^,]|{text.paired(2)})*+)", 1)
+    return (
+        rows.withColumn("_head", head)
+        .withColumn("_inside", inside)
+        .withColumn("argument", F.trim(F.substring("_c.code", F.length("_head") + 1, F.length(first))))
+        .select(*kept, "call_ord", "argument", F.col("_c.call_text").alias("call_text"), "_c.spot.*")
     )
 
 
-def _first_argument(arguments: Column) -> Column:
-    """The text up to the first comma that is in no quotes and no brackets."""
-    nested = r"\((?:[^()\"]++|" + text.JAVA_STRING + r"|\((?:[^()\"]++|" + text.JAVA_STRING + r")*+\))*+\)"
-    return F.regexp_extract(arguments, r'^((?:[^,()"]++|' + text.JAVA_STRING + "|" + nested + r")*+)", 1)
-
-
 def fold_concat(calls: DataFrame) -> DataFrame:
     """Adds ``query_text``: the quoted parts of the argument joined, in lower case."""
     return calls.withColumn("query_text", F.lower(text.fold_java_strings(F.col("argument"))))
@@ -147,14 +161,14 @@ RANGE = ("begin_line", "begin_col", "end_line", "end_col")
 
 
 def locate(statements: DataFrame, call_sites: DataFrame) -> DataFrame:
-    """Every call site of each statement, matched without regard to case.
+    """Every call site of each statement, matched without regard to case; static and dynamic apart.
 
     A text used at very many places crowds on one key; adaptive execution splits the
     call-site side, which is the streamed one.
     """
-    stmts = statements.select("stmt_id", F.lower("query_text").alias("_text"))
+    stmts = statements.select("stmt_id", "is_dynamic", F.lower("query_text").alias("_text"))
     sites = call_sites.withColumn("_text", F.lower("query_text")).drop("stmt_id")
-    return sites.join(stmts, "_text").drop("_text")
+    return sites.join(stmts, ["_text", "is_dynamic"]).select("stmt_id", *(c for c in sites.columns if c != "_text"))
 
 
 def last_locations(call_sites: DataFrame) -> DataFrame:

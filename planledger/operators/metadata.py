@@ -24,35 +24,38 @@ BOXED = {
 }
 
 
-def _annotation_pattern(depth: int = 6) -> str:
-    plain = r'(?:[^()"]++|' + text.JAVA_STRING + "|%s)*+"
-    inner = plain % r"(?!)"
-    for _ in range(depth):
-        inner = plain % (r"\(" + inner + r"\)")
-    return rf"@\w+(?:\.\w+)*+(?:\s*+\({inner}\))?+"
+# In text from ``pair_brackets`` an annotation's brackets are a pair of equal characters; the capture
+# that tells them is the one before the last in the patterns that start with annotations.
+def _annotations(group: int) -> str:
+    return rf"(?:@\w+(?:\.\w+)*+(?:\s*+{text.paired(group)})?+\s*+)++"
 
 
-_ANNOTATION = _annotation_pattern()
-_ANNOTATIONS = rf"(?:{_ANNOTATION}\s*+)++"
+_ANNOTATION = rf"(?s)@\w+(?:\.\w+)*+(?:\s*+{text.paired(1)})?+"
+_VALUE = rf'"?((?:(?!{text.PAIR})[^",])*)'
 _MODIFIERS = r"(?:(?:public|private|protected|static|final|abstract|transient|volatile)\s+)*+"
 _TYPE = r"[\w.]+(?:\s*<[^;={}()]*>)?(?:\s*\[\s*\])*"
-_FIELD = rf"({_ANNOTATIONS}){_MODIFIERS}({_TYPE})\s+(\w+)\s*(?:=[^;]*+)?;"
-_CLASS = rf"({_ANNOTATIONS}){_MODIFIERS}(?:class|interface)\s+\w+"
+_FIELD = rf"(?s)({_annotations(2)}){_MODIFIERS}({_TYPE})\s+(\w+)\s*(?:=[^;]*+)?;"
+_CLASS = rf"(?s)({_annotations(2)}){_MODIFIERS}(?:class|interface)\s+\w+"
 
 
 def _pair(annotation: Column, name: str) -> Column:
     """Value of ``name = …`` of an annotation, lower case without quotes; null when absent."""
-    own = F.regexp_replace(annotation, r"(?<=\S)\s*@\w+\s*\([^()]*\)", "")
-    return F.nullif(F.lower(F.trim(F.regexp_extract(own, rf'\b{name}\s*=\s*"?([^",)]*)', 1))), F.lit(""))
+    own = F.regexp_replace(annotation, rf"(?s)(?<=\S)\s*@\w+(?:\.\w+)*+\s*{text.paired(1)}", "")
+    return F.nullif(F.lower(F.trim(text.unshield(F.regexp_extract(own, rf"\b{name}\s*=\s*{_VALUE}", 1)))), F.lit(""))
 
 
 def _annotation(annotations: Column, name: str) -> Column:
     return F.get(F.filter(annotations, lambda a: a.rlike(rf"^@(?:\w+\.)*{name}\b")), F.lit(0))
 
 
+def _marked(content: Column) -> Column:
+    """Source without comments, brackets outside strings as pairs."""
+    return text.pair_brackets(text.shield_quoted(text.source_without_comments(content)))
+
+
 def class_annotations(corpus: DataFrame) -> DataFrame:
     """(path, entity, annotation): the annotations that stand on a class."""
-    source = text.source_without_comments(F.col("content"))
+    source = _marked(F.col("content"))
     heads = F.array_join(F.regexp_extract_all(source, F.lit(_CLASS), F.lit(1)), "\n")
     return (
         corpus.select("path", F.lower("class_name").alias("entity"), heads.alias("_heads"))
@@ -63,7 +66,7 @@ def class_annotations(corpus: DataFrame) -> DataFrame:
 
 def entity_fields(corpus: DataFrame) -> DataFrame:
     """One row per annotated field, in source order. Narrow: everything happens in the file's row."""
-    source = text.source_without_comments(F.col("content"))
+    source = _marked(F.col("content"))
     # The text is searched once; the parts are then read from each short block.
     return (
         corpus.select("path", "qualified_class", F.lower("class_name").alias("entity"), source.alias("_source"))
@@ -76,8 +79,8 @@ def entity_fields(corpus: DataFrame) -> DataFrame:
             "qualified_class",
             "entity",
             "field_ord",
-            F.lower(F.regexp_extract("_field", _FIELD, 3)).alias("field"),
-            F.regexp_extract("_field", _FIELD, 2).alias("declared"),
+            F.lower(F.regexp_extract("_field", _FIELD, 4)).alias("field"),
+            F.regexp_extract("_field", _FIELD, 3).alias("declared"),
             F.regexp_extract_all(F.regexp_extract("_field", _FIELD, 1), F.lit(_ANNOTATION), F.lit(0)).alias("annotations"),
         )
     )
@@ -166,8 +169,9 @@ def associations(corpus: DataFrame) -> DataFrame:
     )
 
     def nested(pair: str) -> Column:
-        body = F.regexp_extract("_table", rf"\b{pair}\s*=\s*((?:\{{\s*)?(?:@\w+\s*\([^()]*\)\s*,?\s*)+)", 1)
-        return F.transform(F.regexp_extract_all(body, F.lit(r'\bname\s*=\s*"?([^",)]*)'), F.lit(1)), lambda n: F.lower(F.trim(n)))
+        body = F.regexp_extract("_table", rf"(?s)\b{pair}\s*=\s*((?:\{{\s*)?(?:@\w+(?:\.\w+)*+\s*{text.paired(2)}\s*,?\s*)+)", 1)
+        names = F.regexp_extract_all(body, F.lit(rf"\bname\s*=\s*{_VALUE}"), F.lit(1))
+        return F.transform(names, lambda n: F.lower(F.trim(text.unshield(n))))
 
     target = (
         F.when(F.col("_table").isNotNull(), table_target)

@@ -26,13 +26,12 @@ _KEYWORDS = (
 def find_parameters(statements: DataFrame, col: str = "query_text") -> DataFrame:
     """One row per ``?`` or ``:name``, in text order, with what types it.
 
-    ``column_ref`` is the last column named before the parameter in the clause that holds it
-    (WHERE, or SET of an update). ``in_like`` and ``cast_type`` describe the comparison.
+    ``column_ref`` is the last column named before the parameter, null where there is none, as
+    at the head of a select list. ``in_like`` and ``cast_type`` describe the comparison.
     """
     step = statements.withColumn("_text", text.mask_literals(F.lower(col)))
-    step = step.withColumn("_clause", F.regexp_extract("_text", r"(?s)\b(?:where|set)\b(.*)$", 1))
-    step = step.withColumn("_tokens", F.regexp_extract_all("_clause", F.lit(_PARAMETER), F.lit(0)))
-    step = step.withColumn("_gaps", F.split("_clause", _PARAMETER))
+    step = step.withColumn("_tokens", F.regexp_extract_all("_text", F.lit(_PARAMETER), F.lit(0)))
+    step = step.withColumn("_gaps", F.split("_text", _PARAMETER))
 
     # Last column named in each gap, then carried forward: one pass over the clause.
     def last_name(gap: Column) -> Column:
@@ -103,9 +102,9 @@ def infer_types(params: DataFrame, types: DataFrame, links: DataFrame, ids: Data
 
 
 def sentinel_number(stmt_id: Column, param_ord: Column) -> Column:
-    """A number below 2³¹ that is unique among the first 2,000 parameters of a statement."""
+    """A number that differs for every parameter of a statement; below 2³¹ for the first 50 million of them."""
     seed = F.conv(F.substring(F.md5(F.encode(stmt_id.cast("string"), "utf-8")), 1, 5), 16, 10).cast("bigint")
-    return seed * 2000 + F.pmod(param_ord, F.lit(2000))
+    return seed * 2000 + param_ord.cast("bigint")
 
 
 def make_sentinels(params: DataFrame) -> DataFrame:
@@ -141,16 +140,25 @@ def bind(statements: DataFrame, sentinels: DataFrame, col: str = "query_text", i
     values = sentinels.groupBy("stmt_id").agg(
         F.sort_array(F.collect_list(F.struct("param_ord", "sql_value"))).alias("_values")
     )
-    head = r"^(?:(?!\b(?:where|set)\b).)*+"
     step = statements.join(values, "stmt_id", "left").withColumn("_text", text.mask_literals(F.col(col)))
-    step = step.withColumn("_head", F.regexp_extract("_text", "(?is)" + head, 0))
-    step = step.withColumn("_gaps", F.split(F.expr("substring(_text, length(_head) + 1)"), "(?i)" + _PARAMETER))
+    step = step.withColumn("_gaps", F.split("_text", "(?i)" + _PARAMETER))
     filled = F.transform(
         "_gaps",
         lambda g, i: F.when(i == 0, g).otherwise(F.concat(F.coalesce(F.get("_values", i - 1)["sql_value"], F.lit("?")), g)),
     )
-    whole = F.concat("_head", F.array_join(filled, ""))
-    return step.withColumn(into, text.unmask(whole, text.string_literals(F.col(col)))).drop("_values", "_text", "_head", "_gaps")
+    whole = F.array_join(filled, "")
+    return step.withColumn(into, text.unmask(whole, text.string_literals(F.col(col)))).drop("_values", "_text", "_gaps")
+
+
+def sentinel_predicates(predicates: DataFrame, sentinels: DataFrame) -> DataFrame:
+    """What plan conditions are matched against: stmt_id, pred_ord, sentinel, expr, eligible_index.
+
+    ``predicates`` come from the bound text, so a predicate's ``value`` is the written form of its
+    parameter's sentinel, quotes and date braces included; ``sentinels`` come from
+    :func:`make_sentinels`. Predicates without a parameter are left out.
+    """
+    marks = sentinels.select("stmt_id", F.lower("sql_value").alias("value"), "sentinel").distinct()
+    return predicates.join(marks, ["stmt_id", "value"]).select("stmt_id", "pred_ord", "sentinel", "expr", "eligible_index")
 
 
 def condition_tokens(condition: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -20,27 +22,38 @@ def statement_kind(df: DataFrame, col: str = "clean_text") -> DataFrame:
     return df.withColumn("kind", text.statement_kind(F.col(col)))
 
 
-def dedupe(call_sites: DataFrame, order: str = "call_ord") -> DataFrame:
+def statement_id(query_text: Column, is_dynamic: Column) -> Column:
+    """MD5 of the text, a dynamic one marked: a static and a dynamic statement may share a text."""
+    own = F.concat(query_text, F.when(is_dynamic, "\u0001dynamic").otherwise(""))
+    return F.md5(F.encode(own, "utf-8"))
+
+
+def dedupe(call_sites: DataFrame, order: Sequence[str] = ("path", "call_ord")) -> DataFrame:
     """Distinct lower-case texts with the number of uses and the file seen last.
 
+    ``order`` says how call sites follow each other: ``call_ord`` counts within a file, so by
+    default the files come by path; a corpus with arrival times names that column first.
+
     One shuffle, and rows are combined before it, so a text used by a third of all call
-    sites reaches its reducer as one row per task. ``stmt_id`` is the MD5 of the text:
-    unlike a 64-bit hash it stays unique for billions of texts.
+    sites reaches its reducer as one row per task. ``stmt_id`` stays unique for billions of
+    texts, unlike a 64-bit hash. A text that can't be read is failed, whatever its verb.
     """
     return (
         call_sites.groupBy(F.lower("query_text").alias("query_text"), "is_dynamic")
         .agg(
             F.count(F.lit(1)).alias("occurrences"),
-            F.max(F.struct(F.col(order).alias("at"), F.col("path").alias("path"))).alias("_last"),
+            F.max(F.struct(F.struct(*order).alias("at"), F.col("path").alias("path"))).alias("_last"),
         )
         .select(
-            F.md5(F.encode("query_text", "utf-8")).alias("stmt_id"),
+            statement_id(F.col("query_text"), F.col("is_dynamic")).alias("stmt_id"),
             "query_text",
             "is_dynamic",
             "occurrences",
             F.col("_last.path").alias("owner_path"),
         )
-        .withColumn("kind", text.statement_kind(F.col("query_text")))
+        .withColumn("_clean", text.clean_query(F.col("query_text")))
+        .withColumn("kind", F.when(text.readable(F.col("_clean")), text.statement_kind(F.col("_clean"))).otherwise(F.lit("failed")))
+        .drop("_clean")
     )
 
 
@@ -63,5 +76,5 @@ def parse_summary(statements: DataFrame) -> DataFrame:
 
 
 def failed(statements: DataFrame) -> DataFrame:
-    """Static texts that are no select, update or delete, with their file."""
+    """Static texts that can't be read or are no select, update or delete, with their file."""
     return statements.filter(~F.col("is_dynamic") & (F.col("kind") == "failed")).select("query_text", F.col("owner_path").alias("path"))

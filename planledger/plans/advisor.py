@@ -22,7 +22,7 @@ def match_picks(plan_picks: DataFrame, predicates: DataFrame) -> DataFrame:
     """
     known = (
         sentinel_lookup(predicates)
-        .filter("eligible_index")
+        .filter("eligible_index and sentinel is not null")
         .groupBy("stmt_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("sentinel", "expr"))).alias("_known"))
     )
@@ -83,26 +83,21 @@ def credit(pick_rows: DataFrame) -> DataFrame:
     """Credits: (stmt_id, plan_id, metric, score, pick_kind, table_name, expr).
 
     The first pick of a statement that matches an eligible predicate credits every predicate
-    it matches; each later pick of the statement credits the last of those again. Expressed as
-    a minimum per statement and one join spread over salts, so a statement with very many
-    picks is never sorted or gathered in one task. ``pick_rows`` is read twice.
+    it matches; each later pick of the statement, equal ones included, credits the last of
+    those again. So every visit from the first on credits the last predicate, and each
+    statement's first visit the others once. A minimum per statement and one join spread over
+    salts: a statement with very many picks is never sorted or gathered in one task.
     """
+    what = ["plan_id", "metric", "score", "pick_kind", "table_name", "matched"]
     visit = F.struct("metric_ord", (-F.col("score")).alias("neg_score"), "plan_id", "pick_ord")
     rows = pick_rows.withColumn("visit", visit)
-    first = (
-        rows.filter(F.size("matched") > 0)
-        .groupBy("stmt_id")
-        .agg(F.min(F.struct("visit", "table_name", "matched")).alias("_first"))
-        .select("stmt_id", F.col("_first.visit").alias("first_visit"), "_first.table_name", "_first.matched")
-    )
-    credited = F.when(F.col("visit") == F.col("first_visit"), F.col("matched")).otherwise(
-        F.slice("matched", F.size("matched"), F.lit(1))
-    )
-    return (
-        join_hot(rows.drop("table_name", "matched"), first, ["stmt_id"], ["plan_id"])
-        .filter(F.col("visit") >= F.col("first_visit"))
-        .select("stmt_id", "plan_id", "metric", "score", "pick_kind", "table_name", F.explode(credited).alias("expr"))
-    )
+    first = rows.filter(F.size("matched") > 0).groupBy("stmt_id").agg(F.min(F.struct("visit", *what)).alias("_first"))
+    first = first.select("stmt_id", "_first.visit", *(F.col(f"_first.{c}").alias(c) for c in what))
+    last = first.select("stmt_id", F.col("visit").alias("first_visit"), "table_name", F.element_at("matched", -1).alias("expr"))
+    again = join_hot(rows.drop("table_name", "matched"), last, ["stmt_id"], ["plan_id"]).filter(F.col("visit") >= F.col("first_visit"))
+    others = first.withColumn("expr", F.explode(F.slice("matched", F.lit(1), F.size("matched") - 1)))
+    out = ["stmt_id", *what[:-1], "expr"]
+    return again.select(*out).unionByName(others.select(*out))
 
 
 def index_candidates(credits: DataFrame, stats: DataFrame) -> DataFrame:

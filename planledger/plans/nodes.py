@@ -70,7 +70,11 @@ def node_field(node: Column, name: str) -> Column:
 
 
 def _numbered(path: Column, i: Column) -> Column:
-    return F.concat(path, F.lit("."), F.lpad(i.cast("string"), 6, "0"))
+    """The path of a child: six digits, and for longer numbers a letter that tells their length and
+    sorts behind all digits. So text order is number order for any number of children."""
+    digits = i.cast("string")
+    longer = F.concat(F.char(F.length(digits) + (ord("a") - 7)), digits)
+    return F.concat(path, F.lit("."), F.when(F.length(digits) <= 6, F.lpad(digits, 6, "0")).otherwise(longer))
 
 
 def _by_path(nodes: Column) -> Column:
@@ -131,7 +135,7 @@ def _positions(plans: DataFrame, nodes: Column) -> DataFrame:
 
 
 def _place() -> list[Column]:
-    parent = F.nullif(F.regexp_replace("_n.path", r"\.?[0-9]+$", ""), F.lit(""))
+    parent = F.nullif(F.regexp_replace("_n.path", r"\.?[a-z]?[0-9]+$", ""), F.lit(""))
     return [F.col("_n.path").alias("path"), parent.alias("parent_path"), F.col("_n.depth").alias("depth"), F.col("node_ord")]
 
 

@@ -133,6 +133,25 @@ def test_credit_order(spark):
     assert got == {"a": 1, "b": 2}
 
 
+def test_equal_visits_credit_once_and_null_sentinels_are_left_out(spark):
+    """Two scans of one plan with the same time: all predicates at the first visit, the last one after."""
+    preds = spark.createDataFrame([(1, 0, "a", "tag-1", True), (1, 1, "b", "tag-2", True), (1, 2, "c", None, True)], PREDS)
+    plan_picks = spark.createDataFrame(
+        [(0, 1, ("t", "a = 'tag-1' AND b = 'tag-2'"), (None, None))],
+        "plan_id int, stmt_id int, costliest struct<table_name string, condition string>, slowest struct<table_name string, condition string>",
+    )
+    s = spark.createDataFrame([(0, "sequence_scan", 5.0), (0, "sequence_scan", 5.0)], "plan_id int, metric string, score double")
+    credits = advisor.credit(advisor.picks(s, advisor.match_picks(plan_picks, preds)))
+    assert {r.expr: r["count"] for r in credits.groupBy("expr").count().collect()} == {"a": 1, "b": 2}
+
+
+def test_paths_of_very_many_children_stay_in_order(spark):
+    numbers = [0, 9, 10, 999_999, 1_000_000, 1_234_567, 9_999_999, 10_000_000, 2_000_000_000]
+    df = spark.createDataFrame([(n,) for n in numbers], "n int").select(nodes._numbered(F.lit("000000"), F.col("n")).alias("path"))
+    paths = [r.path for r in df.collect()]
+    assert paths == sorted(paths) and len(set(paths)) == len(paths)
+
+
 def test_candidate_arithmetic(spark):
     s = scores(spark, [*range(1, 10), 100])
     credits = spark.createDataFrame(
@@ -152,25 +171,25 @@ def test_recommendation_text_and_threshold(spark):
 
 def test_sample_end_to_end(spark):
     """Source file and plan of the sample query lead to its index, with the place of the call."""
-    from test_text import SOURCE
+    from test_text import LEDGER
 
     from planledger.operators import extract, params, predicates, statements
 
-    corpus = spark.createDataFrame([("Sample.java", SOURCE)], "path string, content string")
+    corpus = spark.createDataFrame([("Accounts.java", LEDGER)], "path string, content string")
     calls = extract.classify(extract.extract_calls(corpus))
     stmts = statements.dedupe(calls)
     found = params.make_sentinels(params.find_parameters(stmts).withColumn("type_name", F.lit("String")))
     bound = params.bind(stmts, found)
     mark = found.first().sentinel
-    assert bound.first().bound_text == f"select a from table_b where column_c = '{mark}'"
-    preds = predicates.extract_predicates(bound.drop("query_text"), "bound_text").withColumn("sentinel", F.translate("value", "'", ""))
-    plan = json.dumps({"query_block": {"r_total_time_ms": 0.5, "table": {"table_name": "table_b", "attached_condition": f"(table_b.column_c = '{mark}')"}}})
+    assert bound.first().bound_text == f"select balance from account where owner = '{mark}'"
+    preds = params.sentinel_predicates(predicates.extract_predicates(bound.drop("query_text"), "bound_text"), found)
+    plan = json.dumps({"query_block": {"r_total_time_ms": 0.5, "table": {"table_name": "account", "attached_condition": f"(account.owner = '{mark}')"}}})
     stmt_id = stmts.first().stmt_id
     plans = read_mysql_plans(spark.createDataFrame([(1, stmt_id, plan)], "plan_id int, stmt_id string, json string"), "json").drop("json")
     picked = nodes.mysql_picks(plans)
     out, credits, _ = advisor.advise(scoring.score_rows(nodes.root_metrics(picked), scores(spark, []).filter("false")), picked, preds, threshold=0)
     r = out.first()
-    assert (r.ddl, r.priority) == ("CREATE INDEX idx_column_c ON table_b (column_c);", 2)
+    assert (r.ddl, r.priority) == ("CREATE INDEX idx_owner ON account (owner);", 2)
     sites = extract.locate(stmts, calls)
     spot = advisor.affected(out, credits, sites).first()
-    assert (spot.path, spot.begin_line, spot.begin_col, spot.end_line, spot.end_col) == ("Sample.java", 15, 23, 15, 88)
+    assert (spot.path, spot.begin_line, spot.begin_col, spot.end_line, spot.end_col) == ("Accounts.java", 6, 40, 6, 103)
