@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters
 from ..operators import metadata
+from ..session import written
 from ..sources.corpus import prefilter
 from ..sources.tables import table
 from . import sqlparts
@@ -44,14 +45,23 @@ def class_parents(spark, sf):
     return metadata.class_parents(_classes(spark, sf))
 
 
+def _facts(spark, sf):
+    return written(metadata.class_facts(_classes(spark, sf)), "class-facts")
+
+
 def inherit_columns(spark, sf):
-    classes = _classes(spark, sf)
-    return metadata.inherit(metadata.entity_columns(classes), metadata.class_parents(classes))
+    facts = _facts(spark, sf)
+    return metadata.inherit(metadata.entity_columns(facts), metadata.class_parents(facts))
+
+
+def inherit_types(spark, sf):
+    facts = _facts(spark, sf)
+    return metadata.inherit_types(metadata.entity_types(facts), metadata.class_parents(facts))
 
 
 def inline_embedded(spark, sf):
-    classes = _classes(spark, sf)
-    return metadata.inline_embedded(metadata.entity_columns(classes), metadata.associations(classes), metadata.embeddables(classes))
+    facts = _facts(spark, sf)
+    return metadata.inline_embedded(metadata.entity_columns(facts), metadata.associations(facts), metadata.embeddables(facts))
 
 
 def resolve_types(spark, sf):
@@ -103,6 +113,7 @@ def same_table_failover(spark, sf):
 
 _J = "with " + sqlparts.PARTS
 
+
 def deep_tables(spark, sf):
     return metadata.entity_tables(adapters.deep_corpus(spark, sf))
 
@@ -148,6 +159,14 @@ QUERIES = {
              both_rows as (select entity, field, column_name, 1 as r from cols union all select entity, field, column_name, 0 from gain)
              select entity, field, arg_min(column_name, r) as column_name from both_rows group by entity, field""",
     ),
+    "e6_inherit_types": (
+        inherit_types,
+        _J
+        + """, t as (select k, entity, unnest([key_column, size_column, 'brand_id']) as column_name, unnest(['Long', 'Integer', 'Part' || base]) as type_name from java),
+             both_rows as (select entity, column_name, type_name, 1 as r from t
+               union all select c.entity, p.column_name, p.type_name, 0 from java c join t p on p.k = c.base where c.k % 10 <> 0)
+             select entity, column_name, arg_min(type_name, r) as type_name from both_rows group by entity, column_name""",
+    ),
     "e7_inline_embedded": (
         inline_embedded,
         _J

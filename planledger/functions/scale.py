@@ -67,41 +67,32 @@ def last_before(
     )
 
 
-def nth_largest(df: DataFrame, group: str, value: str, ranks: dict, accuracy: int = 10000) -> dict:
-    """The ``ranks[g]``-th largest ``value`` of each group, values distinct within a group.
-
-    A rank window would sort each group in one task. Here an approximate quantile gives a
-    narrow range around the rank, exact counts confirm that the rank lies in it, and only that
-    range is sorted. Were a range ever to miss, it is opened to the whole group. The driver
-    sees a few numbers per group; the number of groups must be small. ``df`` is read four
-    times, so it should be a written table.
+def nth_largest(df: DataFrame, group: str, value: str, ranks: DataFrame) -> DataFrame:
+    """(group, value): the value of the wanted rank in each group, the largest being first.
+
+    ``df`` has the distinct values of each group, ``ranks`` one row per group with ``rank``; groups
+    are few. A rank window would sort each group in one task. Instead values are counted by
+    interval, the interval that holds the rank is found among the counts, and only its values go
+    on: first by relative size, then evenly between the least and the largest left. What is ranked
+    at last is about one in sixteen million. Values of equal interval never change order.
     """
-    of = {g: F.when(F.col(group) == F.lit(g), F.col(value)) for g in ranks}
-    sizes = df.agg(*[F.count(of[g]).alias(str(i)) for i, g in enumerate(ranks)]).first()
-    wanted = {g: min(ranks[g], sizes[i]) for i, g in enumerate(ranks) if sizes[i] > 0}
-    if not wanted:
-        return {}
-    margin = 3 / accuracy
-    marks = {}
-    for i, g in enumerate(ranks):
-        if g in wanted:
-            place = 1 - wanted[g] / sizes[i]
-            marks[g] = [max(0.0, place - margin), min(1.0, place + margin)]
-    ends = df.agg(*[F.percentile_approx(of[g], marks[g], accuracy).alias(str(i)) for i, g in enumerate(wanted)]).first()
-    ranges = {g: ends[i] for i, g in enumerate(wanted)}
-    exact = df.agg(
-        *[F.count(F.when(of[g] > F.lit(ranges[g][1]), 1)).alias(f"above{i}") for i, g in enumerate(wanted)],
-        *[F.count(F.when(of[g].between(*map(F.lit, ranges[g])), 1)).alias(f"within{i}") for i, g in enumerate(wanted)],
-    ).first()
-    inside, target = F.lit(False), F.lit(None).cast("bigint")
-    for i, g in enumerate(wanted):
-        above, within = exact[f"above{i}"], exact[f"within{i}"]
-        if above < wanted[g] <= above + within:
-            part, rest = of[g].between(*map(F.lit, ranges[g])), wanted[g] - above
-        else:
-            part, rest = of[g].isNotNull(), wanted[g]
-        inside = inside | F.coalesce(part, F.lit(False))
-        target = F.when(F.col(group) == F.lit(g), F.lit(rest)).otherwise(target)
+    steps = 4096
+    size = F.signum(value) * F.floor(F.log2(F.abs(F.col(value)) + 1) * steps)
+    left, wanted = _interval(df.select(group, value).withColumn("_part", size), ranks, group)
+    ends = left.groupBy(group).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    even = F.coalesce(F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0)) * steps), F.lit(0))
+    spaced = left.join(F.broadcast(ends), group).withColumn("_part", even.cast("double")).select(group, value, "_part")
+    left, wanted = _interval(spaced, wanted, group)
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(value)))
-    hits = df.filter(inside).withColumn("_place", place).filter(F.col("_place") == target)
-    return {r[group]: r[value] for r in hits.select(group, value).collect()}
+    placed = left.withColumn("_place", place).join(F.broadcast(wanted), group)
+    return placed.filter(F.col("_place") == F.col("rank")).select(group, value)
+
+
+def _interval(df: DataFrame, ranks: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of the interval ``_part`` that holds each group's rank, and the rank within it."""
+    counts = df.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_above", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(F.broadcast(ranks), group)
+    hit = counts.filter((F.col("_above") < F.col("rank")) & (F.col("rank") <= F.col("_above") + F.col("_n")))
+    hit = hit.select(group, "_part", (F.col("rank") - F.col("_above")).alias("rank"))
+    return df.join(F.broadcast(hit.drop("rank")), [group, "_part"]).drop("_part"), hit.drop("_part")

@@ -48,31 +48,42 @@ def _annotation(annotations: Column, name: str) -> Column:
     return F.get(F.filter(annotations, lambda a: a.rlike(rf"^@(?:\w+\.)*{name}\b")), F.lit(0))
 
 
-def _marked(content: Column) -> Column:
-    """Source without comments, brackets outside strings as pairs."""
-    return text.pair_brackets(text.shield_quoted(text.source_without_comments(content)))
+def class_facts(corpus: DataFrame) -> DataFrame:
+    """One row per file, made in one pass over its text: entity, parent, class annotations, fields.
+
+    Every function below takes a corpus or these facts. Who needs several of them writes the facts
+    once and passes them on, so the corpus is read a single time.
+    """
+    if "class_notes" in corpus.columns:
+        return corpus
+    source = text.source_without_comments(F.col("content"))
+    files = corpus.select("path", "qualified_class", F.lower("class_name").alias("entity"), source.alias("_source"))
+    files = files.withColumn("_marked", text.pair_brackets(text.shield_quoted(F.col("_source"))))
+    heads = F.array_join(F.regexp_extract_all("_marked", F.lit(_CLASS), F.lit(1)), "\n")
+    head = F.regexp_extract("_source", r"\bclass\s+\w+([^{]*)\{", 1)
+    parent = _simple(F.regexp_extract(F.regexp_replace(head, r"^\s*<[^{]*?>(?=\s*extends)", ""), r"\bextends\s+([\w.]+)", 1))
+    return files.select(
+        "path",
+        "qualified_class",
+        "entity",
+        F.lower(parent).alias("parent"),
+        F.regexp_extract_all(heads, F.lit(_ANNOTATION), F.lit(0)).alias("class_notes"),
+        F.regexp_extract_all("_marked", F.lit(_FIELD), F.lit(0)).alias("field_texts"),
+    )
 
 
 def class_annotations(corpus: DataFrame) -> DataFrame:
     """(path, entity, annotation): the annotations that stand on a class."""
-    source = _marked(F.col("content"))
-    heads = F.array_join(F.regexp_extract_all(source, F.lit(_CLASS), F.lit(1)), "\n")
-    return (
-        corpus.select("path", F.lower("class_name").alias("entity"), heads.alias("_heads"))
-        .select("path", "entity", F.explode_outer(F.regexp_extract_all("_heads", F.lit(_ANNOTATION), F.lit(0))).alias("annotation"))
-        .filter("annotation is not null")
-    )
+    rows = class_facts(corpus).select("path", "entity", F.explode_outer("class_notes").alias("annotation"))
+    return rows.filter("annotation is not null")
 
 
 def entity_fields(corpus: DataFrame) -> DataFrame:
     """One row per annotated field, in source order. Narrow: everything happens in the file's row."""
-    source = _marked(F.col("content"))
     # The text is searched once; the parts are then read from each short block.
     return (
-        corpus.select("path", "qualified_class", F.lower("class_name").alias("entity"), source.alias("_source"))
-        .select(
-            "path", "qualified_class", "entity", F.posexplode_outer(F.regexp_extract_all("_source", F.lit(_FIELD), F.lit(0))).alias("field_ord", "_field")
-        )
+        class_facts(corpus)
+        .select("path", "qualified_class", "entity", F.posexplode_outer("field_texts").alias("field_ord", "_field"))
         .filter("_field is not null")
         .select(
             "path",
@@ -204,10 +215,7 @@ def associations(corpus: DataFrame) -> DataFrame:
 
 def class_parents(corpus: DataFrame) -> DataFrame:
     """(entity, parent): the simple name of the class a file's first class extends."""
-    source = text.source_without_comments(F.col("content"))
-    head = F.regexp_extract(source, r"\bclass\s+\w+([^{]*)\{", 1)
-    parent = _simple(F.regexp_extract(F.regexp_replace(head, r"^\s*<[^{]*?>(?=\s*extends)", ""), r"\bextends\s+([\w.]+)", 1))
-    return corpus.select(F.lower("class_name").alias("entity"), F.lower(parent).alias("parent")).filter("parent <> ''")
+    return class_facts(corpus).select("entity", "parent").filter("parent <> ''")
 
 
 def _overlay(own: DataFrame, added: DataFrame) -> DataFrame:
@@ -237,6 +245,18 @@ def inherit(columns: DataFrame, parents: DataFrame) -> DataFrame:
     return _overlay(columns, gained.distinct())
 
 
+def inherit_types(types: DataFrame, parents: DataFrame) -> DataFrame:
+    """Own column types plus those of the class each class extends, one level, the parent's winning.
+
+    Only classes with a type of their own inherit. ``types``: entity, column_name, type_name.
+    """
+    children = parents.join(types.select("entity").distinct(), "entity", "left_semi")
+    offered = types.withColumnRenamed("entity", "parent")
+    gained = join_hot(children, offered, ["parent"], ["entity"]).select("entity", "column_name", "type_name", F.lit(0).alias("_rank"))
+    both = types.select("entity", "column_name", "type_name", F.lit(1).alias("_rank")).unionByName(gained)
+    return both.groupBy("entity", "column_name").agg(F.min_by("type_name", F.struct("_rank", "type_name")).alias("type_name"))
+
+
 def inline_embedded(columns: DataFrame, links: DataFrame, embeddable: DataFrame) -> DataFrame:
     """Own names plus those of every embedded object, the embedded ones winning."""
     owners = links.filter("kind = 'embedded'").select("entity", F.lower("target_entity").alias("part")).distinct()

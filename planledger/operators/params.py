@@ -86,9 +86,11 @@ def infer_types(params: DataFrame, types: DataFrame, links: DataFrame, ids: Data
     )
     casts = F.create_map(*[F.lit(x) for pair in CAST_TYPES.items() for x in pair])
     known = F.coalesce(F.col("_declared").isin(*KNOWN_TYPES), F.lit(False))
+    # Columns are few, parameters many: each distinct column is looked up, and the parameters meet the result once.
+    columns = params.select("table_name", "column_name").distinct()
+    columns = columns.join(declared, ["table_name", "column_name"], "left").join(link_types, ["table_name", "column_name"], "left")
     return (
-        params.join(declared, ["table_name", "column_name"], "left")
-        .join(link_types, ["table_name", "column_name"], "left")
+        params.join(columns, ["table_name", "column_name"], "left")
         .withColumn(
             "type_name",
             F.when(F.col("in_like"), F.lit("String"))

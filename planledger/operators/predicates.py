@@ -45,9 +45,13 @@ def _unwrap(even: Column) -> Column:
             (rf"\({not_query}({no_brackets})\)", f"{GROUP_OPEN}$1{GROUP_CLOSE}"),
         )
 
-    # Inside out, one level per round; there are at most as many levels as opening brackets.
-    rounds = F.sequence(F.lit(0), _chars(even, "("))
-    out = F.aggregate(rounds, even, lambda acc, _: F.when(F.contains(acc, F.lit("(")), innermost(acc)).otherwise(acc))
+    # Inside out, one level per round, until nothing changes; at most as many levels as opening brackets.
+    def level(acc: Column, _round: Column) -> Column:
+        new = innermost(acc["text"])
+        return F.when(acc["over"], acc).otherwise(F.struct(new.alias("text"), (new == acc["text"]).alias("over")))
+
+    start = F.struct(even.alias("text"), (~F.contains(even, F.lit("("))).alias("over"))
+    out = F.aggregate(F.sequence(F.lit(0), _chars(even, "(")), start, level, lambda acc: acc["text"])
     return text.replace_all(out, (r"\bbetween\b((?:(?!\band\b).)*?)\band\b", f"between$1{RANGE_AND}"))
 
 
@@ -90,10 +94,12 @@ def extract_predicates(statements: DataFrame, col: str = "query_text") -> DataFr
     step = step.withColumn("_where", F.regexp_replace(where, _TAIL, "")).withColumn(
         "_pieces", F.split("_where", r"\b(?:and|or)\b")
     )
-    # Group depth of a piece: groups opened minus groups closed in the text before it.
-    before = F.transform(
-        F.sequence(F.lit(1), F.size("_pieces")),
-        lambda i: F.array_join(F.slice("_pieces", F.lit(1), i - 1), ""),
+    # Group depth before a piece: groups opened minus groups closed, summed up piece by piece.
+    before = F.aggregate(
+        F.transform("_pieces", lambda p: _chars(p, GROUP_OPEN) - _chars(p, GROUP_CLOSE)),
+        F.struct(F.lit(0).alias("sum"), F.expr("cast(array() as array<int>)").alias("all")),
+        lambda acc, d: F.struct((acc["sum"] + d).alias("sum"), F.concat(acc["all"], F.array(acc["sum"])).alias("all")),
+        lambda acc: acc["all"],
     )
     step = step.withColumn("_rows", F.arrays_zip(F.col("_pieces").alias("piece"), before.alias("before")))
     step = step.select(
@@ -105,10 +111,8 @@ def extract_predicates(statements: DataFrame, col: str = "query_text") -> DataFr
     )
     piece = F.regexp_replace(F.col("_row.piece"), f"[{GROUP_OPEN}{GROUP_CLOSE}]", " ")
     piece = F.regexp_replace(F.trim(piece), r"^(?:not )+", "")
-    prefix = F.concat(F.col("_row.before"), F.regexp_extract("_row.piece", rf"^[\s{GROUP_OPEN}]*", 0))
-    step = step.withColumn("_piece", F.trim(piece)).withColumn(
-        "_depth", _chars(prefix, GROUP_OPEN) - _chars(prefix, GROUP_CLOSE)
-    )
+    opened = _chars(F.regexp_extract("_row.piece", rf"^[\s{GROUP_OPEN}]*", 0), GROUP_OPEN)
+    step = step.withColumn("_piece", F.trim(piece)).withColumn("_depth", F.col("_row.before") + opened)
     step = step.filter(F.coalesce(F.col("_piece"), F.lit("")) != "")
     other = F.regexp_extract("_piece", r"\b(not between|between|not in|in|is|exists)\b", 1)
     compared = ~F.col("_piece").rlike(r"\b(?:between|in|is)\b") & F.col("_piece").rlike(_COMPARE)

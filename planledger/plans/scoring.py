@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scale import join_hot, nth_largest
-from ..session import written
+from ..functions.scale import nth_largest
 
 # Fixed order in which the metrics are visited; startup cost is collected but not reported.
 METRIC_ORDER = {"total_runtime": 1, "execution_time": 2, "total_cost": 3, "sequence_scan": 4}
@@ -44,23 +41,25 @@ def score_stats(scores: DataFrame) -> DataFrame:
 
 
 def top_offenders(scores: DataFrame, pct: int = 10) -> DataFrame:
-    """Rows whose score is among the first floor(pct% of distinct) + 1 distinct scores of its metric."""
-    distinct = written(scores.filter(F.col("metric").isin(*METRIC_ORDER)).select("metric", "score").distinct(), "distinct-scores")
-    counts = {r["metric"]: r["count"] for r in distinct.groupBy("metric").count().collect()}  # one row per metric
-    ranks = {m: min(math.floor(pct * n / 100) + 1, n) for m, n in counts.items()}
-    limits = nth_largest(distinct, "metric", "score", ranks)
-    keep = F.lit(False)
-    for metric, limit in limits.items():
-        keep = keep | ((F.col("metric") == metric) & (F.col("score") >= F.lit(limit)))
-    return scores.filter(keep)
+    """Rows whose score is among the first floor(pct% of distinct) + 1 distinct scores of its metric.
+
+    A plan only: no job runs before the result is asked for. The limits are one row per metric.
+    """
+    known = scores.filter(F.col("metric").isin(*METRIC_ORDER))
+    distinct = known.select("metric", "score").distinct()
+    n = F.count(F.lit(1))
+    ranks = distinct.groupBy("metric").agg(F.least(F.floor(F.lit(pct) * n / 100) + 1, n).alias("rank"))
+    limits = nth_largest(distinct, "metric", "score", ranks).withColumnRenamed("score", "_limit")
+    return known.join(F.broadcast(limits), "metric").filter(F.col("score") >= F.col("_limit")).drop("_limit").select(*scores.columns)
 
 
 def query_scores(scores: DataFrame, plans: DataFrame, statements: DataFrame, locations: DataFrame) -> DataFrame:
     """Report rows: score, original and explained text, file and call range.
 
     ``plans``: plan_id, stmt_id, final_text. ``locations``: one row per stmt_id. A statement
-    may own very many plans, so the score side is spread over salts.
+    may own very many plans; nothing is aggregated behind the joins, so adaptive execution
+    splits its partition, and texts are copied for such partitions only.
     """
     owned = scores.filter(F.col("metric").isin(*METRIC_ORDER)).join(plans.select("plan_id", "stmt_id", "final_text"), "plan_id")
     texts = statements.select("stmt_id", F.col("query_text").alias("original_query")).join(locations, "stmt_id", "left")
-    return join_hot(owned, texts, ["stmt_id"], ["plan_id"]).withColumnRenamed("final_text", "explained_query")
+    return owned.join(texts, "stmt_id").withColumnRenamed("final_text", "explained_query")

@@ -19,25 +19,39 @@ def scan_corpus(
 ) -> DataFrame:
     """One row per file under the given folders and files, each path once.
 
-    The tasks that read the files also decode them; a file is one row and is never
-    split. ``limit`` of ``None`` or -1 means every file.
+    Repeated paths, and with ``recursive`` those inside another one, are dropped before the scan, so
+    the listing has each file once and no content is shuffled. The tasks that read the files also
+    decode them; a file is one row and is never split. ``limit`` of ``None`` or -1 means every file;
+    else the first files by path, found by a listing without contents.
     """
+    roots = outermost(paths) if recursive else list(dict.fromkeys(p.rstrip("/") for p in paths))
+    if limit is not None and limit >= 0:
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).load(roots).select("path").distinct()
+        roots = [r.path for r in names.orderBy("path").limit(limit).collect()]  # no more than asked for
+        if not roots:
+            return with_class_names(spark.createDataFrame([], "path string, content string, size bigint"))
     files = (
         spark.read.format("text")
         .option("wholetext", True)
         .option("recursiveFileLookup", recursive)
         .option("pathGlobFilter", glob)
-        .load(list(dict.fromkeys(paths)))
+        .load(roots)
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.col("value").alias("content"),
             F.col("_metadata.file_size").alias("size"),
         )
     )
-    if limit is not None and limit >= 0:
-        kept = files.select("path").distinct().orderBy("path").limit(limit)
-        files = files.join(kept, "path", "left_semi")
-    return with_class_names(files.dropDuplicates(["path"]) if len(paths) > 1 else files)
+    return with_class_names(files)
+
+
+def outermost(paths: Sequence[str]) -> list[str]:
+    """The paths that are not inside another one, each once."""
+    kept: list[str] = []
+    for path in sorted({p.rstrip("/") or "/" for p in paths}):
+        if not any(path.startswith(k.rstrip("/") + "/") for k in kept):
+            kept.append(path)
+    return kept
 
 
 def with_class_names(files: DataFrame) -> DataFrame:
@@ -97,10 +111,12 @@ def incremental(corpus: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFram
 
     ``done`` holds the stored ``fingerprint`` values. It is made distinct first, so the
     corpus side is the only one that can crowd on a key, and adaptive execution
-    splits crowded partitions of that side for semi and anti joins.
+    splits crowded partitions of that side. Both results are filters of one join, which a
+    query that uses both of them runs once.
     """
-    seen = done.select("fingerprint").distinct()
-    return corpus.join(seen, "fingerprint", "left_anti"), corpus.join(seen, "fingerprint", "left_semi")
+    seen = done.select("fingerprint").distinct().withColumn("_seen", F.lit(True))
+    joined = corpus.join(seen, "fingerprint", "left")
+    return joined.filter("_seen is null").drop("_seen"), joined.filter("_seen").drop("_seen")
 
 
 def prefilter(corpus: DataFrame, marker: str = "javax.persistence") -> DataFrame:

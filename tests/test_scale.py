@@ -45,5 +45,15 @@ def test_nth_largest_equals_sort(spark):
     b = [x / 7 for x in rng.sample(range(10**6), 10)]
     df = spark.createDataFrame([("a", float(x)) for x in a] + [("b", x) for x in b], "g string, v double")
     for n in (1, 2, 299, 3000):
-        got = nth_largest(df, "g", "v", {"a": n, "b": min(n, 10)}, accuracy=200)
+        ranks = spark.createDataFrame([("a", n), ("b", min(n, 10))], "g string, rank long")
+        got = {r.g: r.v for r in nth_largest(df, "g", "v", ranks).collect()}
         assert got == {"a": float(sorted(a, reverse=True)[n - 1]), "b": sorted(b, reverse=True)[min(n, 10) - 1]}
+
+
+def test_nth_largest_of_close_and_negative_values(spark):
+    rng = random.Random(4)
+    values = sorted({1e6 + rng.random() for _ in range(2000)} | {-rng.random() * 1e3 for _ in range(500)} | {0.0}, reverse=True)
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    for n in (1, 1999, 2001, 2100, len(values)):
+        ranks = spark.createDataFrame([("g", n)], "g string, rank long")
+        assert nth_largest(df, "g", "v", ranks).first().v == values[n - 1]
