@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.paths import Association, EntityModel, implied_joins, path_join, path_select
+from .. import adapters
+from ..operators import metadata
+from ..operators.paths import Association, EntityModel, implied_joins, learned_links, path_join, path_select
+from ..session import written
+from ..sources.corpus import prefilter
 from ..sources.tables import table
+from . import sqlparts
 
 _ASSOCIATIONS = (
     Association("line", "order", "to_one", "order", "l_orderkey", "o_orderkey"),
@@ -109,6 +114,18 @@ def implied(spark, sf):
     return implied_joins(_path_refs(spark, sf), _links(spark))
 
 
+def learned(spark, sf):
+    """Joins implied by paths over associations that the classes themselves declare."""
+    facts = written(metadata.class_facts(prefilter(adapters.entity_corpus(spark, sf))), "class-facts")
+    links = learned_links(metadata.associations(facts), metadata.entity_tables(facts), metadata.entity_ids(facts))
+    refs = table(spark, sf, "orders").selectExpr(
+        "o_orderkey stmt_id",
+        "concat('part', o_custkey % 100) entity",
+        "case o_orderkey % 3 when 0 then array('brand', 'size') when 1 then array('suppliers', 'name') else array('brand', 'brand', 'key') end path",
+    )
+    return implied_joins(refs, links, max_hops=2)
+
+
 def skip_rules(spark, sf):
     """Names that need no join: single, own table, quoted, rewritten array item."""
     m = model(spark, sf)
@@ -157,6 +174,19 @@ QUERIES = {
            union all select k, 'part', 'p_partkey', 'lineitem', 'l_partkey', 'inner' from o where k % 6 = 2
            union all select k, 'lineitem', 'l_suppkey', 'supplier', 's_suppkey', 'left' from o where k % 6 = 2""",
     ),
+    "f7_learned_joins": (
+        learned,
+        "with "
+        + sqlparts.PARTS
+        + """, e as (select k, base, imported, case when imported and not embeddable then table_name else entity end as t, case when imported then key_column else 'id' end as key from cls),
+           r as (select o_orderkey as stmt_id, o_custkey % 100 as k, o_orderkey % 3 as m from orders),
+           one as (select r.stmt_id, r.m, l.t, l.key, l.k, l.base, coalesce(b.t, 'part' || l.base) as bt, coalesce(b.key, 'id') as bkey, coalesce(b.imported, false) as known
+             from r join e l on l.k = r.k and l.imported left join e b on b.k = l.base)
+           select stmt_id, t as left_table, 'brand_id' as left_column, bt as right_table, bkey as right_column, 'inner' as join_type from one where m <> 1
+           union select stmt_id, bt, 'brand_id', bt, bkey, 'inner' from one where m = 2 and known
+           union select stmt_id, t, key, 'ps_' || (k % 10), 'ps_part', 'inner' from one where m = 1
+           union select stmt_id, 'ps_' || (k % 10), 'ps_supp', 'supplier', 'id', 'left' from one where m = 1""",
+    ),
     "f8_skip_rules": (
         skip_rules,
         "select l_quantity as line_l_quantity, count(*) as lines, max(l_extendedprice) as price, max(l_discount) as discount, max(l_tax) as tax from lineitem group by 1",

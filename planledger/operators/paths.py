@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ARRAY_PREFIX
+from .metadata import first_links
 
 
 class PathError(ValueError):
@@ -140,9 +141,11 @@ def implied_joins(refs: DataFrame, links: DataFrame, max_hops: int | None = None
 
     ``refs``: stmt_id, entity, path (array of names; the last is a column). ``links``:
     entity, field, kind, target, left_table, link_column, right_table, target_column,
-    join_table, join_column, inverse_column. One equi-join with the links per hop, up to the
-    longest path, which is measured when ``max_hops`` is not given. An array item, a quoted
-    name, a single name or the entity itself as qualifier makes no edge.
+    join_table, join_column, inverse_column. Many references share a path, so each distinct
+    (entity, path) is walked once, one equi-join with the links per hop up to the longest path
+    (measured over them when ``max_hops`` is not given), and the references meet the edges in
+    one join. An array item, a quoted name, a single name or the entity itself as qualifier
+    makes no edge.
     """
     wanted = refs.filter(
         (F.size("path") > 1)
@@ -152,10 +155,11 @@ def implied_joins(refs: DataFrame, links: DataFrame, max_hops: int | None = None
     )
     own = F.get("path", F.lit(0)) == F.col("entity")
     wanted = wanted.withColumn("path", F.when(own, F.slice("path", F.lit(2), F.size("path") - 1)).otherwise(F.col("path")))
+    shapes = wanted.select("entity", "path").distinct()
     if max_hops is None:
-        longest = wanted.agg(F.max(F.size("path"))).first()[0]
+        longest = shapes.agg(F.max(F.size("path"))).first()[0]
         max_hops = max((longest or 0) - 1, 0)
-    at = wanted.select("stmt_id", "entity", "path")
+    at = shapes.select(F.col("entity").alias("_root"), "path", "entity")
     out = None
     for hop in range(max_hops):
         step = at.filter(F.size("path") > hop + 1).withColumn("field", F.get("path", F.lit(hop)))
@@ -186,9 +190,53 @@ def implied_joins(refs: DataFrame, links: DataFrame, max_hops: int | None = None
             ),
         )
         edge = F.when(F.col("kind") == "via_table", double).when(F.col("kind") != "embedded", plain)
-        edges = step.select("stmt_id", F.explode_outer(edge).alias("_e")).filter("_e is not null").select("stmt_id", "_e.*")
+        edges = step.select("_root", "path", F.explode_outer(edge).alias("_e")).filter("_e is not null").select("_root", "path", "_e.*")
         out = edges if out is None else out.unionByName(edges)
-        at = step.select("stmt_id", F.col("target").alias("entity"), "path")
+        at = step.select("_root", "path", F.col("target").alias("entity"))
     if out is None:
-        out = refs.select("stmt_id", *[F.lit(None).cast("string").alias(c) for c in ("left_table", "left_column", "right_table", "right_column", "join_type")]).limit(0)
-    return out.distinct()
+        return refs.select("stmt_id", *[F.lit(None).cast("string").alias(c) for c in _EDGE]).limit(0)
+    edges = out.distinct().withColumnRenamed("_root", "entity")
+    return wanted.join(edges, ["entity", "path"]).select("stmt_id", *_EDGE).distinct()
+
+
+_EDGE = ("left_table", "left_column", "right_table", "right_column", "join_type")
+
+
+def learned_links(associations: DataFrame, tables: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``links`` of :func:`implied_joins` from what a corpus says about its entities.
+
+    ``associations``, ``tables`` and ``ids`` come from the metadata operators. A to-one field
+    links its column to the target's id; a mapped to-many field its own id to the column of the
+    field that maps it; a join table stands between both ids. A to-one field without a column
+    takes the one that another entity of the same table declares. An id that no class declares
+    is called id; an entity without a table is its own table.
+    """
+    table = tables.groupBy(F.col("entity").alias("_e")).agg(F.max("table_name").alias("_t"))
+    key = ids.groupBy(F.col("entity").alias("_e")).agg(F.max("column_name").alias("_k"))
+    names = table.join(key, "_e", "full")
+    shared = first_links(associations, tables).select(F.col("table_name").alias("left_table"), "field", F.col("link_column").alias("_shared"))
+    back = associations.filter(F.col("kind").isin("many_to_one", "join_column")).groupBy("entity", "field").agg(F.max("link_column").alias("_back"))
+    rows = associations.withColumn("target", F.lower("target_entity"))
+    for side, at in (("left", "entity"), ("right", "target")):
+        own = names.select(F.col("_e").alias(at), F.col("_t").alias(f"_{side}"), F.col("_k").alias(f"_{side}_key"))
+        rows = rows.join(own, at, "left").withColumn(f"{side}_table", F.coalesce(f"_{side}", at)).withColumn(f"_{side}_key", F.coalesce(f"_{side}_key", F.lit("id")))
+    rows = rows.join(shared, ["left_table", "field"], "left")
+    rows = rows.join(back.select(F.col("entity").alias("target"), F.lower("field").alias("mapped_by"), "_back"), ["target", "mapped_by"], "left")
+    kind = F.when(F.col("kind").isin("many_to_one", "join_column"), "to_one").when(F.col("kind") == "one_to_many", "to_many").when(F.col("kind") == "join_table", "via_table").otherwise(F.col("kind"))
+    via = F.col("kind") == "join_table"
+    one = F.col("kind").isin("many_to_one", "join_column")
+    found = rows.select(
+        "entity",
+        "field",
+        kind.alias("kind"),
+        "target",
+        "left_table",
+        F.when(one, F.coalesce("link_column", "_shared")).otherwise(F.col("_left_key")).alias("link_column"),
+        "right_table",
+        F.when(F.col("kind") == "one_to_many", F.col("_back")).otherwise(F.col("_right_key")).alias("target_column"),
+        F.when(via, F.col("join_table")).alias("join_table"),
+        F.when(via, F.get("join_columns", F.lit(0))).alias("join_column"),
+        F.when(via, F.get("inverse_columns", F.lit(0))).alias("inverse_column"),
+    )
+    whole = (F.col("kind") == "embedded") | (F.col("target").isNotNull() & F.col("link_column").isNotNull() & F.col("target_column").isNotNull())
+    return found.filter(whole & ((F.col("kind") != "via_table") | (F.col("join_column").isNotNull() & F.col("inverse_column").isNotNull())))

@@ -181,10 +181,12 @@ def file_report(
     """The report for chosen files only, as (recommendations, affected places, stats); ``paths`` has one column, path.
 
     Plans and scores are cut to the statements called in those files before anything is
-    counted, so means and priorities are those of the chosen files.
+    counted, so means and priorities are those of the chosen files. ``keep`` writes the cut
+    tables once, since each of them is read several times.
     """
-    chosen = call_sites.join(paths.select("path").distinct(), "path", "left_semi")
-    own_picks = plan_picks.join(chosen.select("stmt_id").distinct(), "stmt_id", "left_semi")
-    own_scores = scores.join(own_picks.select("plan_id").distinct(), "plan_id", "left_semi")
+    once = written if keep else (lambda df, _: df)
+    chosen = once(call_sites.join(paths.select("path").distinct(), "path", "left_semi"), "chosen-sites")
+    own_picks = once(plan_picks.join(chosen.select("stmt_id").distinct(), "stmt_id", "left_semi"), "chosen-picks")
+    own_scores = once(scores.join(own_picks.select("plan_id").distinct(), "plan_id", "left_semi"), "chosen-scores")
     recommendations, credits, stats = advise(own_scores, own_picks, predicates, threshold, keep)
     return recommendations, affected(recommendations, credits, chosen), stats
