@@ -110,6 +110,11 @@ def columns_in(spark, sf):
     return predicates.columns_in(preds)
 
 
+def column_refs(spark, sf):
+    refs = predicates.column_refs(_accepted(spark, sf))
+    return refs.select("stmt_id", "ref_ord", "kind", "statement_table", "qualifier", "name", "entity", F.array_join("path", ".").alias("path"))
+
+
 def call_site_lookup(spark, sf):
     calls = adapters.workload_calls(spark, sf)
     sites = extract.locate(_statements(spark, sf), calls)
@@ -168,5 +173,13 @@ QUERIES = {
         best_columns,
         _P + "select table_name, column_name, hits from (select *, row_number() over (partition by table_name order by hits desc, column_name) as rn from hits) where rn = 1",
     ),
+    "e10_column_refs": (
+        column_refs,
+        _P
+        + """, named as (select stmt_id, kind, t, case u % 7 when 0 then ['value', 'user_id', 'k'] when 1 then ['value', 'k', 'user_id'] when 2 then ['value', 'name', 'user_id']
+             when 3 then ['value', 'user_id', 'k', 'kind'] when 4 then ['value', 'name', 'user_id', 'k'] else ['value', 'user_id', 'k'] end as names from ok)
+           select stmt_id, (generate_subscripts(names, 1) - 1)::int as ref_ord, kind, t as statement_table, case when kind = 'select' then 'e' end as qualifier, unnest(names) as name,
+             t as entity, unnest(names) as path from named""",
+    ),
     "d7_columns_in_predicate": (columns_in, _P + "select distinct stmt_id, lc as column_name from preds where er and lc is not null and op in ('=', '<', '<=', '<>')"),
 }

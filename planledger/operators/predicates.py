@@ -239,6 +239,51 @@ def best_columns(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("place", place).filter(F.col("place") <= k)
 
 
+# A table of FROM, JOIN, UPDATE or DELETE, with its alias: no column.
+_TABLE_ITEM = r"(?!select\b)[a-z_][\w.$]*(?:\s+as\s+\w+|\s+(?!(?:where|set|join|inner|left|right|full|cross|outer|on|group|order|having|limit|union|fetch)\b)[a-z_]\w*)?"
+_NO_COLUMN = (
+    "and or not like ilike between in is null exists select from where group by order having as asc desc set update delete on join inner "
+    "left right full cross outer case when then else end all any some distinct limit offset union except intersect fetch escape true false with"
+).split()
+
+
+def column_refs(statements: DataFrame, col: str = "query_text") -> DataFrame:
+    """The columns that statements name in select list, WHERE, SET, GROUP BY, ORDER BY and ON.
+
+    One row per mention, in text order: ``stmt_id``, ``ref_ord``, ``kind``, ``statement_table``,
+    ``qualifier`` and ``name`` (the input of ``qualify``), ``entity`` and ``path`` (the input of
+    ``implied_joins``: the names behind the alias, starting at the alias' table or the statement's).
+    Tables, aliases, functions, parameters and literals are no columns.
+    """
+    body = text.mask_literals(F.lower(col))
+    body = F.regexp_replace(body, rf"\b(from|join|update|delete)\s+{_TABLE_ITEM}(?:\s*,\s*{_TABLE_ITEM})*+", "$1 ;")
+    body = F.regexp_replace(body, r"\bas\s+\w+", " ")
+    name = rf"(?<![\w.:{text.LIT_OPEN}])[a-z_][\w$]*(?:\.[a-z_][\w$]*)*+(?!\s*\(|[\w.])"
+    names = F.filter(F.regexp_extract_all(body, F.lit(name), F.lit(0)), lambda n: ~n.isin(*_NO_COLUMN))
+    rows = statements.select(
+        "stmt_id",
+        text.statement_kind(F.col(col)).alias("kind"),
+        text.first_table(F.col(col)).alias("statement_table"),
+        F.posexplode_outer(F.transform(names, lambda n: F.split(n, r"\."))).alias("ref_ord", "_steps"),
+    ).filter("_steps is not null")
+    count = F.size("_steps")
+    rows = rows.withColumn("qualifier", F.nullif(F.array_join(F.slice("_steps", F.lit(1), count - 1), "."), F.lit("")))
+    rows = rows.withColumn("name", F.element_at("_steps", -1)).withColumn("_first", F.when(count > 1, F.get("_steps", F.lit(0))))
+    aliases = statement_aliases(statements, col).groupBy("stmt_id", F.col("alias").alias("_first")).agg(F.max("table_name").alias("_table"))
+    rows = rows.join(aliases, ["stmt_id", "_first"], "left")
+    behind = F.slice("_steps", F.lit(2), F.greatest(count - 1, F.lit(0)))
+    return rows.select(
+        "stmt_id",
+        "ref_ord",
+        "kind",
+        "statement_table",
+        "qualifier",
+        "name",
+        F.coalesce("_table", "statement_table").alias("entity"),
+        F.when(F.col("_table").isNotNull(), behind).otherwise(F.col("_steps")).alias("path"),
+    )
+
+
 def columns_in(predicates: DataFrame) -> DataFrame:
     """(stmt_id, column_name) named by ``=``, ``<``, ``<=`` and ``<>`` comparisons."""
     sides = F.array("left_column", "right_column")

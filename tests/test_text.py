@@ -154,6 +154,19 @@ def test_aliases(spark):
     assert got == {("o", "orders"), ("l", "lines"), ("p", "parts")}
 
 
+def test_column_refs(spark):
+    q = "select o.customer.name, count(x) as n, 'o.y' from Orders o, Lines as l join Parts p on p.id = l.part where o.a = :b and upper(c) in (?, 'd') group by o.g order by h desc"
+    df = spark.createDataFrame([("s", q), ("u", "update t set a = 1 where b = c"), ("d", "delete from t where a = 1")], "stmt_id string, query_text string")
+    rows = predicates.column_refs(df).orderBy("stmt_id", "ref_ord").collect()
+    got = [(r.stmt_id, r.qualifier, r.name, r.entity, ".".join(r.path)) for r in rows]
+    assert got == [
+        ("d", None, "a", "t", "a"),
+        ("s", "o.customer", "name", "orders", "customer.name"), ("s", None, "x", "orders", "x"), ("s", "p", "id", "parts", "id"), ("s", "l", "part", "lines", "part"),
+        ("s", "o", "a", "orders", "a"), ("s", None, "c", "orders", "c"), ("s", "o", "g", "orders", "g"), ("s", None, "h", "orders", "h"),
+        ("u", None, "a", "t", "a"), ("u", None, "b", "t", "b"), ("u", None, "c", "t", "c"),
+    ]
+
+
 def test_columns_in(spark):
     rows = predicates.columns_in(preds(spark, "select * from t where a = 1 and b > 2 and c <> 3 and d < e"))
     assert {r.column_name for r in rows.collect()} == {"a", "c", "d", "e"}
