@@ -134,18 +134,21 @@ def assemble(events: DataFrame, key: str, position: str) -> DataFrame:
     marked = last_before(events, [key], position, F.when(F.col("kind") == "init", F.col(position)), "init_at")
     marked = marked.filter(F.col("init_at").isNotNull())
     parts = marked.filter(F.col("kind").isin("init", "append"))
+    # A segment's text is built once; a use is the beginning of it that the fragments before it make up.
     segment = parts.groupBy(key, "init_at").agg(
         F.sort_array(F.collect_list(F.struct(F.col(position).alias("at"), "fragment"))).alias("_parts")
     )
-    uses = marked.filter(F.col("kind") == "use").select(key, "init_at", F.col(position).alias("use_at"))
-    seen = F.filter("_parts", lambda p: p["at"] < F.col("use_at"))
-    return uses.join(segment, [key, "init_at"]).select(
+    segment = segment.select(
         key,
-        "use_at",
         "init_at",
-        F.size(seen).alias("fragments"),
-        F.array_join(F.transform(seen, lambda p: p["fragment"]), "").alias("query_text"),
+        F.array_join(F.transform("_parts", lambda p: p["fragment"]), "").alias("_text"),
+        F.transform("_parts", lambda p: F.struct(p["at"].alias("at"), F.coalesce(F.length(p["fragment"]), F.lit(0)).alias("size"))).alias("_sizes"),
     )
+    uses = marked.filter(F.col("kind") == "use").select(key, "init_at", F.col(position).alias("use_at"))
+    seen = F.filter("_sizes", lambda p: p["at"] < F.col("use_at"))
+    rows = uses.join(segment, [key, "init_at"]).withColumn("_seen", seen)
+    size = F.aggregate("_seen", F.lit(0), lambda acc, p: acc + p["size"])
+    return rows.select(key, "use_at", "init_at", F.size("_seen").alias("fragments"), F.left("_text", size).alias("query_text"))
 
 
 def fold_assignments(events: DataFrame, key: str, position: str, literal: str) -> DataFrame:
