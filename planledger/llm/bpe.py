@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers.pre_tokenizers import ByteLevel
 
-from planledger.llm.common import binary, rounds
+from planledger.llm.common import binary, rounds, sized
 
 #: Pieces in each of the two generations that a Python worker keeps encoded; results don't depend on it.
 KEPT_PIECES = 250_000
@@ -348,7 +348,7 @@ def coder(path: str, decoded: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def _coded(df: DataFrame, path: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
-    own = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    own = sized(df).select(df[id_col].alias("id"), df[text_col].alias("text"))
     fields = [T.StructField("id", own.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     if decoded:
         fields.append(T.StructField("decoded", T.StringType()))
@@ -374,6 +374,6 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
             texts = [merges.decode(np.frombuffer(x, "<u4").astype(np.int64))[0].tobytes().decode("utf-8", "replace") for x in binary(batch.column("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "decoded"])
 
-    own = df.select(df[id_col].alias("id"), df[ids_col].alias("ids"))
+    own = sized(df).select(df[id_col].alias("id"), df[ids_col].alias("ids"))
     fields = [T.StructField("id", own.schema["id"].dataType), T.StructField("decoded", T.StringType())]
     return own.mapInArrow(run, T.StructType(fields)).withColumnRenamed("id", id_col)

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from planledger.session import work_dir
 
 #: Text bytes that one round of array work takes at a time; a longer text is a round of its own.
-ROUND_BYTES = 1 << 21
+ROUND_BYTES = 1 << 20
+#: Rows that the JVM hands to a Python worker at a time.
+BATCH_ROWS = 1000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +29,12 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, whose session hands texts to Python in batches that fit beside a small heap."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def binary(column: pa.Array) -> pa.Array:
     """Strings as large binary; nulls become empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -71,7 +79,7 @@ _BASE = 0x9E3779B97F4A7C15
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, kept for the process."""
     if len(_POWERS[0]) < n:
-        n = max(n, 2 * len(_POWERS[0]), ROUND_BYTES)
+        n = max(n + n // 4, ROUND_BYTES)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planledger.llm.common import byte_view, hashes, mix, rounds, small_letters, word_runs, written
+from planledger.llm.common import byte_view, hashes, mix, rounds, sized, small_letters, word_runs, written
 
 SEED_WORDS, SEEDS, RARE, RARE_DOCS, CUT = 3, 2, 4, 16, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -81,7 +81,7 @@ def _hits(filter_bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 def item_grams(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``item`` (a number of the row), ``item_id``, ``size`` in words, ``gram``, ``place``."""
-    own = items.select(items[id_col].alias("item_id"), items[text_col].alias("text"))
+    own = sized(items).select(items[id_col].alias("item_id"), items[text_col].alias("text"))
     kind = own.schema["item_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def gram_counts(docs: DataFrame, text_col: str, bits: np.ndarray, size: int = SE
             total = np.add.reduceat(times, first) if len(first) else times
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(count), pa.array(total)], names=["gram", "docs", "times"])
 
-    own = docs.select(docs[text_col].alias("text"))
+    own = sized(docs).select(docs[text_col].alias("text"))
     return own.mapInArrow(run, "gram bigint, docs bigint, times bigint").groupBy("gram").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
 
 
@@ -126,7 +126,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray, reach
 
     Seeds at most ``reach`` words apart share a window; it goes on for ``reach`` words on both sides.
     """
-    own = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("tag"), docs[text_col].alias("text"))
+    own = sized(docs).select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("tag"), docs[text_col].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

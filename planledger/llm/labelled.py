@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planledger.llm.common import sized
+
 FOLDS = 5
 
 
@@ -24,4 +26,4 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, bound: int, id_col:
     n = known.count()
     part = min(1.0, bound / max(n, 1))
     chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(part * (1 << 30)))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    return sized(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planledger.llm.common import rounds, written
+from planledger.llm.common import rounds, sized, written
 from planledger.llm.decontam import bloom, gram_counts, words
 from planledger.llm.spans import SPAN
 
@@ -101,7 +101,7 @@ def unusual_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
 
 def mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: ``row`` (a number), ``id`` and ``found``: spans with pattern and instance."""
-    own = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    own = sized(df).select(df[id_col].alias("id"), df[text_col].alias("text"))
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_()), ("pattern", pa.int64()), ("instance", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

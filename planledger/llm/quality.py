@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from planledger.llm import labelled
-from planledger.llm.common import byte_view, hashes, mix, rounds, token_runs
+from planledger.llm.common import byte_view, hashes, mix, rounds, sized, token_runs
 
 #: Labelled rows used for fitting, at most; and pairs per document of the larger class.
 SAMPLE, PAIRS, CUT, RIDGE = 20_000, 4, 0.3, 1e-3
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: in
 
 
 def _scored(df: DataFrame, model: Model | None, text_col: str, keep: list[str], cut: float | None) -> DataFrame:
-    own = df.select(F.struct(*keep).alias("row"), df[text_col].alias("text"))
+    own = sized(df).select(F.struct(*keep).alias("row"), df[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rounds(batches):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planledger.llm.common import rounds
+from planledger.llm.common import rounds, sized
 from planledger.llm.spans import SPAN
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -108,7 +108,7 @@ def find(text: str, novelty: Novelty, least: float) -> list[tuple[int, int, int]
 
 def identifiers(df: DataFrame, text_col: str = "text", size: int = DICTIONARY_BYTES) -> list[str]:
     """The identifiers most frequent near sensitive words of all texts, about ``size`` bytes of them."""
-    own = df.select(df[text_col].alias("text"))
+    own = sized(df).select(df[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rounds(batches):
@@ -135,7 +135,7 @@ def _batches(names: list[str], least: float, make) -> object:
 def scan(df: DataFrame, names: list[str] | None = None, least: float = NOVEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and ``spans`` (kind, start, stop, base), by start, then kind as listed."""
     names = identifiers(df, text_col) if names is None else names
-    own = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    own = sized(df).select(df[id_col].alias("id"), df[text_col].alias("text"))
 
     def make(batch, texts, found):
         rows = [[{"kind": KINDS[k], "start": a, "stop": b, "base": k < 3} for a, k, b in spans] for spans in found]
@@ -149,7 +149,7 @@ def scan(df: DataFrame, names: list[str] | None = None, least: float = NOVEL, id
 def redact(df: DataFrame, names: list[str] | None = None, least: float = NOVEL, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with each span, overlapping ones as one, replaced by a mark; ``length_col`` follows the new text."""
     names = identifiers(df, text_col) if names is None else names
-    own = df.select(F.struct(*(c for c in df.columns if c != text_col)).alias("row"), df[text_col].alias("text"))
+    own = sized(df).select(F.struct(*(c for c in df.columns if c != text_col)).alias("row"), df[text_col].alias("text"))
 
     def make(batch, texts, found):
         changed = [bool(spans) for spans in found]

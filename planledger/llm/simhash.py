@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planledger.llm.common import binary, rounds, written
+from planledger.llm.common import binary, rounds, sized, written
 
 SEED, SHINGLE, DISTANCE, SEGMENT = 42, 3, 3, 2
 #: Members of a block of a crowded cell; a unit has up to two blocks.
@@ -95,7 +95,7 @@ def embedding(prints: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
 
 def fingerprint_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id`` and ``fp`` (the fingerprint as a signed number)."""
-    own = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    own = sized(df).select(df[id_col].alias("id"), df[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rounds(batches):
@@ -268,7 +268,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     Several rows of that id count as one; the least of their values stays. Texts are shuffled once,
     equal rows of a task already as one.
     """
-    own = df.select(df[id_col].alias("id"), F.struct(*df.columns).alias("row"))
+    own = sized(df).select(df[id_col].alias("id"), F.struct(*df.columns).alias("row"))
     texts = df.schema[text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

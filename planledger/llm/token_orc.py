@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from planledger.llm import bpe
-from planledger.llm.common import binary, rounds
+from planledger.llm.common import binary, rounds, sized
 
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
@@ -87,7 +87,7 @@ def write_token_ids(df: DataFrame, tokenizer_path: str, out_path: str, end_id: i
     Texts, not ids, are shuffled into id ranges: they are smaller, and the sampling for the ranges
     then reads the table only. Ranges split equal ids by their texts, so a crowded id is no one task.
     """
-    own = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    own = sized(df).select(df[id_col].alias("id"), df[text_col].alias("text"))
     kind = own.schema["id"].dataType
     spread = own.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     fields = [("id", kind), ("slice_no", T.IntegerType()), ("before", T.LongType()), ("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType()))]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from planledger.llm import labelled
-from planledger.llm.common import byte_view, hashes, mix, rounds, small_letters, word_runs
+from planledger.llm.common import byte_view, hashes, mix, rounds, sized, small_letters, word_runs
 
 #: Labelled rows used for fitting, at most; passes over them; what a toxic document's step weighs.
 SAMPLE, PASSES, POSITIVE = 20_000, 6, 2.0
@@ -110,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int
 
 def scores(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``score`` (0 to 1) and ``predicted`` (1 from 0.5)."""
-    own = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    own = sized(df).select(df[id_col].alias("id"), df[text_col].alias("text"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most 2^BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
