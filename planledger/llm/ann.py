@@ -4,7 +4,8 @@ Vectors get one more component that makes their lengths equal; then the largest
 the nearest point. A tree of k-means splits is fitted on a bounded sample and every vector goes down
 to one leaf. A query keeps its open nodes in a priority queue by distance and visits leaves in the
 order they come out. How many leaves each query visits is widened until, on calibration queries
-whose true neighbours are known from a full pass, the wished recall is reached.
+whose true neighbours are known from a full pass, the wished recall is reached. Leaves are visited
+in rounds, four times as many in each; the worst answer of a round bounds what the next passes on.
 
 Equal vectors are one entry with the least ids that an answer can need, so a vector that is
 everywhere costs no more than another. Leaves are cut into blocks, and a leaf's queries too; one
@@ -31,7 +32,7 @@ from planledger.llm.common import written
 
 #: Vectors the tree is fitted on, calibration queries, wished recall on them.
 SAMPLE, PROBES, RECALL = 20_000, 100, 0.97
-BRANCHES, LEAF, BLOCK = 16, 256, 1024
+BRANCHES, LEAF, BLOCK, FIRST_VISITS = 16, 256, 1024, 4
 
 
 @dataclass
@@ -149,7 +150,7 @@ def distinct_vectors(df: DataFrame, id_col: str, vector_col: str, answers: int)
 
 def _top(k: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        """The best ``k`` rows of a block for each query; ties by id."""
+        """The best ``k`` rows of a block for each query, if they reach its bound; ties by id."""
         if not vectors.num_rows or not queries.num_rows:
             return pa.table({"qkey": queries["qkey"][:0], "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         lists = vectors["ids"].combine_chunks()
@@ -158,8 +159,9 @@ def _top(k: int):
         by_id = np.argsort(ids, kind="stable")
         score = np.einsum("qd,vd->qv", matrix(queries["qvector"]), matrix(vectors["vector"]), optimize=True)[:, owner[by_id]]
         best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        who = np.repeat(np.arange(queries.num_rows), best.shape[1])
-        return pa.table({"qkey": queries["qkey"].combine_chunks().take(pa.array(who)), "id": pa.array(ids[by_id][best.ravel()]), "score": pa.array(np.take_along_axis(score, best, axis=1).ravel())})
+        reached = np.take_along_axis(score, best, axis=1)
+        who, place = np.nonzero(reached >= queries["bound"].to_numpy()[:, None])
+        return pa.table({"qkey": queries["qkey"].combine_chunks().take(pa.array(who)), "id": pa.array(ids[by_id][best[who, place]]), "score": pa.array(reached[who, place])})
 
     return run
 
@@ -169,6 +171,18 @@ def _merged(rows: DataFrame, by: str, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _visit(placed: DataFrame, sizes: DataFrame, asking: DataFrame, k: int, shape: T.StructType) -> DataFrame:
+    """The best of each leaf for the queries that visit it: every block of a leaf's vectors meets
+    every block of its queries, each pair in a group of bounded size."""
+    blocks = asking.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qblocks")).join(sizes, "leaf")
+    blocks = written(blocks, "blocks")
+    left = placed.join(blocks, "leaf").withColumn("vb", F.pmod("slot", F.col("vblocks")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)))
+    right = asking.join(blocks, "leaf").withColumn("qb", F.pmod(F.xxhash64("qkey", F.lit(2)), F.col("qblocks")).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)))
+    unit = ["leaf", "vb", "qb"]
+    left, right = left.select(*unit, "vector", "ids"), right.select(*unit, "qkey", "qvector", "bound")
+    return left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(_top(k), shape)
+
+
 def calibrate(vectors: DataFrame, probes: np.ndarray, tree: Tree, k: int, recall: float) -> int:
     """The least number of leaf visits that finds so much of the true neighbours of the probes.
 
@@ -229,17 +243,21 @@ def search(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     kinds = vectors.schema
     placed = vectors.mapInArrow(place, T.StructType([T.StructField("leaf", T.LongType()), kinds["vector"], kinds["ids"]]))
     visiting = wanted.mapInArrow(visit, T.StructType([T.StructField("qkey", kinds["key"].dataType), T.StructField("qvector", kinds["vector"].dataType), T.StructField("leaves", T.ArrayType(T.LongType()))]))
-    placed = written(placed, "placed")
-    visiting = written(visiting.select("qkey", "qvector", F.explode("leaves").alias("leaf")), "visiting")
-    blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vblocks")).join(visiting.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qblocks")), "leaf")
-    blocks = written(blocks, "blocks")
-    left = placed.join(blocks, "leaf").withColumn("vb", F.pmod(F.xxhash64("vector"), F.col("vblocks"))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)))
-    right = visiting.join(blocks, "leaf").withColumn("qb", F.pmod(F.xxhash64("qvector", F.lit(2)), F.col("qblocks"))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)))
-    unit = ["leaf", "vb", "qb"]
-    left = left.select("leaf", F.col("vb").cast("int").alias("vb"), "qb", "vector", "ids")
-    right = right.select("leaf", "vb", F.col("qb").cast("int").alias("qb"), "qkey", "qvector")
+    placed = written(placed.withColumn("slot", F.xxhash64("vector")), "placed")
+    sizes = written(placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vblocks")), "leaf-sizes")
+    visiting = written(visiting.select("qkey", "qvector", F.posexplode("leaves").alias("turn", "leaf")), "visiting")
     shape = T.StructType([T.StructField("qkey", kinds["key"].dataType), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
-    best = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(_top(k + 1), shape)
-    best = written(_merged(best, "qkey", k + 1).select("qkey", "id", "score"), "answers")
+    best, low = None, 0
+    while low < most:  # a few leaves, then four times as many: what can't be among the best is not passed on
+        high = max(FIRST_VISITS, 4 * low)
+        asking = visiting.filter((F.col("turn") >= low) & (F.col("turn") < high)).drop("turn")
+        if best is None:
+            asking = asking.withColumn("bound", F.lit(float("-inf")))
+        else:
+            bound = best.groupBy("qkey").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("bound"))
+            asking = asking.join(bound, "qkey")
+        found = _visit(placed, sizes, asking, k + 1, shape)
+        best = written(_merged(found if best is None else found.unionByName(best), "qkey", k + 1).select("qkey", "id", "score"), "answers")
+        low = high
     answers = best.join(asked.select(F.col("key").alias("qkey"), F.col("id").alias("query_id")), "qkey").filter("query_id <> id")
     return _merged(answers, "query_id", k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
