@@ -30,7 +30,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 from planledger.llm.common import binary, rounds, sized
 
 #: Pieces in each of the two generations that a Python worker keeps encoded; results don't depend on it.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 400_000
 #: Longer pieces are merged on a heap.
 LIST_BYTES = 96
 LETTER, NUMBER, OTHER, BLANK = 1, 2, 3, 0

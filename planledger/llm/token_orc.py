@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from planledger.llm import bpe
-from planledger.llm.common import binary, rounds, sized
+from planledger.llm.common import ROUND_BYTES, binary, rounds, sized
 
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
@@ -64,7 +64,7 @@ def text_coder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 def _encoder(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, done, number = text_coder(path), 0, TaskContext.get().partitionId()
-        for batch in rounds(batches):
+        for batch in rounds(batches, size=2 * ROUND_BYTES):  # the more text, the fewer pieces met anew
             ids, count = coder(batch.column("text"))
             stops = np.cumsum(count)
             ids = np.insert(ids, stops, end_id).astype(np.int32)
