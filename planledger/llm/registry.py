@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planledger.llm import ann, bpe, decontam, language, lm, pii, quality, secret_scan, simhash, spans, token_orc, toxicity
+from planledger.llm import ann, bpe, decontam, language, lm, pii, quality, secret_scan, simhash, spans, token_orc, toxicity, turns
 from planledger.llm.common import read_table
 from planledger.llm.labelled import held_out
 from planledger.session import work_dir
@@ -68,6 +68,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
+def op12_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.audit(read_table(spark, folder, "conversations"))
+
+
 def op13_langid(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     rows = language.identify(docs, language.train(docs.filter(language.in_training(F.col("doc_id")))))
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_ann": op9_ann,
     "op10_simhash": op10_simhash,
+    "op12_turns": op12_turns,
     "op13_langid": op13_langid,
 }
 
