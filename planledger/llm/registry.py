@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planledger.llm import ann, bpe, decontam, language, lm, pii, quality, secret_scan, simhash, spans, token_orc, toxicity, turns
+from planledger.llm import ann, bpe, decontam, language, lm, pii, quality, ranked, secret_scan, simhash, spans, sql, token_orc, toxicity, turns
 from planledger.llm.common import read_table
 from planledger.llm.labelled import held_out
 from planledger.session import work_dir
@@ -68,6 +68,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
+def op11_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op12_turns(spark: SparkSession, folder: str) -> DataFrame:
     return turns.audit(read_table(spark, folder, "conversations"))
 
@@ -89,8 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_ann": op9_ann,
     "op10_simhash": op10_simhash,
+    "op11_ranked": op11_ranked,
     "op12_turns": op12_turns,
     "op13_langid": op13_langid,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_ranked": sql.OP11, "op12_turns": sql.OP12}
