@@ -36,8 +36,9 @@ from pyspark.sql import types as T
 from planledger.llm.common import byte_view, hashes, lowered, rounds, runs, sized, written
 
 TOP = 20
-#: Different terms of a slice of items, about; cells and documents of a block; ranges opened at a time.
-MOST_TERMS, BLOCK_CELLS, BLOCK_DOCS, OPENED = 1 << 18, 1 << 20, 1 << 13, 64
+#: Different terms of a slice of items, about; cells and documents of a block; ranges opened at a time;
+#: terms from which an item opens few.
+MOST_TERMS, BLOCK_CELLS, BLOCK_DOCS, OPENED, WIDE = 1 << 18, 1 << 20, 1 << 13, 64, 1 << 12
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -106,9 +107,10 @@ def treap(rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> Treap:
 
 def best(tree: Treap, rows: np.ndarray, weights: np.ndarray, documents: int, floor: int, top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
     """Columns and scores of all documents that can be among the ``top`` best and have ``floor`` or more."""
-    start = np.zeros((1, len(rows)), np.int64)
+    inside = rows < 1 << tree.depth  # no document of this block has a term beyond
+    rows, weights = rows[inside], weights[inside]
     level_of, first = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    node, value = start, np.full((1, len(rows)), tree.root, np.int64)
+    node, value = np.zeros((1, len(rows)), np.int64), np.full((1, len(rows)), tree.root, np.int64)
     bound = value @ weights
     found_at, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
     while len(bound):
@@ -122,7 +124,10 @@ def best(tree: Treap, rows: np.ndarray, weights: np.ndarray, documents: int, flo
         if not len(keep):
             break
         level_of, first, node, value, bound = level_of[keep], first[keep], node[keep], value[keep], bound[keep]
-        opened = np.argpartition(-bound, OPENED)[:OPENED] if len(bound) > OPENED else np.arange(len(bound))
+        if len(rows) > WIDE:  # an item of very many terms: the smallest ranges first, so that few stay open
+            opened = np.lexsort((-bound, -level_of))[:2]
+        else:
+            opened = np.argpartition(-bound, OPENED)[:OPENED] if len(bound) > OPENED else np.arange(len(bound))
         rest = np.ones(len(bound), bool)
         rest[opened] = False
         parts = [(level_of[rest], first[rest], node[rest], value[rest], bound[rest])]
