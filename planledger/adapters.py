@@ -113,6 +113,27 @@ def hard_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.concat(F.lit("hard/"), F.col("c_custkey").cast("string")).alias("path"), content.alias("content"))
 
 
+def builder_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes whose queries are built step by step: one per customer, six calls each.
+
+    Two methods have a builder of one name, which one of them makes anew; constants stand behind
+    their use and in each other; a parameter hides a field.
+    """
+    content = F.expr(
+        """concat(
+        'class Dao', c_custkey, ' {\n  static final String COLS = "c.id, " + Dao', c_custkey, '.MORE;\n  private String p = "hidden";\n',
+        '  Object one(String p) {\n    StringBuilder sb = new StringBuilder("select ").append(COLS).append(" from Customer c");\n',
+        '    sb.append(" where c.seg = \\'', c_mktsegment, '\\'"); // sb.append("gone");\n',
+        '    if (p != null) { sb.append(" and c.nation = ', c_nationkey, '"); }\n    Query first = em.createQuery(sb.toString(), Customer.class);\n',
+        '    sb = new StringBuilder();\n    sb.append("delete from Old', c_nationkey, '");\n    return em.createQuery(sb.toString());\n  }\n\n',
+        '  Object two(String p) {\n    StringBuffer sb = new StringBuffer(64);\n    sb.append("update T set a = ").append(', if(c_custkey % 2 = 0, 'p', '"1"'), ');\n    em.createNativeQuery(sb.toString());\n',
+        '    String q = "select x from V";\n    q += " where k = ', c_custkey, '";\n    em.createQuery(q);\n',
+        '    em.createQuery("from W where " + this.COLS + " > 0");\n    return em.createQuery(p);\n  }\n',
+        '  static final String MORE = "c.name";\n}\n')"""
+    )
+    return spread_scan(table(spark, sf_dir, "customer")).select(F.concat(F.lit("dao/"), F.col("c_custkey").cast("string")).alias("path"), content.alias("content"))
+
+
 def deep_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities whose annotations nest brackets ten deep: one per supplier."""
     content = F.expr(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import advice, corpus, metadata, params, paths, plans, statements
+from . import advice, corpus, metadata, params, paths, plans, source, statements
 
-_MODULES = (corpus, statements, metadata, paths, params, plans, advice)
+_MODULES = (corpus, source, statements, metadata, paths, params, plans, advice)
 
 
 def queries() -> dict:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .structure import brackets, let
+
 # Fixed marks that cannot occur in query text: they stand for masked pieces.
 LIT_OPEN, LIT_CLOSE = "\u0001", "\u0002"
 ARG_OPEN, ARG_CLOSE = "\u000e", "\u000f"
@@ -17,7 +19,7 @@ JAVA_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 JAVA_CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\n]*+)'"
 JAVA_COMMENT = r"//[^\n]*+|(?s:/\*.*?\*/)"
 
-# Paired brackets become private-use characters, one for each level counted from the innermost.
+# Paired brackets become private-use characters, one for each depth.
 PAIR = "[\\x{F0000}-\\x{10FFFF}]"
 _FIRST_PAIR, _PAIRS = 0xF0000, 0x20000
 
@@ -30,6 +32,10 @@ def replace_all(col: Column, *pairs: tuple[str, str]) -> Column:
     return col
 
 
+def stripped(col: Column) -> Column:
+    return F.btrim(col, F.lit(" \t\r\n\f"))
+
+
 def string_literals(col: Column) -> Column:
     """All quoted SQL strings of the text, in order."""
     return F.regexp_extract_all(col, F.lit(SQL_STRING), F.lit(0))
@@ -47,18 +53,20 @@ def mask_literals(col: Column) -> Column:
 
 def unmask(col: Column, literals: Column) -> Column:
     """Undo every mask: numbered marks, argument brackets, BETWEEN's AND."""
-    pieces = F.split(col, LIT_OPEN)
-    restored = F.transform(
-        pieces,
-        lambda p, i: F.when(i == 0, p).otherwise(
-            F.concat(
-                F.get(literals, F.substring_index(p, LIT_CLOSE, 1).cast("int")),
-                F.regexp_replace(p, f"^[0-9]+{LIT_CLOSE}", ""),
-            )
-        ),
-    )
+
+    def restored(known: Column) -> Column:
+        return F.transform(
+            F.split(col, LIT_OPEN),
+            lambda p, i: F.when(i == 0, p).otherwise(
+                F.concat(
+                    F.get(known, F.substring_index(p, LIT_CLOSE, 1).cast("int")),
+                    F.regexp_replace(p, f"^[0-9]+{LIT_CLOSE}", ""),
+                )
+            ),
+        )
+
     return F.translate(
-        F.array_join(restored, ""), ARG_OPEN + ARG_CLOSE + GROUP_OPEN + GROUP_CLOSE, "()"
+        F.array_join(let(literals, restored), ""), ARG_OPEN + ARG_CLOSE + GROUP_OPEN + GROUP_CLOSE, "()"
     )
 
 
@@ -111,9 +119,8 @@ def source_without_comments(col: Column) -> Column:
 
 def _each(col: Column, pattern: str, change) -> Column:
     """The text with each match of the pattern changed by an expression."""
-    found = F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
-    gaps = F.split(col, pattern)
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(change(F.get(found, i)), F.lit("")))), "")
+    pieces = F.arrays_zip(F.split(col, pattern).alias("gap"), F.regexp_extract_all(col, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(change(p["found"]), F.lit("")))), "")
 
 
 def blank_comments(col: Column) -> Column:
@@ -125,14 +132,15 @@ def blank_comments(col: Column) -> Column:
     return _each(col, f"{JAVA_STRING}|{JAVA_CHAR}|{JAVA_COMMENT}", blank)
 
 
-def mask_quoted(col: Column) -> Column:
-    """Source without comments, with the insides of strings and characters as filler: nothing moves."""
+def mask_source(col: Column) -> Column:
+    """Java source with comments as blanks and the insides of strings and characters as filler: nothing moves."""
 
     def fill(token: Column) -> Column:
         quote = F.left(token, F.lit(1))
-        return F.concat(quote, F.regexp_replace(F.substring(token, F.lit(2), F.length(token) - 2), r"[^\n]", "_"), quote)
+        inside = F.regexp_replace(F.substring(token, F.lit(2), F.length(token) - 2), r"[^\n]", "_")
+        return F.when(quote == "/", F.regexp_replace(token, r"[^\n]", " ")).otherwise(F.concat(quote, inside, quote))
 
-    return _each(col, f"{JAVA_STRING}|{JAVA_CHAR}", fill)
+    return _each(col, f"{JAVA_STRING}|{JAVA_CHAR}|{JAVA_COMMENT}", fill)
 
 
 def shield_quoted(col: Column) -> Column:
@@ -145,20 +153,19 @@ def unshield(col: Column) -> Column:
 
 
 def pair_brackets(masked: Column) -> Column:
-    """Both brackets of a pair as the same character, another one for each level from the inside.
+    """Both round brackets of a pair as the same character, another one for each depth.
 
-    So a pattern finds the partner of a bracket as the next equal character, however deep. There are
-    at most as many rounds as opening brackets; brackets without a partner stay.
+    So a pattern finds the partner of a bracket as the next equal character, however deep. Brackets
+    without a partner stay.
     """
-    start = F.struct(masked.alias("text"), F.lit(False).alias("over"))
 
-    def innermost(acc: Column, level: Column) -> Column:
-        mark = F.decode(F.unhex(F.lpad(F.hex(F.lit(_FIRST_PAIR) + F.pmod(level, F.lit(_PAIRS - 2))), 8, "0")), "UTF-32")
-        new = F.regexp_replace(acc["text"], F.lit(r"\(([^()]*+)\)"), F.concat(mark, F.lit("$1"), mark))
-        return F.when(acc["over"], acc).otherwise(F.struct(new.alias("text"), (new == acc["text"]).alias("over")))
+    def marked(x: Column) -> Column:
+        code = F.lit(_FIRST_PAIR) + F.pmod(x["key"], F.lit(_PAIRS - 2))
+        mark = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        own = F.when(x["br"].isin("(", ")") & x["partner"].isNotNull(), mark).otherwise(x["br"])
+        return F.concat(x["piece"], F.coalesce(own, F.lit("")))
 
-    opening = F.length(masked) - F.length(F.replace(masked, F.lit("("), F.lit("")))
-    return F.aggregate(F.sequence(F.lit(0), opening), start, innermost, lambda acc: acc["text"])
+    return F.when(masked.rlike("[(]"), F.array_join(F.transform(brackets(masked), marked), "")).otherwise(masked)
 
 
 def paired(group: int) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import structure, text
 from ..functions.scale import last_before
 
 # Fixed names of the calls that make a query.
@@ -17,76 +17,68 @@ QUERY_METHODS = ("createQuery", "createNativeQuery", "createNamedQuery", "create
 def extract_calls(corpus: DataFrame, method_names: Sequence[str] = QUERY_METHODS) -> DataFrame:
     """One row per call of a query-making method: argument, call text and position.
 
-    Works inside each file row, without a shuffle. Positions are 1-based and the end is
-    inclusive. Comments, strings and characters are masked first, so only real calls are found;
-    brackets are paired at any depth. A call inside another one's brackets belongs to that one.
+    Works inside each file row, without a shuffle, in about linear time. Positions are 1-based and the
+    end is inclusive; ``at`` is the place of the call's opening bracket. Comments, strings and characters
+    are masked first, so only real calls are found. A call in another call's brackets is a call as well.
     """
-    names = "|".join(method_names)
-
-    def chain(group: int) -> str:
-        return rf"(?:\b\w+(?:({text.PAIR})\{group})?\s*\.\s*)*+"
-
-    call = rf"(?s){chain(1)}\b(?:{names})\s*{text.paired(2)}"
-    # Splitting at the calls gives the text before each one; walking over gap, call, gap, call …
-    # with a running (line, column) places every call in one pass over the file.
     kept = [c for c in corpus.columns if c != "content"]
-    found = (
-        corpus.withColumn("_code", text.blank_comments(F.col("content")))
-        .withColumn("_marked", text.pair_brackets(text.mask_quoted(F.col("_code"))))
-        .withColumn("_calls", F.regexp_extract_all("_marked", F.lit(call), F.lit(0)))
-        .withColumn("_gaps", F.split("_marked", call))
-        .select(*kept, "content", "_code", "_calls", "_gaps")
+    files = corpus.withColumn("_b", structure.brackets(text.mask_source(F.col("content"))))
+    rows = files.select(*kept, "content", F.posexplode_outer(call_places(F.col("_b"), method_names)).alias("call_ord", "_c"))
+    call = F.expr("substring(content, _c.start, _c.end - _c.start + 1)")
+    argument = text.blank_comments(F.expr("substring(content, _c.at + 1, _c.stop - _c.at - 1)"))
+    return rows.filter("_c is not null").select(
+        *kept, "call_ord", text.stripped(argument).alias("argument"), call.alias("call_text"), *(F.col(f"_c.{n}").alias(n) for n in (*RANGE, "at"))
     )
 
-    def extent(part: Column) -> Column:
-        breaks = F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
-        return F.struct(breaks.alias("breaks"), F.length(F.substring_index(part, "\n", -1)).alias("tail"))
 
-    def moved(line: Column, column: Column, step: Column) -> tuple[Column, Column]:
-        return line + step["breaks"], F.when(step["breaks"] > 0, step["tail"] + 1).otherwise(column + step["tail"])
+def chains(found: Column) -> Column:
+    """For each of a text's ``brackets``, the number of the bracket with which its chain of calls begins.
 
-    def place(acc: Column, step: Column) -> Column:
-        at = acc["at"] + step["skip"]
-        begin_line, begin_col = moved(acc["line"], acc["col"], step["gap"])
-        end_line, end_col = moved(begin_line, begin_col, step["call"])
-        spot = F.struct(
-            at.alias("at"), begin_line.alias("begin_line"), begin_col.alias("begin_col"), end_line.alias("end_line"), (end_col - 1).alias("end_col")
+    ``a.b(c).d(e)`` is a chain: what stands before the second opening bracket goes on from the first
+    pair. The first one's ``piece`` ends in the chain's first names.
+    """
+
+    def before(x: Column) -> Column:
+        closed = F.get(found, x["i"] - 1)
+        opened = F.get(found, closed["partner"])
+        goes_on = (x["br"] == "(") & x["piece"].rlike(r"^\s*\.\s*(?:\w+\s*\.\s*)*+\w+\s*$") & (closed["br"] == ")") & opened["piece"].rlike(r"\w$")
+        return F.when(goes_on, closed["partner"]).otherwise(x["i"])
+
+    return structure.follow(F.transform(found, before))
+
+
+def call_places(found: Column, method_names: Sequence[str]) -> Column:
+    """The calls among a text's ``brackets``: their range, ``at``, and ``stop``, where the first argument ends."""
+    return structure.let(found, lambda b: _calls(b, "|".join(method_names)))
+
+
+def _calls(b: Column, names: str) -> Column:
+    def places(x: Column) -> Column:
+        own = x["of"]
+        first, close = F.get(b, x["root"]), F.get(b, own["partner"])
+        head = F.regexp_extract(first["piece"], r"((?:\b\w+\s*\.\s*)*+\b\w+\s*)$", 1)
+        # The piece before the chain, and the line breaks of the whole text before that.
+        lead = F.left(first["piece"], F.length(first["piece"]) - F.length(head))
+        over = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
+        tail = F.length(F.substring_index(lead, "\n", -1))
+        start = first["at"] - F.length(head)
+        inside = F.slice(b, own["i"] + 2, own["partner"] - own["i"])
+        level = lambda k: F.when(k["br"] == "(", k["key"] - 1).when(k["br"] == ")", k["key"])
+        comma = F.get(F.filter(inside, lambda k: F.contains(k["piece"], F.lit(",")) & (level(k) == own["key"])), F.lit(0))
+        return F.struct(
+            start.alias("start"),
+            (first["line"] - over + 1).alias("begin_line"),
+            F.when(over == 0, start - first["break_at"]).when(F.contains(lead, F.lit("\n")), tail + 1).otherwise(start - F.coalesce(F.get(b, x["root"] - 1)["break_at"], F.lit(0))).alias("begin_col"),
+            (close["line"] + 1).alias("end_line"),
+            (close["at"] - close["break_at"]).alias("end_col"),
+            close["at"].alias("end"),
+            own["at"].alias("at"),
+            F.coalesce(comma["at"] - F.length(comma["piece"]) - 1 + F.instr(comma["piece"], ","), close["at"]).alias("stop"),
         )
-        return F.struct((at + step["size"]).alias("at"), end_line.alias("line"), end_col.alias("col"), F.concat(acc["spots"], F.array(spot)).alias("spots"))
 
-    steps = F.transform(
-        "_calls",
-        lambda c, i: F.struct(
-            extent(F.get("_gaps", i)).alias("gap"), extent(c).alias("call"), F.length(F.get("_gaps", i)).alias("skip"), F.length(c).alias("size")
-        ),
-    )
-    start = F.struct(
-        F.lit(1).alias("at"),
-        F.lit(1).alias("line"),
-        F.lit(1).alias("col"),
-        F.expr("cast(array() as array<struct<at:int,begin_line:int,begin_col:int,end_line:int,end_col:int>>)").alias("spots"),
-    )
-    spots = F.aggregate(steps, start, place, lambda acc: acc["spots"])
-    parts = F.transform(
-        F.arrays_zip(F.col("_calls").alias("call"), spots.alias("spot")),
-        lambda c: F.struct(
-            c["call"].alias("marked"),
-            F.substring("content", c["spot"]["at"], F.length(c["call"])).alias("call_text"),
-            F.substring("_code", c["spot"]["at"], F.length(c["call"])).alias("code"),
-            c["spot"].dropFields("at").alias("spot"),
-        ),
-    )
-    rows = found.select(*kept, F.posexplode_outer(parts).alias("call_ord", "_c")).filter("_c is not null")
-    # The argument starts behind the first bracket of the call's own pair and ends at a comma or at its partner.
-    head = F.regexp_extract("_c.marked", rf"(?s)^({chain(2)}\b(?:{names})\s*{text.PAIR})", 1)
-    inside = F.expr("substring(_c.marked, length(_head) + 1, length(_c.marked) - length(_head) - 1)")
-    first = F.regexp_extract("_inside", rf"(?s)^((?:(?!{text.PAIR})[^,]|{text.paired(2)})*+)", 1)
-    return (
-        rows.withColumn("_head", head)
-        .withColumn("_inside", inside)
-        .withColumn("argument", F.trim(F.substring("_c.code", F.length("_head") + 1, F.length(first))))
-        .select(*kept, "call_ord", "argument", F.col("_c.call_text").alias("call_text"), "_c.spot.*")
-    )
+    zipped = F.arrays_zip(b.alias("of"), chains(b).alias("root"))
+    calls = F.filter(zipped, lambda x: (x["of"]["br"] == "(") & x["of"]["partner"].isNotNull() & x["of"]["piece"].rlike(rf"\b(?:{names})\s*$"))
+    return F.transform(calls, places)
 
 
 def fold_concat(calls: DataFrame) -> DataFrame:

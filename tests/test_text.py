@@ -249,7 +249,8 @@ def test_calls_over_lines_and_nested(spark):
     body = 'x(em.createQuery("a" +\n  f("(", ")"), T.class).list());\nem.createQuery( em.createNativeQuery("q") );'
     corpus = spark.createDataFrame([("p", body)], "path string, content string")
     rows = extract.extract_calls(corpus).orderBy("call_ord").collect()
-    assert [r.argument for r in rows] == ['"a" +\n  f("(", ")")', 'em.createNativeQuery("q")']
+    assert [r.argument for r in rows] == ['"a" +\n  f("(", ")")', 'em.createNativeQuery("q")', '"q"']
+    assert (rows[2].call_text, rows[2].begin_line, rows[2].begin_col, rows[2].end_col) == ('em.createNativeQuery("q")', 3, 17, 41)
     assert (rows[0].begin_line, rows[0].begin_col, rows[0].end_line, rows[0].end_col) == (1, 3, 2, 23)
 
 
