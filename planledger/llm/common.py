@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,38 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives executors."""
-    path = f"{work_dir(df.sparkSession, 'llm')}-{purpose}-{uuid.uuid4().hex[:8]}"
+_scopes: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that were written inside it, but for those of ``outlasting``."""
+    folder = work_dir(spark, "scratch")
+    _scopes.append(folder)
+    try:
+        yield
+    finally:
+        _scopes.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _write(df: DataFrame, purpose: str, folder: str | None) -> DataFrame:
+    path = f"{folder}/{purpose}-{uuid.uuid4().hex}" if folder else f"{work_dir(df.sparkSession, 'llm')}-{purpose}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives executors."""
+    return _write(df, purpose, _scopes[-1] if _scopes else None)
+
+
+def outlasting(df: DataFrame, purpose: str) -> DataFrame:
+    """As ``written``, for a table that stays when the innermost ``scratch`` ends."""
+    return _write(df, purpose, _scopes[-2] if len(_scopes) > 1 else None)
+
+
 def sized(df: DataFrame) -> DataFrame:
     """``df``, whose session hands texts to Python in batches that fit beside a small heap."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
