@@ -32,7 +32,9 @@ from planledger.llm.common import written
 
 #: Vectors the tree is fitted on, calibration queries, wished recall on them.
 SAMPLE, PROBES, RECALL = 20_000, 100, 0.97
-BRANCHES, LEAF, BLOCK, FIRST_VISITS = 16, 256, 1024, 4
+#: Vectors of a leaf at least, and leaves of a tree about: leaves grow with the table, so that the visits
+#: of a query don't.
+BRANCHES, LEAF, LEAVES, BLOCK, FIRST_VISITS = 16, 256, 64, 1024, 4
 
 
 @dataclass
@@ -225,7 +227,8 @@ def search(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     sample = some(vectors, n, SAMPLE)
     if not len(sample):
         sample = matrix(vectors.orderBy("key").select("vector").limit(1).toArrow()["vector"])
-    tree = build(sample, longest, max(8, LEAF * len(sample) // max(n, 1)))
+    leaf = max(LEAF, n // LEAVES)
+    tree = build(sample, longest, max(8, leaf * len(sample) // max(n, 1)))
     wanted = written(vectors.select("key", "vector").join(asked.select("key").distinct(), "key"), "wanted")
     probes = some(wanted, wanted.count(), PROBES)
     most = calibrate(vectors, probes, tree, k, recall) if len(probes) else 1
@@ -245,17 +248,18 @@ def search(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     visiting = wanted.mapInArrow(visit, T.StructType([T.StructField("qkey", kinds["key"].dataType), T.StructField("qvector", kinds["vector"].dataType), T.StructField("leaves", T.ArrayType(T.LongType()))]))
     placed = written(placed.withColumn("slot", F.xxhash64("vector")), "placed")
     sizes = written(placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vblocks")), "leaf-sizes")
-    visiting = written(visiting.select("qkey", "qvector", F.posexplode("leaves").alias("turn", "leaf")), "visiting")
+    visiting = written(visiting, "visiting")
     shape = T.StructType([T.StructField("qkey", kinds["key"].dataType), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
     best, low = None, 0
     while low < most:  # a few leaves, then four times as many: what can't be among the best is not passed on
         high = max(FIRST_VISITS, 4 * low)
-        asking = visiting.filter((F.col("turn") >= low) & (F.col("turn") < high)).drop("turn")
+        asking = visiting.withColumn("leaves", F.slice("leaves", low + 1, high - low))
         if best is None:
             asking = asking.withColumn("bound", F.lit(float("-inf")))
-        else:
+        else:  # a row for each query meets its bound, before it is a row for each leaf
             bound = best.groupBy("qkey").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("bound"))
             asking = asking.join(bound, "qkey")
+        asking = asking.select("qkey", "qvector", F.explode("leaves").alias("leaf"), "bound")
         found = _visit(placed, sizes, asking, k + 1, shape)
         best = written(_merged(found if best is None else found.unionByName(best), "qkey", k + 1).select("qkey", "id", "score"), "answers")
         low = high
