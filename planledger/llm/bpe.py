@@ -29,8 +29,9 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 from planledger.llm.common import binary, rounds, sized
 
-#: Pieces in each of the two generations that a Python worker keeps encoded; results don't depend on it.
-KEPT_PIECES = 400_000
+#: Pieces, and their bytes, from which a generation of the two that a Python worker keeps encoded is
+#: full; results don't depend on it.
+KEPT_PIECES, KEPT_BYTES = 250_000, 1 << 23
 #: Longer pieces are merged on a heap.
 LIST_BYTES = 96
 LETTER, NUMBER, OTHER, BLANK = 1, 2, 3, 0
@@ -283,15 +284,17 @@ class Store:
         self.slot: dict[bytes, int] = {}
         self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.older = self.slot, self.flat, self.start
+        self.held = 0
 
     def add(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
         self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words)), strict=True))
         self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(lengths)))
         self.flat = np.concatenate((self.flat, flat))
+        self.held += sum(map(len, words))
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.slot) > KEPT_PIECES:
-            self.older = self.slot, self.flat, self.start
+        if len(self.slot) > KEPT_PIECES or self.held > KEPT_BYTES:
+            self.older, self.held = (self.slot, self.flat, self.start), 0
             self.slot, self.flat, self.start = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
         missing = [w for w in words if w not in self.slot]
         old, flat, start = self.older
