@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters
+from ..sources.tables import table
 from ..operators import extract, predicates, statements
 from . import sqlparts
 
@@ -110,6 +111,16 @@ def columns_in(spark, sf):
     return predicates.columns_in(preds)
 
 
+def scoped_refs(spark, sf):
+    """Columns of statements whose inner query uses an outer alias for another table, with joined paths and HAVING."""
+    stmts = table(spark, sf, "customer").selectExpr(
+        "concat('s', c_custkey) stmt_id",
+        """concat('SELECT c.name FROM Customer c WHERE c.id IN (SELECT c.owner FROM Orders', c_nationkey, ' c JOIN c.box.lid l WHERE l.kind = ', c_custkey,
+        ' AND day > :d GROUP BY c.day HAVING count(c.gone) > 1) AND c.seg = ''c.no'' ORDER BY c.', if(c_custkey % 2 = 0, 'rank', 'from')) query_text""",
+    )
+    return predicates.column_refs(stmts).select("stmt_id", "ref_ord", "qualifier", "name", "entity", F.array_join("path", ".").alias("path"))
+
+
 def column_refs(spark, sf):
     refs = predicates.column_refs(_accepted(spark, sf))
     return refs.select("stmt_id", "ref_ord", "kind", "statement_table", "qualifier", "name", "entity", F.array_join("path", ".").alias("path"))
@@ -173,6 +184,13 @@ QUERIES = {
         best_columns,
         _P + "select table_name, column_name, hits from (select *, row_number() over (partition by table_name order by hits desc, column_name) as rn from hits) where rn = 1",
     ),
+    "e10_scoped_refs": (
+        scoped_refs,
+        """select 's' || c_custkey as stmt_id, ref_ord, qualifier, name, case own when 0 then 'customer' else 'orders' || c_nationkey end as entity, path from customer,
+             (values (0, 'c', 'name', 0, 'name'), (1, 'c', 'id', 0, 'id'), (2, 'c', 'owner', 1, 'owner'), (3, 'l', 'kind', 1, 'box.lid.kind'), (4, null, 'day', 1, 'day'),
+              (5, 'c', 'day', 1, 'day'), (6, 'c', 'seg', 0, 'seg')) v(ref_ord, qualifier, name, own, path)
+           union all select 's' || c_custkey, 7, 'c', case when c_custkey % 2 = 0 then 'rank' else 'from' end, 'customer', case when c_custkey % 2 = 0 then 'rank' else 'from' end from customer""",
+    ),
     "e10_column_refs": (
         column_refs,
         _P

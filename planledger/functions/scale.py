@@ -77,7 +77,9 @@ def nth_largest(df: DataFrame, group: str, value: str, ranks: DataFrame) -> Data
     at last is about one in sixteen million. Values of equal interval never change order.
     """
     steps = 4096
-    size = F.signum(value) * F.floor(F.log2(F.abs(F.col(value)) + 1) * steps)
+    # Never null: else a test for null would go down to one of the readers of ``df`` and the others
+    # could not use its exchange again.
+    size = F.coalesce(F.signum(value) * F.floor(F.log2(F.abs(F.col(value)) + 1) * steps), F.lit(0.0))
     left, wanted = _interval(df.select(group, value).withColumn("_part", size), ranks, group)
     ends = left.groupBy(group).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     even = F.coalesce(F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0)) * steps), F.lit(0))

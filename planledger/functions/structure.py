@@ -59,7 +59,7 @@ def brackets(masked: Column) -> Column:
     partner's number, null if it has none).
     """
     found = F.arrays_zip(F.split(masked, r"[(){}]").alias("piece"), F.regexp_extract_all(masked, F.lit(r"[(){}]"), F.lit(0)).alias("br"))
-    return let(let(found, _measured), _paired)
+    return let(let(found, _measured), paired)
 
 
 def _measured(found: Column) -> Column:
@@ -99,7 +99,9 @@ def _measured(found: Column) -> Column:
     return F.transform(F.arrays_zip(found.alias("of"), running(F.transform(found, step), join).alias("sums")), element)
 
 
-def _paired(found: Column) -> Column:
+def paired(found: Column) -> Column:
+    """Adds ``partner`` to elements that have ``i``, ``br`` (a bracket or null) and its ``key``."""
+
     def partners(order: Column) -> Column:
         def one(x: Column, k: Column) -> Column:
             other = F.when(x["open"], F.get(order, k + 1)).otherwise(F.get(order, k - 1))

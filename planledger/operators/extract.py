@@ -99,22 +99,40 @@ def expand_variants(fragments: DataFrame, key: str, seq: str, alternatives: str,
     """Every text a builder can make: one per choice of alternative for each fragment.
 
     ``alternatives`` is an array of texts, ``seq`` the place of the fragment, ``dynamic`` an
-    optional flag. A builder's fragments come from one place in one source file, so its
-    row stays small; the expansion happens inside that row.
+    optional flag. A builder's fragments come from one place in one source file, so its row stays
+    small. Choices are numbered: a builder becomes a row for each number, and the number's digits, to
+    the bases of how many alternatives each fragment has, say which ones are joined. First the numbers
+    of the leading half of the digits are rows, then those of the rest, so no task holds them all.
     """
     flag = F.col(dynamic) if dynamic else F.lit(False)
-    part = F.struct(F.col(seq).alias("seq"), F.col(alternatives).alias("alts"), flag.alias("dyn"))
-    grown = F.aggregate(
-        "_parts",
-        F.array(F.lit("")),
-        lambda acc, p: F.flatten(F.transform(acc, lambda head: F.transform(p["alts"], lambda tail: F.concat(head, tail)))),
-    )
-    return (
-        fragments.groupBy(key)
-        .agg(F.sort_array(F.collect_list(part)).alias("_parts"))
-        .select(key, F.exists("_parts", lambda p: p["dyn"]).alias("is_dynamic"), F.explode_outer(F.array_distinct(grown)).alias("query_text"))
-        .filter("query_text <> ''")
-    )
+    part = F.struct(F.col(seq).alias("seq"), F.array_distinct(alternatives).alias("alts"), flag.alias("dyn"))
+    built = fragments.groupBy(key).agg(F.sort_array(F.collect_list(part)).alias("_parts"))
+    built = built.select(key, F.exists("_parts", lambda p: p["dyn"]).alias("is_dynamic"), F.transform("_parts", lambda p: p["alts"]).alias("_alts"))
+
+    def product(alts: Column) -> Column:
+        return F.aggregate(alts, F.lit(1).cast("bigint"), lambda acc, a: acc * F.size(a))
+
+    def text_of(alts: Column, number: Column) -> Column:
+        """The choice of this number: its last digit is the last fragment's."""
+        start = F.struct(number.cast("bigint").alias("left"), F.lit("").alias("text"))
+
+        def digit(acc: Column, a: Column) -> Column:
+            size = F.size(a)
+            return F.struct(F.floor(acc["left"] / size).cast("bigint").alias("left"), F.concat(F.get(a, F.pmod(acc["left"], size).cast("int")), acc["text"]).alias("text"))
+
+        return F.aggregate(F.reverse(alts), start, digit, lambda acc: acc["text"])
+
+    def chosen(df: DataFrame, alts: str, into: str) -> DataFrame:
+        # No number where a fragment has no alternative.
+        numbers = F.when(product(F.col(alts)) > 0, F.sequence(F.lit(0).cast("bigint"), product(F.col(alts)) - 1))
+        numbered = df.withColumn("_number", F.explode_outer(numbers)).filter("_number is not null")
+        return numbered.withColumn(into, text_of(F.col(alts), F.col("_number"))).drop(alts, "_number")
+
+    half = F.floor(F.size("_alts") / 2).cast("int")
+    halves = built.select(key, "is_dynamic", F.slice("_alts", F.lit(1), half).alias("_head"), F.slice("_alts", half + 1, F.size("_alts")).alias("_tail"))
+    rows = chosen(chosen(halves, "_head", "_first"), "_tail", "_last").select(key, "is_dynamic", F.concat("_first", "_last").alias("query_text")).filter("query_text <> ''")
+    # Different choices may make one text.
+    return rows.distinct()
 
 
 def assemble(events: DataFrame, key: str, position: str) -> DataFrame:

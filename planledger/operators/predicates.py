@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import structure, text, tokens
 from ..functions.text import ARG_CLOSE, ARG_OPEN, GROUP_CLOSE, GROUP_OPEN, NOTHING, RANGE_AND
 
 _KEYWORDS = "and|or|not|where|on|between|having|when|then|else|by|select|from|set"
@@ -239,12 +239,19 @@ def best_columns(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("place", place).filter(F.col("place") <= k)
 
 
-# A table of FROM, JOIN, UPDATE or DELETE, with its alias: no column.
-_TABLE_ITEM = r"(?!select\b)[a-z_][\w.$]*(?:\s+as\s+\w+|\s+(?!(?:where|set|join|inner|left|right|full|cross|outer|on|group|order|having|limit|union|fetch)\b)[a-z_]\w*)?"
-_NO_COLUMN = (
-    "and or not like ilike between in is null exists select from where group by order having as asc desc set update delete on join inner "
-    "left right full cross outer case when then else end all any some distinct limit offset union except intersect fetch escape true false with"
-).split()
+#: The clauses whose columns are listed; HAVING and LIMIT are not.
+_REF_CLAUSES = ("select", "where", "set", "group", "order", "on")
+
+
+def alias_scopes(statements: DataFrame, col: str = "query_text") -> DataFrame:
+    """(stmt_id, alias, entity, path, first_token, last_token): what an alias stands for, and where.
+
+    The tokens between the last two are those of the alias' query block; an alias of an inner block
+    hides one of an outer. ``path`` holds the steps of joined paths (``join e.box b``) behind ``entity``.
+    """
+    found = statements.withColumn("_tokens", tokens.tokens(F.col(col)))
+    rows = found.select("stmt_id", F.explode_outer(tokens.scopes(tokens.table_items(F.col("_tokens")))).alias("_s")).filter("_s.alias is not null")
+    return rows.select("stmt_id", "_s.alias", "_s.entity", "_s.path", (F.col("_s.begin") + 1).alias("first_token"), (F.col("_s.end") - 1).alias("last_token"))
 
 
 def column_refs(statements: DataFrame, col: str = "query_text") -> DataFrame:
@@ -252,35 +259,51 @@ def column_refs(statements: DataFrame, col: str = "query_text") -> DataFrame:
 
     One row per mention, in text order: ``stmt_id``, ``ref_ord``, ``kind``, ``statement_table``,
     ``qualifier`` and ``name`` (the input of ``qualify``), ``entity`` and ``path`` (the input of
-    ``implied_joins``: the names behind the alias, starting at the alias' table or the statement's).
-    Tables, aliases, functions, parameters and literals are no columns.
+    ``implied_joins``). An alias means what it does in the innermost query block around the mention;
+    behind an alias of a joined path the path goes on. Without an alias, ``entity`` is the first table
+    of the query block. Tables, aliases, functions, parameters and literals are no columns. Narrow.
     """
-    body = text.mask_literals(F.lower(col))
-    body = F.regexp_replace(body, rf"\b(from|join|update|delete)\s+{_TABLE_ITEM}(?:\s*,\s*{_TABLE_ITEM})*+", "$1 ;")
-    body = F.regexp_replace(body, r"\bas\s+\w+", " ")
-    name = rf"(?<![\w.:{text.LIT_OPEN}])[a-z_][\w$]*(?:\.[a-z_][\w$]*)*+(?!\s*\(|[\w.])"
-    names = F.filter(F.regexp_extract_all(body, F.lit(name), F.lit(0)), lambda n: ~n.isin(*_NO_COLUMN))
-    rows = statements.select(
+
+    def refs(x: Column) -> Column:
+        found, known, items = x["tokens"], x["known"], x["items"]
+
+        def ref(t: Column) -> Column:
+            back, on = F.get(found, t["i"] - 1)["text"], F.get(found, t["i"] + 1)["text"]
+            fits = tokens.is_name(t["text"]) & t["clause"].isin(*_REF_CLAUSES) & (F.coalesce(on, F.lit("")) != "(") & (F.coalesce(back, F.lit("")) != "as")
+            fits = fits & ~F.contains(t["text"], F.lit("*")) & ~F.contains(t["text"], F.lit('"'))
+            steps = F.split(t["text"], r"\.")
+            return F.when(fits, structure.let(steps, lambda names: resolved(t, names)))
+
+        def resolved(t: Column, names: Column) -> Column:
+            alias = tokens.visible(known, F.when(F.size(names) > 1, F.get(names, F.lit(0))), t["i"], t["begin"], t["branch"])
+            first = F.get(F.filter(items, lambda i: (i["begin"] == t["begin"]) & (i["branch"] == t["branch"])), F.lit(0))["table"]
+
+            def row(a: Column) -> Column:
+                path = F.when(a.isNotNull(), F.concat(a["path"], F.slice(names, 2, 1 << 30))).otherwise(names)
+                return F.struct(names.alias("names"), F.coalesce(a["entity"], first).alias("entity"), path.alias("path"))
+
+            return structure.let(alias, row)
+
+        return F.filter(F.transform(found, ref), lambda r: r.isNotNull())
+
+    step = statements.withColumn("_tokens", tokens.tokens(F.col(col))).withColumn("_items", tokens.table_items(F.col("_tokens")))
+    held = F.struct(F.col("_tokens").alias("tokens"), F.col("_items").alias("items"), tokens.scopes(F.col("_items")).alias("known"))
+    rows = step.select(
         "stmt_id",
         text.statement_kind(F.col(col)).alias("kind"),
         text.first_table(F.col(col)).alias("statement_table"),
-        F.posexplode_outer(F.transform(names, lambda n: F.split(n, r"\."))).alias("ref_ord", "_steps"),
-    ).filter("_steps is not null")
-    count = F.size("_steps")
-    rows = rows.withColumn("qualifier", F.nullif(F.array_join(F.slice("_steps", F.lit(1), count - 1), "."), F.lit("")))
-    rows = rows.withColumn("name", F.element_at("_steps", -1)).withColumn("_first", F.when(count > 1, F.get("_steps", F.lit(0))))
-    aliases = statement_aliases(statements, col).groupBy("stmt_id", F.col("alias").alias("_first")).agg(F.max("table_name").alias("_table"))
-    rows = rows.join(aliases, ["stmt_id", "_first"], "left")
-    behind = F.slice("_steps", F.lit(2), F.greatest(count - 1, F.lit(0)))
+        F.posexplode_outer(structure.let(held, refs)).alias("ref_ord", "_r"),
+    ).filter("_r is not null")
+    count = F.size("_r.names")
     return rows.select(
         "stmt_id",
         "ref_ord",
         "kind",
         "statement_table",
-        "qualifier",
-        "name",
-        F.coalesce("_table", "statement_table").alias("entity"),
-        F.when(F.col("_table").isNotNull(), behind).otherwise(F.col("_steps")).alias("path"),
+        F.nullif(F.array_join(F.slice("_r.names", F.lit(1), count - 1), "."), F.lit("")).alias("qualifier"),
+        F.element_at("_r.names", -1).alias("name"),
+        F.coalesce("_r.entity", "statement_table").alias("entity"),
+        F.col("_r.path").alias("path"),
     )
 
 

@@ -43,7 +43,8 @@ def test_arrays_without_blanks(spark):
 @pytest.mark.parametrize(
     "query, fits",
     [("select from where", False), ("select * from t where ((a = 1", False), ("select * from t where", False), ("select a from t where b = 'x", False), ("select a, from t", False),
-     ("select a from t where b = '(' and c in (1)", True), ("update t set a = 1", True), ("select a from b.group_x where a = 1 order by c", True), ("delete t where a = 1", True)],
+     ("select a from t where b = '(' and c in (1)", True), ("update t set a = 1", True), ("select a from b.group_x where a = 1 order by c", True), ("delete t where a = 1", True),
+     ("select m.from, m.to from Mail m where m.set = 1 and m.by", True), ("select a from t order by", False), ("select a, m.from from group.x m", True)],
 )
 def test_readable(spark, query, fits):
     assert one(spark, query, text.readable) is fits
@@ -167,6 +168,36 @@ def test_column_refs(spark):
     ]
 
 
+def refs(spark, query):
+    rows = predicates.column_refs(spark.createDataFrame([("s", query)], "stmt_id string, query_text string")).orderBy("ref_ord").collect()
+    return [(r.qualifier, r.name, r.entity, ".".join(r.path)) for r in rows]
+
+
+def test_alias_scopes(spark):
+    """One alias for two tables, in an outer and an inner query, and what HAVING and paths name."""
+    query = (
+        "select o.a from Orders o where o.b in (select o.c from Lines o where o.d = (select max(o.e) from Parts p where p.f = o.g)) and o.h = 1 "
+        "group by o.i having sum(o.j) > 2 and o.k in (select x.l from Extra x) order by o.m limit 3"
+    )
+    assert refs(spark, query) == [
+        ("o", "a", "orders", "a"), ("o", "b", "orders", "b"), ("o", "c", "lines", "c"), ("o", "d", "lines", "d"), ("o", "e", "lines", "e"), ("p", "f", "parts", "f"),
+        ("o", "g", "lines", "g"), ("o", "h", "orders", "h"), ("o", "i", "orders", "i"), ("x", "l", "extra", "l"), ("o", "m", "orders", "m"),
+    ]
+
+
+def test_joined_paths_and_branches(spark):
+    query = "select b.size, l.w from E e join fetch e.box b left join b.lid as l where l.x.y = e.z union select e.u from F e where v = 1"
+    assert refs(spark, query) == [
+        ("b", "size", "e", "box.size"), ("l", "w", "e", "box.lid.w"), ("l.x", "y", "e", "box.lid.x.y"), ("e", "z", "e", "z"), ("e", "u", "f", "u"), (None, "v", "f", "v"),
+    ]
+
+
+def test_scopes_of_aliases(spark):
+    df = spark.createDataFrame([("s", "select 1 from A a where exists (select 1 from B a, C c where a.x = c.y)")], "stmt_id string, query_text string")
+    rows = {(r.alias, r.entity): (r.first_token, r.last_token) for r in predicates.alias_scopes(df).collect()}
+    assert set(rows) == {("a", "a"), ("a", "b"), ("c", "c")} and rows["a", "b"] == rows["c", "c"] and rows["a", "a"][0] == 0 < rows["a", "b"][0]
+
+
 def test_columns_in(spark):
     rows = predicates.columns_in(preds(spark, "select * from t where a = 1 and b > 2 and c <> 3 and d < e"))
     assert {r.column_name for r in rows.collect()} == {"a", "c", "d", "e"}
@@ -262,6 +293,16 @@ def test_variants(spark):
     assert got == ["abd", "abe", "acd", "ace"]
 
 
+def test_variants_are_rows(spark):
+    """Sixteen fragments of two alternatives: no row holds more than the numbers of one half."""
+    frags = spark.createDataFrame([("k", k, ["a", "b"]) for k in range(16)] + [("e", 0, ["x"]), ("e", 1, []), ("d", 0, ["a", "ab"]), ("d", 1, ["b", "", "b"])], "k string, seq int, alts array<string>")
+    rows = extract.expand_variants(frags, "k", "seq", "alts")
+    texts = {key: sorted(r.query_text for r in rows.filter(F.col("k") == key).collect()) for key in "ked"}
+    assert len(texts["k"]) == len(set(texts["k"])) == 2**16 and texts["k"][0] == "a" * 16
+    assert texts["e"] == [] and texts["d"] == ["a", "ab", "abb"]
+    assert "_last" not in rows.columns
+
+
 def test_assemble(spark):
     events = spark.createDataFrame(
         [("v", 1, "append", "lost"), ("v", 2, "init", "a"), ("v", 3, "append", "b"), ("v", 4, "use", ""), ("v", 5, "append", "c"),
