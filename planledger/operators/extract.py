@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import structure, text
 from ..functions.scale import last_before
 
+#: Positions of a block that is gathered in one row.
+BLOCK = 1024
+
 # Fixed names of the calls that make a query.
 QUERY_METHODS = ("createQuery", "createNativeQuery", "createNamedQuery", "createSQLQuery")
 
@@ -135,39 +138,45 @@ def expand_variants(fragments: DataFrame, key: str, seq: str, alternatives: str,
     return rows.distinct()
 
 
-def assemble(events: DataFrame, key: str, position: str) -> DataFrame:
+def assemble(events: DataFrame, key: str, position: str, block: int = BLOCK) -> DataFrame:
     """Builder texts: each ``use`` with the appends since the builder's last ``init``.
 
     ``events`` has ``kind`` (init, append or use) and ``fragment``. An append belongs to the
     last init before it; a use ends the text it can see. Result: one row per use.
+
+    A builder may own any share of the events. They are gathered by blocks of ``block`` positions, where
+    a use sees what stands before it; only the blocks' texts meet per text, which is a value anyway.
     """
-    marked = last_before(events, [key], position, F.when(F.col("kind") == "init", F.col(position)), "init_at")
-    marked = marked.filter(F.col("init_at").isNotNull())
-    parts = marked.filter(F.col("kind").isin("init", "append"))
-    # A segment's text is built once; a use is the beginning of it that the fragments before it make up.
-    segment = parts.groupBy(key, "init_at").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(position).alias("at"), "fragment"))).alias("_parts")
-    )
-    segment = segment.select(
-        key,
-        "init_at",
-        F.array_join(F.transform("_parts", lambda p: p["fragment"]), "").alias("_text"),
-        F.transform("_parts", lambda p: F.struct(p["at"].alias("at"), F.coalesce(F.length(p["fragment"]), F.lit(0)).alias("size"))).alias("_sizes"),
-    )
-    uses = marked.filter(F.col("kind") == "use").select(key, "init_at", F.col(position).alias("use_at"))
-    seen = F.filter("_sizes", lambda p: p["at"] < F.col("use_at"))
-    rows = uses.join(segment, [key, "init_at"]).withColumn("_seen", seen)
-    size = F.aggregate("_seen", F.lit(0), lambda acc, p: acc + p["size"])
-    return rows.select(key, "use_at", "init_at", F.size("_seen").alias("fragments"), F.left("_text", size).alias("query_text"))
-
-
-def fold_assignments(events: DataFrame, key: str, position: str, literal: str) -> DataFrame:
-    """The literals assigned to a plain variable, joined in source order."""
-    parts = F.sort_array(F.collect_list(F.struct(F.col(position).alias("at"), F.col(literal).alias("text"))))
-    return events.groupBy(key).agg(
-        F.count(F.lit(1)).alias("assignments"),
-        F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("query_text"),
+    marked = last_before(events, [key], position, F.when(F.col("kind") == "init", F.col(position)), "init_at", block)
+    at = F.col(position)
+    part = F.when(F.col("kind").isin("init", "append"), F.struct(at.alias("at"), F.coalesce("fragment", F.lit("")).alias("text")))
+    pieces = (
+        marked.filter(F.col("init_at").isNotNull() & F.col("kind").isin("init", "append", "use"))
+        .groupBy(key, "init_at", F.floor(at / F.lit(block)).alias("_block"))
+        .agg(F.sort_array(F.collect_list(part)).alias("_parts"), F.collect_list(F.when(F.col("kind") == "use", at)).alias("_uses"))
     )
+    texts = pieces.filter(F.size("_parts") > 0).select(key, "init_at", F.struct(F.col("_block").alias("block"), _joined(F.col("_parts")).alias("text"), F.size("_parts").alias("n")).alias("_b"))
+    texts = texts.groupBy(key, "init_at").agg(F.sort_array(F.collect_list("_b")).alias("_blocks"))
+    uses = pieces.select(key, "init_at", "_block", "_parts", F.explode_outer("_uses").alias("use_at")).filter("use_at is not null")
+    own = uses.withColumn("_own", F.filter("_parts", lambda p: p["at"] < F.col("use_at")))
+    own = own.select(key, "init_at", "_block", "use_at", F.size("_own").alias("_n"), _joined(F.col("_own")).alias("_text"))
+    before = F.filter("_blocks", lambda b: b["block"] < F.col("_block"))
+    rows = own.join(texts, [key, "init_at"]).withColumn("_before", before)
+    count = F.aggregate("_before", F.col("_n"), lambda acc, b: acc + b["n"])
+    return rows.select(key, "use_at", "init_at", count.alias("fragments"), F.concat(_joined(F.col("_before")), "_text").alias("query_text"))
+
+
+def fold_assignments(events: DataFrame, key: str, position: str, literal: str, block: int = BLOCK) -> DataFrame:
+    """The literals assigned to a plain variable, joined in source order: by blocks of positions, then the blocks."""
+    part = F.struct(F.col(position).alias("at"), F.col(literal).alias("text"))
+    pieces = events.groupBy(key, F.floor(F.col(position) / F.lit(block)).alias("_block")).agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(part)).alias("_parts"))
+    pieces = pieces.select(key, "_n", F.struct("_block", _joined(F.col("_parts")).alias("text")).alias("_b"))
+    whole = pieces.groupBy(key).agg(F.sum("_n").alias("assignments"), F.sort_array(F.collect_list("_b")).alias("_blocks"))
+    return whole.select(key, "assignments", _joined(F.col("_blocks")).alias("query_text"))
+
+
+def _joined(parts: Column) -> Column:
+    return F.array_join(F.transform(parts, lambda p: p["text"]), "")
 
 
 RANGE = ("begin_line", "begin_col", "end_line", "end_col")

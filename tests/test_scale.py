@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from planledger.operators import extract
 from planledger.functions.scale import join_hot, last_before, nth_largest
 
 
@@ -57,3 +58,26 @@ def test_nth_largest_of_close_and_negative_values(spark):
     for n in (1, 1999, 2001, 2100, len(values)):
         ranks = spark.createDataFrame([("g", n)], "g string, rank long")
         assert nth_largest(df, "g", "v", ranks).first().v == values[n - 1]
+
+
+def test_crowded_builder_is_gathered_by_blocks(spark):
+    """A third of all events belong to one builder: no row but the results holds them all."""
+    kinds = ["append", "append", "use", "append"]
+    rows = [("hot", k, "init" if k in (0, 700) else kinds[k % 4], f"<{k}>") for k in range(0, 1500, 1)]
+    rows += [(f"cold{k % 100}", k, "init" if k < 100 else kinds[k // 100 % 4], f"<{k}>") for k in range(3000)]
+    events = spark.createDataFrame(rows, "v string, pos bigint, kind string, fragment string")
+    want, last = {}, {}
+    for v, pos, kind, fragment in rows:
+        if kind == "init":
+            last[v] = []
+        if kind == "use":
+            want[v, pos] = (len(last[v]), "".join(last[v]))
+        else:
+            last[v].append(fragment)
+    got = extract.assemble(events, "v", "pos", block=64)
+    assert {(r.v, r.use_at): (r.fragments, r.query_text) for r in got.collect()} == want
+    folded = extract.fold_assignments(events, "v", "pos", "fragment", block=64)
+    texts = {r.v: (r.assignments, r.query_text) for r in folded.collect()}
+    assert texts["hot"] == (1500, "".join(f"<{k}>" for k in range(1500))) and len(texts) == 101
+    plan = folded._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [v" in plan and "_block" in plan
