@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -109,14 +109,39 @@ def with_fingerprint(corpus: DataFrame, checksum: str = "crc32") -> DataFrame:
 def incremental(corpus: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Splits a corpus into files not seen before and files whose results can be reused.
 
-    ``done`` holds the stored ``fingerprint`` values. It is made distinct first, so the
-    corpus side is the only one that can crowd on a key, and adaptive execution
-    splits crowded partitions of that side. Both results are filters of one join, which a
-    query that uses both of them runs once.
+    ``done`` holds the stored ``fingerprint`` values. Contents take no part in the exact join: it has the
+    fingerprints and the other columns only, and so have the reused files. The fingerprints found new
+    make a filter of ``FILTER_LONGS`` longs that is applied where the corpus is read, so that contents
+    of new files, and of few others, go on to be matched with the new fingerprints.
     """
     seen = done.select("fingerprint").distinct().withColumn("_seen", F.lit(True))
-    joined = corpus.join(seen, "fingerprint", "left")
-    return joined.filter("_seen is null").drop("_seen"), joined.filter("_seen").drop("_seen")
+    matched = corpus.drop("content").join(seen, "fingerprint", "left")
+    fresh = matched.filter("_seen is null").select("fingerprint").distinct()
+    new = corpus.filter(_may_hold(key_filter(fresh, "fingerprint"), F.col("fingerprint"))).join(fresh, "fingerprint", "left_semi")
+    return new, matched.filter("_seen").drop("_seen")
+
+
+#: Size of the filter of new fingerprints: eight bytes each, sixty-four bits.
+FILTER_LONGS = 1 << 14
+
+
+def _place(key: Column) -> tuple[Column, Column]:
+    """The long of a key in the filter, and its bit there."""
+    hashed = F.xxhash64(key)
+    return F.pmod(hashed, F.lit(FILTER_LONGS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(hashed, 58).cast("int"))
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """One row, one array: the bits of all keys. Combined per task, then one value for each long."""
+    slot, bit = _place(F.col(key))
+    empty = keys.sparkSession.range(FILTER_LONGS).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("bigint").alias("bits"))
+    bits = keys.select(slot.alias("slot"), bit.alias("bits")).unionByName(empty).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    return bits.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+
+def _may_hold(filled: DataFrame, key: Column) -> Column:
+    slot, bit = _place(key)
+    return F.get(filled.scalar(), slot).bitwiseAND(bit) != 0
 
 
 def prefilter(corpus: DataFrame, marker: str = "javax.persistence") -> DataFrame:

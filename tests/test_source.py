@@ -134,3 +134,26 @@ def test_masks_keep_the_places(spark):
     body = 'a("(", \')\'); // (\n/* "\n( */ b("\\"")'
     row = corpus(spark, body).select(text.mask_source(F.col("content")).alias("m")).first()
     assert row.m == 'a("_", \'_\');     \n    \n     b("__")'
+
+
+def test_incremental_scan_moves_keys_only(spark):
+    """Contents stay where they are read, but for files whose fingerprint is new."""
+    from planledger.sources import corpus as src
+
+    files = spark.createDataFrame([(f"f{k}", f"text {k % 70}", "C") for k in range(200)], "path string, content string, class_name string")
+    keyed = src.with_fingerprint(files, "md5")
+    done = keyed.filter("cast(substring(path, 2) as int) % 70 < 60").select("fingerprint")
+    new, reused = src.incremental(keyed, done)
+    assert {r.path for r in new.collect()} == {f"f{k}" for k in range(200) if k % 70 >= 60}
+    assert {r.path for r in reused.collect()} == {f"f{k}" for k in range(200) if k % 70 < 60}
+    assert "content" not in reused.columns and new.columns == ["fingerprint", *files.columns]
+    everything, nothing = src.incremental(keyed, done.limit(0))
+    assert everything.count() == 200 and nothing.count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = reused._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert not any("content" in line for line in plan.splitlines() if "Exchange" in line)
+        assert {r.path for r in new.collect()} == {f"f{k}" for k in range(200) if k % 70 >= 60}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
