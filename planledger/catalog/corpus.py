@@ -50,6 +50,12 @@ def fingerprint_crc32(spark, sf):
     return keyed.agg(F.countDistinct("fingerprint").alias("keys"), F.sum((F.length("fingerprint") > 9).cast("int")).alias("well_formed"))
 
 
+def fingerprint_crc32_values(spark, sf):
+    """The same form with its values, of the benchmark texts as files."""
+    files = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("content"), F.concat(F.lit("B"), "item_id").alias("class_name"))
+    return src.with_fingerprint(files).select("item_id", "fingerprint")
+
+
 def incremental_scan(spark, sf):
     docs = src.with_fingerprint(adapters.document_corpus(spark, sf), "md5")
     done = docs.filter("doc_id % 2 = 0").select("fingerprint")
@@ -160,6 +166,20 @@ _HARD = """with h as (
 select path, call_ord, argument, is_dynamic, coalesce(folded, lower(argument)) as query_text, line as begin_line, 14 as begin_col, line as end_line,
   (13 + 16 + length(argument) + length(rest))::int as end_col from h"""
 
+_STEP = "lambda c: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+
+
+def _table(rounds: int) -> str:
+    """SQL for what the checksum adds for each byte: as many shifts of a number as a byte has bits."""
+    return f"list_transform({_table(rounds - 1)}, {_STEP})" if rounds else "range(256)"
+
+
+_CRC32 = f"""with tab as (select {_table(8)} as t),
+  hexed as (select item_id, strlen(text) as size, hex(encode(text)) as digits from benchmark),
+  bytes as (select *, list_transform(range(size), lambda i: (instr('0123456789ABCDEF', digits[2 * i + 1]) * 16 + instr('0123456789ABCDEF', digits[2 * i + 2]) - 17)::bigint) as b from hexed)
+select item_id, lpad(lower(to_hex(xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, tab.t[(xor(c, x) & 255) + 1])), 4294967295))), 8, '0') || '-' || size || 'B' || item_id as fingerprint
+from bytes, tab"""
+
 QUERIES = {
     "b1_hard_calls": (hard_calls, _HARD),
     "a1_scan_corpus": (
@@ -178,6 +198,7 @@ QUERIES = {
         fingerprint_crc32,
         "select count(distinct md5(text) || '-' || strlen(text) || source) as keys, count(*) as well_formed from documents",
     ),
+    "a3_fingerprint_crc32_values": (fingerprint_crc32_values, _CRC32),
     "a4_incremental_scan": (
         incremental_scan,
         """select doc_id, case when (text, source) in (select (text, source) from documents where doc_id % 2 = 0) then 'reused' else 'new' end as state from documents""",

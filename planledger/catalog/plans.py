@@ -158,10 +158,14 @@ QUERIES = {
     "h4_document_picks": (
         document_picks,
         _D
-        + """, near as (select r.rid, count(s.rid) as scans, coalesce(sum(s.actual_total_time), 0) as scan_time from nodes r left join nodes s on s.rid = r.rid and s.depth <= 1 and s.node_type = 'Seq Scan' and s.actual_total_time is not null
-             where r.depth = 0 and r.actual_total_time is not null group by 1)
-             select r.plan_id, c.relation_name as costly_table, c.condition as costly_condition, s.relation_name as slow_table, s.condition as slow_condition, r.startup_cost,
-               n.scans::int as scans, n.scan_time from nodes r left join costliest c on c.rid = r.rid left join slowest s on s.rid = r.rid left join near n on n.rid = r.rid where r.depth = 0""",
+        + """, found as (select rid, min(plan_id) as plan_id, max(startup_cost) filter (depth = 0) as startup_cost,
+               arg_min({'t': relation_name, 'c': coalesce(filter, recheck_cond)}, {'v': -total_cost, 'p': path}) filter (total_cost is not null and node_type not in ('Nested Loop', 'Aggregate')) as costly,
+               arg_min({'t': relation_name, 'c': coalesce(filter, recheck_cond)}, {'v': -actual_total_time, 'p': path})
+                 filter (total_cost is not null and actual_total_time is not null and node_type not in ('Nested Loop', 'Aggregate')) as slow,
+               bool_or(depth = 0 and actual_total_time is not null) as timed, count(*) filter (depth <= 1 and node_type = 'Seq Scan' and actual_total_time is not null) as scans,
+               sum(actual_total_time) filter (depth <= 1 and node_type = 'Seq Scan') as scan_time from nodes group by rid)
+             select plan_id, costly.t as costly_table, costly.c as costly_condition, slow.t as slow_table, slow.c as slow_condition, startup_cost,
+               case when timed then scans::int end as scans, case when timed then coalesce(scan_time, 0) end as scan_time from found""",
     ),
     "h5_mysql_node": (
         mysql_node,
