@@ -7,7 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
+#: A key is hot if it has this part of all rows, so at most so many keys are; tasks that all rows together are spread over.
+HOT_PARTS, TASKS = 64, 256
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], parts: int = HOT_PARTS, tasks: int = TASKS) -> DataFrame:
+    """``on`` and ``_salts`` of the keys with one ``parts``-th of the rows or more: ``parts`` rows at most.
+
+    Rows are counted per key before the shuffle, from the key columns alone. The number of salts follows
+    a key's share: a key with a third of all rows gets a third of ``tasks``.
+    """
+    counts = df.select(*on).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = counts.filter(F.col("_n") * parts >= total)
+    return hot.select(*on, F.ceil(F.col("_n") * tasks / total).cast("int").alias("_salts"))
 
 
 def join_hot(
@@ -16,21 +29,21 @@ def join_hot(
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
+    parts: int = HOT_PARTS,
+    tasks: int = TASKS,
 ) -> DataFrame:
     """Equi-join for a ``big`` side whose rows may crowd on one key.
 
-    ``small`` is copied once per salt; each row of ``big`` goes to the salt given
-    by a hash of its ``spread`` columns, so a hot key is shared by ``salts``
-    tasks. The salt depends on values only: a recomputed task gives the same rows.
+    Hot keys are found by counting. A row of ``big`` with such a key goes to the salt given by a hash of
+    its ``spread`` columns, and the rows of ``small`` with it are copied once per salt; all other rows
+    stay single. The salt depends on values only: a recomputed task gives the same rows.
     """
-    slot = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return (
-        big.withColumn("_slot", slot)
-        .join(small.withColumn("_slot", copies), [*on, "_slot"], how)
-        .drop("_slot")
-    )
+    hot = F.broadcast(hot_keys(big, on, parts, tasks))
+    salts = F.coalesce("_salts", F.lit(1))
+    slot = F.pmod(F.xxhash64(*spread), salts).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), salts - 1))
+    crowded = big.join(hot, list(on), "left").withColumn("_slot", slot).drop("_salts")
+    return crowded.join(small.join(hot, list(on), "left").withColumn("_slot", copies).drop("_salts"), [*on, "_slot"], how).drop("_slot")
 
 
 def spread_scan(df: DataFrame) -> DataFrame:

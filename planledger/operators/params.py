@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import structure, text
 from .metadata import KNOWN_TYPES
 
 # The sentinel date and timestamp.
@@ -39,18 +39,11 @@ def find_parameters(statements: DataFrame, col: str = "query_text") -> DataFrame
         names = F.filter(F.regexp_extract_all(plain, F.lit(_NAME), F.lit(0)), lambda n: ~n.isin(*_KEYWORDS))
         return F.get(names, F.size(names) - 1)
 
-    carried = F.aggregate(
-        F.transform("_gaps", last_name),
-        F.struct(F.lit(None).cast("string").alias("last"), F.expr("cast(array() as array<string>)").alias("all")),
-        lambda acc, n: F.struct(F.coalesce(n, acc["last"]).alias("last"), F.concat(acc["all"], F.array(F.coalesce(n, acc["last"]))).alias("all")),
-        lambda acc: acc["all"],
-    )
-    step = step.withColumn("_columns", carried)
-    found = F.transform(
-        "_tokens",
-        lambda t, i: F.struct(
-            t.alias("token"), F.get("_columns", i).alias("column_ref"), F.get("_gaps", i).alias("before"), F.get("_gaps", i + 1).alias("after")
-        ),
+    carried = structure.running(F.transform("_gaps", last_name), lambda before, own: F.coalesce(own, before))
+    # As many elements as gaps, one more than parameters: the last has no token.
+    found = F.filter(
+        F.arrays_zip(F.col("_tokens").alias("token"), carried.alias("column_ref"), F.col("_gaps").alias("before"), F.slice("_gaps", 2, 1 << 30).alias("after")),
+        lambda p: p["token"].isNotNull(),
     )
     step = step.select(*statements.columns, F.posexplode_outer(found).alias("param_ord", "_p")).filter("_p is not null")
     left_cast = F.regexp_extract("_p.before", r"\bcast\s*\([^()]*\bas\s+(\w+)[^()]*\)\s*(?:=|<>|!=|<=|>=|<|>)\s*$", 1)

@@ -95,12 +95,8 @@ def extract_predicates(statements: DataFrame, col: str = "query_text") -> DataFr
         "_pieces", F.split("_where", r"\b(?:and|or)\b")
     )
     # Group depth before a piece: groups opened minus groups closed, summed up piece by piece.
-    before = F.aggregate(
-        F.transform("_pieces", lambda p: _chars(p, GROUP_OPEN) - _chars(p, GROUP_CLOSE)),
-        F.struct(F.lit(0).alias("sum"), F.expr("cast(array() as array<int>)").alias("all")),
-        lambda acc, d: F.struct((acc["sum"] + d).alias("sum"), F.concat(acc["all"], F.array(acc["sum"])).alias("all")),
-        lambda acc: acc["all"],
-    )
+    upto = structure.running(F.transform("_pieces", lambda p: _chars(p, GROUP_OPEN) - _chars(p, GROUP_CLOSE)), lambda a, b: a + b)
+    before = F.slice(F.concat(F.array(F.lit(0)), upto), F.lit(1), F.size("_pieces"))
     step = step.withColumn("_rows", F.arrays_zip(F.col("_pieces").alias("piece"), before.alias("before")))
     step = step.select(
         *statements.columns,

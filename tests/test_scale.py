@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from planledger.functions.scale import hot_keys, join_hot, last_before, nth_largest
 from planledger.operators import extract
-from planledger.functions.scale import join_hot, last_before, nth_largest
 
 
 def hot_rows(spark, n=6000):
@@ -28,6 +28,18 @@ def test_hot_key_is_spread(spark):
     assert max(r["count"] for r in slots) < 2 * min(r["count"] for r in slots)
 
 
+def test_salts_follow_the_measured_share(spark):
+    """Two thirds of the rows on one key: it alone is salted, by its share; its rows spread evenly."""
+    big = hot_rows(spark)
+    ((key, salts),) = [tuple(r) for r in hot_keys(big, ["k"], parts=10, tasks=60).collect()]
+    assert key == 0 and 38 <= salts <= 42
+    assert hot_keys(big.filter("k <> 0"), ["k"], parts=10).count() == 0 and hot_keys(big.limit(0), ["k"]).count() == 0
+    nulls = spark.createDataFrame([(None, 1)] * 50 + [(1, 2)] * 50, "k int, i int")
+    small = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "k int, v string")
+    assert join_hot(nulls, small, ["k"], ["i"]).count() == 100 and join_hot(nulls, small, ["k"], ["i"], how="left").count() == 150
+    assert sum(r.n for r in hot_keys(big, ["k"], parts=64, tasks=64).agg(F.sum("_salts").alias("n")).collect()) <= 2 * 64
+
+
 def test_last_before_equals_brute_force(spark):
     rng = random.Random(2)
     rows = [("hot" if i % 3 else f"k{i % 5}", i, i if rng.random() < 0.01 else None) for i in range(5000)]
