@@ -64,7 +64,11 @@ def incremental_scan(spark, sf):
 
 
 def incremental_stream(spark, sf):
-    """Two runs of the stream over the same folder: the second one finds nothing new."""
+    """Two runs of the stream over the same table: the second one finds nothing new.
+
+    A table is one file or a folder of files. Its name is a pattern, because a stream takes a plain
+    path for a folder, and files in the table's folder have names of their own.
+    """
     schema = table(spark, sf, "documents").schema
     docs = src.with_fingerprint(adapters.document_corpus(spark, sf), "md5")
     done = docs.filter("doc_id % 2 = 0").select("fingerprint")
@@ -75,7 +79,7 @@ def incremental_stream(spark, sf):
 
     for _ in range(2):
         rows = scan_new_files(
-            spark, sf, schema, to_corpus, out, checkpoint, glob="documents.parquet", done=done,
+            spark, f"{sf.rstrip('/')}/documents.parque[t]", schema, to_corpus, out, checkpoint, done=done,
             extract=lambda c: c.select("doc_id", F.octet_length("content").alias("size")),
         )
     return rows.select("doc_id", F.col("size").cast("bigint").alias("size"))
