@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters
+from ..functions.scale import spread_scan
 from ..operators import params
 from ..plans.nodes import condition_clause
 from ..sources.tables import table
@@ -76,7 +77,7 @@ v as (select *, case when type_name in ('Boolean', 'Integer', 'Long') then senti
 def many_parameters(spark, sf):
     """Statements of 2,500 parameters: every one has a sentinel of its own."""
     text = F.concat(F.lit("select s from supplier s where "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2499)), lambda i: F.concat(F.lit("s.a"), i.cast("string"), F.lit(" = ?"))), " and "))
-    stmts = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("stmt_id"), text.alias("query_text"))
+    stmts = spread_scan(table(spark, sf, "supplier")).select(F.col("s_suppkey").alias("stmt_id"), text.alias("query_text"))
     marks = params.make_sentinels(params.find_parameters(stmts).withColumn("type_name", F.lit("Integer")))
     number = F.col("sentinel").cast("bigint")
     return marks.groupBy("stmt_id").agg(F.count_distinct("sentinel").alias("sentinels"), F.min(number).alias("least"), F.max(number).alias("most"))

@@ -35,11 +35,16 @@ def find_parameters(statements: DataFrame, col: str = "query_text") -> DataFrame
 
     # Last column named in each gap, then carried forward: one pass over the clause.
     def last_name(gap: Column) -> Column:
-        plain = F.regexp_replace(gap, r"\bcast\s*\(\s*([\w.]+)\s+as\s+\w+\s*\)", "$1")
+        plain = F.when(F.contains(gap, F.lit("cast")), F.regexp_replace(gap, r"\bcast\s*\(\s*([\w.]+)\s+as\s+\w+\s*\)", "$1")).otherwise(gap)
         names = F.filter(F.regexp_extract_all(plain, F.lit(_NAME), F.lit(0)), lambda n: ~n.isin(*_KEYWORDS))
         return F.get(names, F.size(names) - 1)
 
-    carried = structure.running(F.transform("_gaps", last_name), lambda before, own: F.coalesce(own, before))
+    # The gap behind the last parameter names nothing for it. Where every gap names a column, nothing is carried.
+    names = F.transform(F.slice("_gaps", F.lit(1), F.size("_gaps") - 1), last_name)
+    carried = structure.let(
+        names,
+        lambda n: F.when(F.exists(n, lambda x: x.isNull()), structure.running(n, lambda before, own: F.coalesce(own, before))).otherwise(n),
+    )
     # As many elements as gaps, one more than parameters: the last has no token.
     found = F.filter(
         F.arrays_zip(F.col("_tokens").alias("token"), carried.alias("column_ref"), F.col("_gaps").alias("before"), F.slice("_gaps", 2, 1 << 30).alias("after")),

@@ -9,3 +9,21 @@ def test_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     got, want = (sorted(map(tuple, catalog.queries()["a4_incremental_stream"](spark, d).collect())) for d in (str(tmp_path), SF))
     assert want and got == want
+
+
+def plan_of(spark, name):
+    return catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_small_file_are_dealt_out(spark):
+    """A supplier row has 2,500 parameters: one task for the file would do the work of all."""
+    assert "RoundRobinPartitioning" in plan_of(spark, "g3_many_sentinels")
+
+
+def test_columns_are_carried_only_past_gaps_without_one(spark):
+    from planledger.operators.params import find_parameters
+
+    texts = [(1, "select a from t where a.x = ? and a.y in (?, ?) and cast(a.z as date) = ?"), (2, "select ? from t where b = ?"), (3, "delete from t")]
+    found = find_parameters(spark.createDataFrame(texts, "stmt_id int, query_text string"))
+    got = sorted((r.stmt_id, r.param_ord, r.column_ref) for r in found.collect())
+    assert got == [(1, 0, "a.x"), (1, 1, "a.y"), (1, 2, "a.y"), (1, 3, "a.z"), (2, 0, None), (2, 1, "b")]
