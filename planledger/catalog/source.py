@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters
+from ..functions.scale import spread_scan
 from ..operators import extract, variables
+from ..session import written
 from ..sources.tables import table
 
 
@@ -18,7 +20,9 @@ def source_builders(spark, sf):
 def source_assembled(spark, sf):
     """The same texts by way of events: what each use of a builder sees."""
     events = variables.source_events(adapters.builder_corpus(spark, sf)).withColumn("builder", F.concat_ws(" ", "path", "variable", "owner"))
-    made = extract.assemble(events.filter("kind in ('init', 'append', 'use')"), "builder", "at")
+    # Assembling reads its events several times: the source is read once.
+    seen = written(events.filter("kind in ('init', 'append', 'use')").select("builder", "at", "kind", "fragment"), "events")
+    made = extract.assemble(seen, "builder", "at")
     return made.select(F.substring_index("builder", " ", 2).alias("builder"), "fragments", "query_text")
 
 
@@ -34,7 +38,7 @@ def nested_calls(spark, sf):
         """concat('class N {\n  Object o = this.em.createQuery("select p from Part p where p.k = " + em.createNativeQuery("select max(k) from T', c_nationkey,
         '", Long.class).one(),\n    X.class).with(a(b), c).list();\n}\n')"""
     )
-    corpus = table(spark, sf, "customer").select("c_custkey", content.alias("content"))
+    corpus = spread_scan(table(spark, sf, "customer")).select("c_custkey", content.alias("content"))
     return extract.extract_calls(corpus).select("c_custkey", "call_ord", "argument", "call_text", "begin_line", "begin_col", "end_line", "end_col")
 
 

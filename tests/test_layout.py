@@ -1,5 +1,7 @@
 """Tables as they come on a cluster: folders of files, and small files with much work in their rows."""
 
+from pyspark.sql import functions as F
+
 from planledger import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +29,31 @@ def test_columns_are_carried_only_past_gaps_without_one(spark):
     found = find_parameters(spark.createDataFrame(texts, "stmt_id int, query_text string"))
     got = sorted((r.stmt_id, r.param_ord, r.column_ref) for r in found.collect())
     assert got == [(1, 0, "a.x"), (1, 1, "a.y"), (1, 2, "a.y"), (1, 3, "a.z"), (2, 0, None), (2, 1, "b")]
+
+
+def test_source_of_small_tables_is_dealt_out(spark):
+    from planledger import adapters
+
+    for name in ("b1_hard_calls", "b1_nested_calls"):
+        assert "RoundRobinPartitioning" in plan_of(spark, name), name
+    assert "RoundRobinPartitioning" in adapters.report_corpus(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_events_are_read_from_source_once(spark):
+    assert "customer.parquet" not in plan_of(spark, "b5_source_assembled")
+
+
+def test_brackets_of_odd_texts(spark):
+    from planledger.functions.structure import brackets
+
+    texts = ["a(b{c)d}\n(e))\n\n}}{(", "", "x\ny", ")(\n\n{"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", brackets(F.col("t")).alias("b")).collect()
+    for row in found:
+        at, sums = 0, {"(": 0, "{": 0}
+        for x in row.b:
+            at += len(x.piece) + 1
+            before = row.t[: at - 1]
+            sums["("] += (x.br == "(") - (x.br == ")")
+            sums["{"] += (x.br == "{") - (x.br == "}")
+            depth = None if x.br is None else sums["("] if x.br == "(" else sums["("] + 1 if x.br == ")" else sums["{"] if x.br == "{" else sums["{"] + 1
+            assert (x.at, x.line, x.break_at, x.key) == (at, before.count("\n"), before.rfind("\n") + 1, depth), (row.t, x)
