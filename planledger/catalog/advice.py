@@ -104,7 +104,7 @@ def _from_source(spark, sf):
     Calls are found in the files, their texts counted, parameters typed and bound; each call's
     plan is written as the database would for the bound text, and read back.
     """
-    calls = extract.classify(extract.extract_calls(adapters.report_corpus(spark, sf)))
+    calls = written(extract.classify(extract.extract_calls(adapters.report_corpus(spark, sf))).select("path", "call_ord", "query_text", "is_dynamic", *extract.RANGE), "calls")
     stmts = statements.dedupe(calls).filter("not is_dynamic and kind <> 'failed'")
     found = params.find_parameters(stmts)
     marks = params.make_sentinels(found.withColumn("type_name", F.when(F.col("column_ref").endswith("day"), "Date").otherwise("String")))
