@@ -186,11 +186,11 @@ def locate(statements: DataFrame, call_sites: DataFrame) -> DataFrame:
     """Every call site of each statement, matched without regard to case; static and dynamic apart.
 
     A text used at very many places crowds on one key; adaptive execution splits the
-    call-site side, which is the streamed one.
+    call-site side, which is the streamed one. Neither side is broadcast: both grow with the corpus.
     """
     stmts = statements.select("stmt_id", "is_dynamic", F.lower("query_text").alias("_text"))
     sites = call_sites.withColumn("_text", F.lower("query_text")).drop("stmt_id")
-    return sites.join(stmts, ["_text", "is_dynamic"]).select("stmt_id", *(c for c in sites.columns if c != "_text"))
+    return sites.hint("merge").join(stmts, ["_text", "is_dynamic"]).select("stmt_id", *(c for c in sites.columns if c != "_text"))
 
 
 def last_locations(call_sites: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def bind(statements: DataFrame, sentinels: DataFrame, col: str = "query_text", i
     values = sentinels.groupBy("stmt_id").agg(
         F.sort_array(F.collect_list(F.struct("param_ord", "sql_value"))).alias("_values")
     )
-    step = statements.join(values, "stmt_id", "left").withColumn("_text", text.mask_literals(F.col(col)))
+    step = statements.hint("merge").join(values, "stmt_id", "left").withColumn("_text", text.mask_literals(F.col(col)))
     step = step.withColumn("_gaps", F.split("_text", "(?i)" + _PARAMETER))
     filled = F.transform(
         "_gaps",
@@ -158,7 +158,7 @@ def sentinel_predicates(predicates: DataFrame, sentinels: DataFrame) -> DataFram
     :func:`make_sentinels`. Predicates without a parameter are left out.
     """
     marks = sentinels.select("stmt_id", F.lower("sql_value").alias("value"), "sentinel").distinct()
-    return predicates.join(marks, ["stmt_id", "value"]).select("stmt_id", "pred_ord", "sentinel", "expr", "eligible_index")
+    return predicates.hint("merge").join(marks, ["stmt_id", "value"]).select("stmt_id", "pred_ord", "sentinel", "expr", "eligible_index")
 
 
 def condition_tokens(condition: Column) -> Column:

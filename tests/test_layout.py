@@ -57,3 +57,9 @@ def test_brackets_of_odd_texts(spark):
             sums["{"] += (x.br == "{") - (x.br == "}")
             depth = None if x.br is None else sums["("] if x.br == "(" else sums["("] + 1 if x.br == ")" else sums["{"] if x.br == "{" else sums["{"] + 1
             assert (x.at, x.line, x.break_at, x.key) == (at, before.count("\n"), before.rfind("\n") + 1, depth), (row.t, x)
+
+
+def test_pick_rows_are_not_broadcast(spark):
+    """Written tables compress well, so that their file sizes say little: only statistics and hot keys are broadcast."""
+    plan = plan_of(spark, "e2e_recommend")
+    assert "BuildLeft" not in plan and "SortMergeJoin [stmt_id" in plan
