@@ -149,3 +149,37 @@ def test_odd_rows(spark, odd, none, no_labels):
     assert rows.filter("doc_id is null and held_out").count() == 0
     assert rows.filter("score is null or base_score is null").count() == 0
     assert lm.scores(none).count() == 0
+
+
+def plain_model(texts, held):
+    """log10 probabilities by levels of exact counts of all words and pairs, without a filter."""
+    words, two = Counter(), Counter()
+    for d, t in texts.items():
+        if not held[d]:
+            words.update(t)
+            two.update(zip([b" ", *t[:-1]], t, strict=True))
+
+    def by_level(counts):
+        top = lm.level(np.array(list(counts.values())))
+        mean = np.bincount(top, weights=list(counts.values())) / np.maximum(np.bincount(top), 1)
+        return dict(zip(counts, mean[top].tolist(), strict=True))
+
+    one, pair, every = by_level(words), by_level(two), words.total() + len(words) + 1
+    found = {}
+    for d, t in texts.items():
+        chances = [(pair.get((a, b), 0) + lm.PRIOR * (one.get(b, 0) + 1) / every) / (words[a] + lm.PRIOR) for a, b in zip([b" ", *t[:-1]], t, strict=True)]
+        found[d] = sum(math.log10(min(c, 1)) for c in chances)
+    return found
+
+
+@pytest.mark.parametrize(("table", "bits"), [(1 << 20, lm.MOST_BITS), (1 << 20, 1), (500, lm.MOST_BITS), (500, 1), (500, 200_000)])
+def test_all_pairs_count_at_any_bound(spark, monkeypatch, table, bits):
+    """Bounds of table and filter decide where counts are read, not which of them count."""
+    monkeypatch.setattr(lm, "TABLE", table)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode().lower().split() + [b" "] for r in docs.collect()}
+    want = plain_model(texts, {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts})
+    rows = {r.doc_id: r.score for r in lm.scores(docs, most_bits=bits).collect()}
+    assert set(rows) == set(want)
+    for d, score in rows.items():  # without a filter nothing is read too high
+        assert math.isclose(score, want[d], rel_tol=1e-9 if bits == 1 else 0.05)
