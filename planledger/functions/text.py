@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .structure import brackets, let
+from .structure import CUT, let, split_at
 
 # Fixed marks that cannot occur in query text: they stand for masked pieces.
 LIT_OPEN, LIT_CLOSE = "\u0001", "\u0002"
@@ -18,10 +18,16 @@ SQL_STRING = r"'[^']*+(?:''[^']*+)*+'"
 JAVA_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 JAVA_CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\n]*+)'"
 JAVA_COMMENT = r"//[^\n]*+|(?s:/\*.*?\*/)"
+# A look at the first character spares the branches at all others.
+JAVA_QUOTED = f"(?=[\"'])(?:{JAVA_STRING}|{JAVA_CHAR})"
+JAVA_OPAQUE = f"(?=[\"'/])(?:{JAVA_STRING}|{JAVA_CHAR}|{JAVA_COMMENT})"
 
 # Paired brackets become private-use characters, one for each depth.
 PAIR = "[\\x{F0000}-\\x{10FFFF}]"
 _FIRST_PAIR, _PAIRS = 0xF0000, 0x20000
+# Where a text holds none of them: control characters first, which keep it in one byte a character.
+NEAR = "\x16\x17\x18\x19\x1a\x1b"
+NEAR_PAIR = "[\\x16-\\x1b\\x{F0000}-\\x{10FFFF}]"
 
 ARRAY_PREFIX = "array_item_"
 
@@ -43,7 +49,7 @@ def string_literals(col: Column) -> Column:
 
 def mask_literals(col: Column) -> Column:
     """The text with its n-th quoted string replaced by a numbered mark."""
-    parts = F.split(col, SQL_STRING)
+    parts = split_at(col, SQL_STRING)
     marked = F.transform(
         parts,
         lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(LIT_OPEN), (i - 1).cast("string"), F.lit(LIT_CLOSE), p)),
@@ -103,7 +109,7 @@ def readable(col: Column) -> Column:
     masked = mask_literals(F.lower(col))
     # Whole words only: in ``m.from`` and ``group.x`` they are steps of a name.
     empty = rf"(?:(?<![\w.])(?:from|where|update|set|join|select|and|or|by)\b(?!\.)|,)\s*+(?:[,);]|{_CLAUSE}\b(?!\.)|$)"
-    return ~(F.contains(masked, F.lit("'")) | pair_brackets(masked).rlike(r"[()]") | masked.rlike(empty))
+    return ~(F.contains(masked, F.lit("'")) | pair_brackets(masked, NEAR).rlike(r"[()]") | masked.rlike(empty))
 
 
 def first_table(col: Column) -> Column:
@@ -115,13 +121,16 @@ def first_table(col: Column) -> Column:
 
 def source_without_comments(col: Column) -> Column:
     """Java source without comments; quoted strings and characters are left alone."""
-    return F.regexp_replace(col, f"({JAVA_STRING}|{JAVA_CHAR})|{JAVA_COMMENT}", "$1")
+    return F.regexp_replace(col, f"(?=[\"'/])(?:({JAVA_STRING}|{JAVA_CHAR})|{JAVA_COMMENT})", "$1")
 
 
 def _each(col: Column, pattern: str, change) -> Column:
     """The text with each match of the pattern changed by an expression."""
     pieces = F.arrays_zip(F.split(col, pattern).alias("gap"), F.regexp_extract_all(col, F.lit(pattern), F.lit(0)).alias("found"))
-    return F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(change(p["found"]), F.lit("")))), "")
+    slow = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(change(p["found"]), F.lit("")))), "")
+    # As ``split_at``: cut before and behind each match, so that every second piece is one.
+    cut = F.split(F.regexp_replace(col, f"({pattern})", f"{CUT}$1{CUT}"), CUT)
+    return F.when(F.contains(col, F.lit(CUT)), slow).otherwise(F.array_join(F.transform(cut, lambda p, i: F.when(i % 2 == 0, p).otherwise(change(p))), ""))
 
 
 def blank_comments(col: Column) -> Column:
@@ -130,7 +139,7 @@ def blank_comments(col: Column) -> Column:
     def blank(token: Column) -> Column:
         return F.when(F.startswith(token, F.lit("/")), F.regexp_replace(token, r"[^\n]", " ")).otherwise(token)
 
-    return _each(col, f"{JAVA_STRING}|{JAVA_CHAR}|{JAVA_COMMENT}", blank)
+    return F.when(F.contains(col, F.lit("/")), _each(col, JAVA_OPAQUE, blank)).otherwise(col)
 
 
 def mask_source(col: Column) -> Column:
@@ -139,45 +148,62 @@ def mask_source(col: Column) -> Column:
     def fill(token: Column) -> Column:
         quote = F.left(token, F.lit(1))
         inside = F.regexp_replace(F.substring(token, F.lit(2), F.length(token) - 2), r"[^\n]", "_")
-        return F.when(quote == "/", F.regexp_replace(token, r"[^\n]", " ")).otherwise(F.concat(quote, inside, quote))
+        plain = F.repeat(F.lit("_"), F.length(token) - 2)
+        return F.when(quote == "/", F.regexp_replace(token, r"[^\n]", " ")).otherwise(F.concat(quote, F.when(F.contains(token, F.lit("\n")), inside).otherwise(plain), quote))
 
-    return _each(col, f"{JAVA_STRING}|{JAVA_CHAR}|{JAVA_COMMENT}", fill)
+    return _each(col, JAVA_OPAQUE, fill)
 
 
 def shield_quoted(col: Column) -> Column:
     """Source with the brackets inside strings and characters as marks, which ``unshield`` undoes."""
-    return _each(col, f"{JAVA_STRING}|{JAVA_CHAR}", lambda token: F.translate(token, "()", SHIELD))
+    return _each(col, JAVA_QUOTED, lambda token: F.translate(token, "()", SHIELD))
 
 
 def unshield(col: Column) -> Column:
     return F.translate(col, SHIELD, "()")
 
 
-def pair_brackets(masked: Column) -> Column:
-    """Both round brackets of a pair as the same character, another one for each depth.
+def pair_brackets(masked: Column, near: str = "") -> Column:
+    """Both round brackets of a pair as the same character, another one for each height.
 
-    So a pattern finds the partner of a bracket as the next equal character, however deep. Brackets
-    without a partner stay.
+    Pairs are marked inside out, a pass over the text for each height, until nothing changes: a pair holds
+    lower ones only. So a pattern finds the partner of a bracket as the next equal character, however deep.
+    Brackets without a partner stay, and nothing moves. The lowest pairs get the characters ``near``.
     """
 
-    def marked(x: Column) -> Column:
-        code = F.lit(_FIRST_PAIR) + F.pmod(x["key"], F.lit(_PAIRS - 2))
-        mark = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        own = F.when(x["br"].isin("(", ")") & x["partner"].isNotNull(), mark).otherwise(x["br"])
-        return F.concat(x["piece"], F.coalesce(own, F.lit("")))
+    first = near + "".join(chr(_FIRST_PAIR + k) for k in range(len(near), 64))
 
-    return F.when(masked.rlike("[(]"), F.array_join(F.transform(brackets(masked), marked), "")).otherwise(masked)
+    def mark(k: Column) -> Column:
+        far = F.decode(F.unhex(F.lpad(F.hex(F.lit(_FIRST_PAIR) + F.pmod(k, F.lit(_PAIRS - 2))), 8, "0")), "UTF-32")
+        return F.when(k < len(first), F.substring(F.lit(first), k + 1, F.lit(1))).otherwise(far)
 
+    def level(acc: Column, k: Column) -> Column:
+        new = F.regexp_replace(acc["text"], r"\(([^()]*+)\)", F.concat(mark(k), F.lit("$1"), mark(k)))
+        return F.when(acc["over"], acc).otherwise(
+            let(new, lambda n: F.struct(n.alias("text"), ((n == acc["text"]) | ~F.contains(n, F.lit("("))).alias("over")))
+        )
+
+    def rounds(m: Column) -> Column:
+        start = F.struct(m.alias("text"), F.lit(False).alias("over"))
+        return F.aggregate(F.sequence(F.lit(0), F.octet_length(m) - F.octet_length(F.replace(m, F.lit("("), F.lit("")))), start, level, lambda acc: acc["text"])
+
+    return let(masked, lambda m: F.when(F.contains(m, F.lit("(")), rounds(m)).otherwise(m))
 
-def paired(group: int) -> str:
+
+def paired(group: int, pair: str = PAIR) -> str:
     """Pattern for a pair in text from ``pair_brackets``; ``group`` is the number of its capture."""
-    return rf"({PAIR})(?:(?!\{group}).)*+\{group}"
+    return rf"({pair}){inside(group, pair)}\{group}"
+
+
+def inside(group: int, pair: str = PAIR) -> str:
+    """Pattern for what stands between the brackets of the pair whose first one is captured."""
+    return rf"(?:[^{pair[1:]}++|(?!\{group}).)*+"
 
 
 def fold_java_strings(col: Column) -> Column:
     """All quoted Java strings of an expression, joined into one text."""
-    parts = F.regexp_extract_all(col, F.lit(JAVA_STRING), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.substring(p, F.lit(2), F.length(p) - 2)), "")
+    inside = f'"({JAVA_STRING[1:-1]})"'
+    return F.array_join(F.regexp_extract_all(col, F.lit(inside), F.lit(1)), "")
 
 
 def only_java_strings(col: Column) -> Column:

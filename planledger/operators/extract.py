@@ -25,13 +25,104 @@ def extract_calls(corpus: DataFrame, method_names: Sequence[str] = QUERY_METHODS
     are masked first, so only real calls are found. A call in another call's brackets is a call as well.
     """
     kept = [c for c in corpus.columns if c != "content"]
-    files = corpus.withColumn("_b", structure.brackets(text.mask_source(F.col("content"))))
-    rows = files.select(*kept, "content", F.posexplode_outer(call_places(F.col("_b"), method_names)).alias("call_ord", "_c"))
-    call = F.expr("substring(content, _c.start, _c.end - _c.start + 1)")
-    argument = text.blank_comments(F.expr("substring(content, _c.at + 1, _c.stop - _c.at - 1)"))
-    return rows.filter("_c is not null").select(
-        *kept, "call_ord", text.stripped(argument).alias("argument"), call.alias("call_text"), *(F.col(f"_c.{n}").alias(n) for n in (*RANGE, "at"))
+    # A file without a name that makes queries is looked at once.
+    masked = F.when(F.col("content").rlike("|".join(method_names)), F.regexp_replace(text.mask_source(F.col("content")), text.NEAR_PAIR, "#"))
+    # Marks look alike on both sides: a name before a closing bracket is no call, and no chain begins behind an opening one.
+    masked = text.replace_all(masked, (rf"{_begins(method_names)}\b(?=(?:{'|'.join(method_names)})\s*+\))\w", "_"), (r"(?<=\()(\s*+)\.", "$1;"))
+    files = corpus.withColumn("_paired", text.pair_brackets(masked, text.NEAR)).withColumn("_back", F.reverse("_paired"))
+    files = files.withColumn("_calls", called("_paired", "_back", method_names))
+    rows = files.select(*kept, "content", F.posexplode_outer("_calls").alias("call_ord", "_c")).filter("_c is not null")
+    start, end = F.expr("_c.at - length(_c.head)"), F.expr("_c.at + length(_c.inside) + 1")
+    stop = F.when(F.contains("_c.inside", F.lit(",")), F.col("_c.at") + 1 + F.length(F.regexp_extract("_c.inside", _FIRST, 0))).otherwise(end)
+    rows = rows.select(
+        *kept,
+        "content",
+        "call_ord",
+        start.alias("_start"),
+        end.alias("_end"),
+        stop.alias("_stop"),
+        (F.col("_c.line") - _lines("_c.head") + 1).alias("begin_line"),
+        F.when(_broken("_c.head"), F.length("_c.before") + 1).otherwise(start - F.col("_c.break_at")).alias("begin_col"),
+        (F.col("_c.line") + _lines("_c.inside") + 1).alias("end_line"),
+        F.when(_broken("_c.inside"), F.length(F.substring_index("_c.inside", "\n", -1)) + 1).otherwise(end - F.col("_c.break_at")).alias("end_col"),
+        F.col("_c.at").alias("at"),
     )
+    rows = rows.withColumn("argument", F.expr("substring(content, at + 1, _stop - at - 1)"))
+    return rows.select(
+        *kept,
+        "call_ord",
+        text.stripped(text.blank_comments(F.col("argument"))).alias("argument"),
+        F.expr("substring(content, _start, _end - _start + 1)").alias("call_text"),
+        *RANGE,
+        "at",
+    )
+
+
+#: Names before a bracket, from the bracket back: ``name.name``.
+_NAMES_BACK = r"\s*+\w++\b(?:\s*+\.\s*+\w++\b)*+"
+
+
+def _chain_back(group: int) -> str:
+    """The same, and the chain of calls before them; ``group`` is the number of its capture."""
+    return rf"{_NAMES_BACK}(?:\s*+\.\s*+{text.paired(group, text.NEAR_PAIR)}(?=(?:\n\r?+|\r)?+\w)(?:{_NAMES_BACK})?+)*+"
+
+
+def _begins(method_names: Sequence[str]) -> str:
+    """A look at one character, which spares the other places of a text the test for a whole name."""
+    return f"(?=[{''.join(sorted({n[0] for n in method_names}))}])"
+
+
+#: The first argument of a call: up to a comma outside of inner brackets, if no curly one comes next.
+_FIRST = rf"(?s)^(?:{text.paired(1, text.NEAR_PAIR)}|[^,]|,(?=(?:(?!{text.NEAR_PAIR})[^{{}}])*+[{{}}]))*+"
+
+
+def called(paired: str, back: str, method_names: Sequence[str]) -> Column:
+    """The calls in a text with paired brackets, in order: as ``call_places``, but found by patterns.
+
+    What stands behind a call's bracket is read forwards, what stands before it ``back``, in the text turned round.
+    Places and lines are sums over the gaps between calls, of which there are few.
+    """
+    ahead = F.lit(rf"(?s){_begins(method_names)}\b(?:{'|'.join(method_names)})\s*+({text.NEAR_PAIR})(?=({text.inside(1, text.NEAR_PAIR)})\1)")
+    own = rf"(?s){text.NEAR_PAIR}(?=\s*+(?:{'|'.join(n[::-1] for n in method_names)})\b)"
+    found = F.struct(
+        F.regexp_extract_all(paired, ahead, F.lit(2)).alias("inside"),
+        F.reverse(F.regexp_extract_all(back, F.lit(f"{own}(?=({_chain_back(2)}))"), F.lit(1))).alias("head"),
+        F.reverse(F.slice(structure.split_at(F.col(back), own), 2, 1 << 30)).alias("gap"),
+    )
+    # For chains over several lines: what stands before them in their line.
+    before = F.reverse(F.regexp_extract_all(back, F.lit(f"{own}(?={_chain_back(1)}([^\n]*+))"), F.lit(2)))
+
+    def calls(x: Column) -> Column:
+        lead = F.when(F.exists(x["head"], _broken), before).otherwise(x["head"])
+        return F.transform(
+            F.arrays_zip(x["inside"].alias("inside"), x["head"].alias("head"), lead.alias("before"), _places(x["gap"]).alias("place")),
+            lambda c: F.struct(*(c[n].alias(n) for n in ("inside", "head", "before")), *(c["place"][n].alias(n) for n in ("at", "line", "break_at"))),
+        )
+
+    return structure.let(found, calls)
+
+
+def _places(gaps: Column) -> Column:
+    """The places of the calls' brackets behind each gap, the line breaks before them and the place of the last one."""
+    place = "at:int,line:int,break_at:int"
+
+    # Gaps are turned round: what follows their last line break comes first.
+    def add(acc: Column, gap: Column) -> Column:
+        at = acc["at"] + F.length(gap) + 1
+        broken = F.when(_broken(gap), at - 1 - F.length(F.substring_index(gap, "\n", 1))).otherwise(acc["break_at"])
+        own = F.struct(at.alias("at"), (acc["line"] + _lines(gap)).alias("line"), broken.alias("break_at"))
+        return structure.let(own, lambda p: F.struct(*(p[n].alias(n) for n in ("at", "line", "break_at")), F.concat(acc["all"], F.array(p)).alias("all")))
+
+    start = F.expr(f"cast(named_struct('at', 0, 'line', 0, 'break_at', 0, 'all', array()) as struct<{place},all:array<struct<{place}>>>)")
+    return F.aggregate(gaps, start, add, lambda acc: acc["all"])
+
+
+def _broken(part) -> Column:
+    return F.contains(part, F.lit("\n"))
+
+
+def _lines(part) -> Column:
+    return F.octet_length(part) - F.octet_length(F.replace(part, F.lit("\n"), F.lit("")))
 
 
 def chains(found: Column) -> Column:
@@ -91,10 +182,9 @@ def fold_concat(calls: DataFrame) -> DataFrame:
 
 def classify(calls: DataFrame) -> DataFrame:
     """Adds ``is_dynamic``; a dynamic query keeps its whole argument text as ``query_text``."""
-    static = text.only_java_strings(F.col("argument"))
     folded = F.lower(text.fold_java_strings(F.col("argument")))
-    return calls.withColumn("is_dynamic", ~static).withColumn(
-        "query_text", F.when(static, folded).otherwise(F.lower("argument"))
+    return calls.withColumn("is_dynamic", ~text.only_java_strings(F.col("argument"))).withColumn(
+        "query_text", F.when(~F.col("is_dynamic"), folded).otherwise(F.lower("argument"))
     )
 
 

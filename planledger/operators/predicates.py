@@ -56,7 +56,7 @@ def _unwrap(even: Column) -> Column:
 
 
 def _chars(col: Column, char: str) -> Column:
-    return F.length(col) - F.length(F.replace(col, F.lit(char), F.lit("")))
+    return F.octet_length(col) - F.octet_length(F.replace(col, F.lit(char), F.lit("")))
 
 
 def _readable(col: Column, literals: Column) -> Column:
@@ -82,7 +82,7 @@ def extract_predicates(statements: DataFrame, col: str = "query_text") -> DataFr
         .withColumn("_literals", text.string_literals(F.col("_text")))
         .withColumn("_even", _even(text.mask_literals(F.col("_text"))))
         .withColumn("_open", _unwrap(F.col("_even")))
-        .withColumn("_branches", F.split("_open", _SET_OPERATION))
+        .withColumn("_branches", structure.split_at(F.col("_open"), _SET_OPERATION))
     )
     step = step.select(
         *statements.columns,
@@ -92,7 +92,7 @@ def extract_predicates(statements: DataFrame, col: str = "query_text") -> DataFr
     )
     where = F.regexp_extract("_branch", r"\bwhere\b(.*)$", 1)
     step = step.withColumn("_where", F.regexp_replace(where, _TAIL, "")).withColumn(
-        "_pieces", F.split("_where", r"\b(?:and|or)\b")
+        "_pieces", structure.split_at(F.col("_where"), r"\b(?:and|or)\b")
     )
     # Group depth before a piece: groups opened minus groups closed, summed up piece by piece.
     upto = structure.running(F.transform("_pieces", lambda p: _chars(p, GROUP_OPEN) - _chars(p, GROUP_CLOSE)), lambda a, b: a + b)

@@ -52,7 +52,7 @@ def _heads(b: Column, around: Column) -> Column:
             F.regexp_extract_all(piece, F.lit(_HEAD), F.lit(1)).alias("type"),
             F.regexp_extract_all(piece, F.lit(_HEAD), F.lit(2)).alias("name"),
             F.regexp_extract_all(piece, F.lit(_HEAD), F.lit(3)).alias("sign"),
-            F.slice(F.split(piece, _HEAD), 2, 1 << 30).alias("rest"),
+            F.slice(structure.split_at(piece, _HEAD), 2, 1 << 30).alias("rest"),
         )
         return F.when(F.contains(piece, F.lit("=")) | F.contains(piece, F.lit(";")), let(found, lambda heads: of_piece(x, heads)))
 
