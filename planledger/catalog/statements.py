@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters
+from ..functions.scale import spread_scan
 from ..sources.tables import table
 from ..operators import extract, predicates, statements
 from . import sqlparts
@@ -113,7 +114,7 @@ def columns_in(spark, sf):
 
 def scoped_refs(spark, sf):
     """Columns of statements whose inner query uses an outer alias for another table, with joined paths and HAVING."""
-    stmts = table(spark, sf, "customer").selectExpr(
+    stmts = spread_scan(table(spark, sf, "customer")).selectExpr(
         "concat('s', c_custkey) stmt_id",
         """concat('SELECT c.name FROM Customer c WHERE c.id IN (SELECT c.owner FROM Orders', c_nationkey, ' c JOIN c.box.lid l WHERE l.kind = ', c_custkey,
         ' AND day > :d GROUP BY c.day HAVING count(c.gone) > 1) AND c.seg = ''c.no'' ORDER BY c.', if(c_custkey % 2 = 0, 'rank', 'from')) query_text""",

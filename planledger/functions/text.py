@@ -106,10 +106,9 @@ _CLAUSE = "(?:where|group|order|having|from|set|union|limit|and|or|on)"
 
 def readable(col: Column) -> Column:
     """Whether brackets and quotes of a statement pair up and no clause is empty."""
-    masked = mask_literals(F.lower(col))
     # Whole words only: in ``m.from`` and ``group.x`` they are steps of a name.
     empty = rf"(?:(?<![\w.])(?:from|where|update|set|join|select|and|or|by)\b(?!\.)|,)\s*+(?:[,);]|{_CLAUSE}\b(?!\.)|$)"
-    return ~(F.contains(masked, F.lit("'")) | pair_brackets(masked, NEAR).rlike(r"[()]") | masked.rlike(empty))
+    return let(mask_literals(F.lower(col)), lambda m: ~(F.contains(m, F.lit("'")) | pair_brackets(m, NEAR).rlike(r"[()]") | m.rlike(empty)))
 
 
 def first_table(col: Column) -> Column:

@@ -38,13 +38,15 @@ def _measured(words: Column) -> Column:
         br = F.when(x["w"].isin("(", ")"), x["w"])
         return F.struct(i.alias("i"), x["w"].alias("text"), br.alias("br"), F.when(br == ")", x["d"] + 1).when(br == "(", x["d"]).alias("key"))
 
-    return F.transform(F.arrays_zip(words.alias("w"), structure.running(steps, lambda a, b: a + b).alias("d")), element)
+    return F.transform(F.arrays_zip(words.alias("w"), structure.running_sums(steps).alias("d")), element)
 
 
 def _blocks(found: Column) -> Column:
+    def opens(t: Column) -> Column:
+        return (t["br"] == "(") & t["partner"].isNotNull() & F.get(found, t["i"] + 1)["text"].isin("select", "with")
+
     def outer(t: Column) -> Column:
-        opens = (t["br"] == "(") & t["partner"].isNotNull() & F.get(found, t["i"] + 1)["text"].isin("select", "with")
-        before = F.when(opens, t["i"]).when((t["br"] == ")") & t["partner"].isNotNull(), t["partner"] - 1).otherwise(t["i"] - 1)
+        before = F.when(opens(t), t["i"]).when((t["br"] == ")") & t["partner"].isNotNull(), t["partner"] - 1).otherwise(t["i"] - 1)
         return F.greatest(before, F.lit(NOWHERE))
 
     # A closing bracket is of its partner's block, an opening one of the block around it.
@@ -56,28 +58,35 @@ def _blocks(found: Column) -> Column:
             x["t"]["text"].isin(*SET_OPERATIONS).cast("int").alias("branch"),
         )
 
-    def join(a: Column, b: Column) -> Column:
-        same = a["block"] == b["block"]
-        return F.struct(
-            b["block"].alias("block"),
-            b["i"].alias("i"),
-            F.coalesce(b["clause"], F.when(same, a["clause"])).alias("clause"),
-            (b["branch"] + F.when(same, a["branch"]).otherwise(0)).alias("branch"),
-        )
-
     def numbered(block: Column) -> Column:
         around = F.concat(F.array(F.lit(NOWHERE)), block)
         zipped = F.arrays_zip(found.alias("t"), block.alias("block"), F.slice(around, F.lit(1), F.size(block)).alias("around"))
-        carried = structure.running(F.sort_array(F.transform(zipped, own)), join)
-        return F.sort_array(F.transform(carried, lambda c: F.struct(c["i"].alias("i"), c["block"].alias("block"), c["clause"].alias("clause"), c["branch"].alias("branch"))))
+        return let(F.sort_array(F.transform(zipped, own)), carried)
+
+    # In order of blocks: the last clause word behind a block's beginning, and the set operations since then.
+    def carried(order: Column) -> Column:
+        begins = lambda x, k: F.coalesce(F.get(order, k - 1)["block"] != x["block"], F.lit(True))
+        marks = structure.running_greatest(F.transform(order, lambda x, k: F.when(x["clause"].isNotNull() | begins(x, k), k).otherwise(0)))
+        firsts = structure.running_greatest(F.transform(order, lambda x, k: F.when(begins(x, k), k).otherwise(0)))
+        passed = structure.running_sums(F.transform(order, lambda x: x["branch"]))
+        counted = F.struct(firsts.alias("first"), passed.alias("passed"))
+        branches = let(counted, lambda c: F.transform(c["passed"], lambda n, k: n - F.when(F.get(c["first"], k) > 0, F.get(c["passed"], (F.get(c["first"], k) - 1).cast("int"))).otherwise(0)))
+        plain = F.transform(order, lambda x: F.lit(0).cast("bigint"))
+        branch = F.when(F.exists(order, lambda x: x["branch"] > 0), branches).otherwise(plain)
+
+        def one(x: Column) -> Column:
+            return F.struct(x["t"]["i"].alias("i"), x["t"]["block"].alias("block"), F.get(order, x["mark"].cast("int"))["clause"].alias("clause"), x["branch"].cast("int").alias("branch"))
+
+        return F.sort_array(F.transform(F.arrays_zip(order.alias("t"), marks.alias("mark"), branch.alias("branch")), one))
 
     def whole(x: Column) -> Column:
         closes = F.get(found, x["c"]["block"])["partner"]
         token = F.struct(*(x["t"][n].alias(n) for n in ("i", "text", "br", "partner")), x["c"]["block"].alias("begin"), F.coalesce(closes, F.lit(_FAR)).alias("end"))
         return token.withField("branch", x["c"]["branch"]).withField("clause", x["c"]["clause"])
 
-    carried = let(structure.follow(F.transform(found, outer)), numbered)
-    return F.transform(F.arrays_zip(found.alias("t"), carried.alias("c")), whole)
+    # Without a query in brackets there is one block.
+    blocks = F.when(F.exists(found, opens), structure.follow(F.transform(found, outer))).otherwise(F.transform(found, lambda t: F.lit(NOWHERE)))
+    return F.transform(F.arrays_zip(found.alias("t"), let(blocks, numbered).alias("c")), whole)
 
 
 # Words that are no table, alias or column.

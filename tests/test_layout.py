@@ -63,3 +63,18 @@ def test_pick_rows_are_not_broadcast(spark):
     """Written tables compress well, so that their file sizes say little: only statistics and hot keys are broadcast."""
     plan = plan_of(spark, "e2e_recommend")
     assert "BuildLeft" not in plan and "SortMergeJoin [stmt_id" in plan
+
+
+def test_statements_of_customers_are_dealt_out(spark):
+    assert "RoundRobinPartitioning" in plan_of(spark, "e10_scoped_refs")
+
+
+def test_blocks_need_no_running_structures(spark):
+    """Brackets, clauses and branches of a statement come from running numbers."""
+    from planledger.functions import tokens
+
+    text = "select a from t union select b from (select c from u union select d from v where x) w where y in (1)"
+    row = spark.createDataFrame([(text,)], "q string").select(tokens.tokens(F.col("q")).alias("t"))
+    assert "zip_with" in row._jdf.queryExecution().executedPlan().toString()
+    got = [(t.text, t.begin, t.branch, t.clause) for t in row.first().t if t.text in "abcdtuvwxy"]
+    assert got == [("a", -1, 0, "select"), ("t", -1, 0, "from"), ("b", -1, 1, "select"), ("c", 8, 0, "select"), ("u", 8, 0, "from"), ("d", 8, 1, "select"), ("v", 8, 1, "from"), ("x", 8, 1, "where"), ("w", -1, 1, "from"), ("y", -1, 1, "where")]
