@@ -69,6 +69,11 @@ def test_statements_of_customers_are_dealt_out(spark):
     assert "RoundRobinPartitioning" in plan_of(spark, "e10_scoped_refs")
 
 
+def test_plan_nodes_converts_only_what_it_returns(spark):
+    plan = plan_of(spark, "h1_plan_nodes")
+    assert "Heap Fetches" in plan and "Hash Buckets" not in plan
+
+
 def test_blocks_need_no_running_structures(spark):
     """Brackets, clauses and branches of a statement come from running numbers."""
     from planledger.functions import tokens
