@@ -138,7 +138,7 @@ def blank_comments(col: Column) -> Column:
     def blank(token: Column) -> Column:
         return F.when(F.startswith(token, F.lit("/")), F.regexp_replace(token, r"[^\n]", " ")).otherwise(token)
 
-    return F.when(F.contains(col, F.lit("/")), _each(col, JAVA_OPAQUE, blank)).otherwise(col)
+    return let(col, lambda c: F.when(F.contains(c, F.lit("/")), _each(c, JAVA_OPAQUE, blank)).otherwise(c))
 
 
 def mask_source(col: Column) -> Column:
