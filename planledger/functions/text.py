@@ -49,20 +49,23 @@ def string_literals(col: Column) -> Column:
 
 def mask_literals(col: Column) -> Column:
     """The text with its n-th quoted string replaced by a numbered mark."""
-    parts = split_at(col, SQL_STRING)
-    marked = F.transform(
-        parts,
-        lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(LIT_OPEN), (i - 1).cast("string"), F.lit(LIT_CLOSE), p)),
-    )
-    return F.array_join(marked, "")
+
+    def masked(whole: Column) -> Column:
+        marked = F.transform(
+            split_at(whole, SQL_STRING),
+            lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(LIT_OPEN), (i - 1).cast("string"), F.lit(LIT_CLOSE), p)),
+        )
+        return F.when(F.contains(whole, F.lit("'")), F.array_join(marked, "")).otherwise(whole)
+
+    return let(col, masked)
 
 
 def unmask(col: Column, literals: Column) -> Column:
     """Undo every mask: numbered marks, argument brackets, BETWEEN's AND."""
 
-    def restored(known: Column) -> Column:
+    def restored(whole: Column, known: Column) -> Column:
         return F.transform(
-            F.split(col, LIT_OPEN),
+            F.split(whole, LIT_OPEN),
             lambda p, i: F.when(i == 0, p).otherwise(
                 F.concat(
                     F.get(known, F.substring_index(p, LIT_CLOSE, 1).cast("int")),
@@ -71,18 +74,22 @@ def unmask(col: Column, literals: Column) -> Column:
             ),
         )
 
-    return F.translate(
-        F.array_join(let(literals, restored), ""), ARG_OPEN + ARG_CLOSE + GROUP_OPEN + GROUP_CLOSE, "()"
-    )
+    # Most sides of comparisons hold no literal.
+    def whole(c: Column) -> Column:
+        return F.when(F.contains(c, F.lit(LIT_OPEN)), F.array_join(let(literals, lambda known: restored(c, known)), "")).otherwise(c)
+
+    return F.translate(let(col, whole), ARG_OPEN + ARG_CLOSE + GROUP_OPEN + GROUP_CLOSE, "()")
 
 
 def clean_query(col: Column) -> Column:
     """Query text made fit for clause extraction (lower case, quotes, long paths, arrays, short FROM)."""
     text = F.replace(F.replace(F.lower(col), F.lit('"'), F.lit("")), F.lit("\\'"), F.lit("'"))
-    text = F.regexp_replace(text, r"((?:[^\s.]*+\.){4,}+[^\s.]*+)", '"$1"')
+    # Patterns are tried where a text has the signs that they ask for.
+    dots = lambda t: F.octet_length(t) - F.octet_length(F.replace(t, F.lit("."), F.lit("")))
+    text = let(text, lambda t: F.when(dots(t) >= 4, F.regexp_replace(t, r"((?:[^\s.]*+\.){4,}+[^\s.]*+)", '"$1"')).otherwise(t))
     # An item is a dotted name and a number in brackets; what is around it, blank or sign, stays.
-    text = F.regexp_replace(text, rf"\b({_DOTTED})\[\s*+(\d+)\s*+\]", ARRAY_PREFIX + "$1_$2")
-    text = F.when(F.startswith(text, F.lit("from ")), F.concat(F.lit("select * "), text)).otherwise(text)
+    text = let(text, lambda t: F.when(F.contains(t, F.lit("[")), F.regexp_replace(t, rf"\b({_DOTTED})\[\s*+(\d+)\s*+\]", ARRAY_PREFIX + "$1_$2")).otherwise(t))
+    text = let(text, lambda t: F.when(F.startswith(t, F.lit("from ")), F.concat(F.lit("select * "), t)).otherwise(t))
     return F.replace(text, F.lit(" join fetch "), F.lit(" join "))
 
 
@@ -97,7 +104,7 @@ def restore_arrays(col: Column) -> Column:
 def statement_kind(col: Column) -> Column:
     """select, update or delete; anything else is failed. A text that starts with FROM or WITH is a select."""
     verb = F.lower(F.regexp_extract(col, r"^[\s(]*(\w+)", 1))
-    return F.when(verb.isin("from", "with"), "select").when(verb.isin("select", "update", "delete"), verb).otherwise(F.lit("failed"))
+    return let(verb, lambda v: F.when(v.isin("from", "with"), "select").when(v.isin("select", "update", "delete"), v).otherwise(F.lit("failed")))
 
 
 # Words that begin a clause: none of them can stand where a table, a column or a condition must.
@@ -107,7 +114,7 @@ _CLAUSE = "(?:where|group|order|having|from|set|union|limit|and|or|on)"
 def readable(col: Column) -> Column:
     """Whether brackets and quotes of a statement pair up and no clause is empty."""
     # Whole words only: in ``m.from`` and ``group.x`` they are steps of a name.
-    empty = rf"(?:(?<![\w.])(?:from|where|update|set|join|select|and|or|by)\b(?!\.)|,)\s*+(?:[,);]|{_CLAUSE}\b(?!\.)|$)"
+    empty = rf"(?=[,fwujsabo])(?:(?<![\w.])(?:from|where|update|set|join|select|and|or|by)\b(?!\.)|,)\s*+(?:[,);]|{_CLAUSE}\b(?!\.)|$)"
     return let(mask_literals(F.lower(col)), lambda m: ~(F.contains(m, F.lit("'")) | pair_brackets(m, NEAR).rlike(r"[()]") | m.rlike(empty)))
 
 

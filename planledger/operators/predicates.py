@@ -12,19 +12,23 @@ _KEYWORDS = "and|or|not|where|on|between|having|when|then|else|by|select|from|se
 _BARE_COLUMN = r"^[a-z_][\w$]*(?:\.[a-z_][\w$]*)*$"
 _VALUE = rf"^(?:{text.LIT_OPEN}[0-9]+{text.LIT_CLOSE}|[-+]?[0-9][0-9.]*|:\w+|\?[0-9]*|true|false)$"
 _COMPARE = r"^(.*?)\s*(<>|!=|<=|>=|=|<|>|\bnot\s+i?like\b|\bi?like\b)\s*(.*)$"
-_TAIL = r"\b(?:group\s+by|order\s+by|having|limit|offset|for\s+update)\b.*$"
-_SET_OPERATION = r"\b(?:union(?:\s+all)?|intersect(?:\s+all)?|except(?:\s+all)?|minus)\b"
+_TAIL = r"\b(?=[gohlf])(?:group\s+by|order\s+by|having|limit|offset|for\s+update)\b.*$"
+_SET_OPERATION = r"\b(?=[uiem])(?:union(?:\s+all)?|intersect(?:\s+all)?|except(?:\s+all)?|minus)\b"
 
 
 def _even(masked: Column) -> Column:
     """Masked text with single blanks, CASE reduced to a mark, and no blank between a function and its bracket."""
-    return text.replace_all(
-        masked,
-        (r"\s+", " "),
-        (r"\bcase\b(?:(?!\bcase\b|\bend\b).)*+\bend\b", NOTHING),
-        (rf"\b((?!(?:{_KEYWORDS}|in|any|all|some|exists)\b)[a-z_][\w.$]*) \(", "$1("),
-        (rf"\b({_KEYWORDS}|in|any|all|some|exists)\(", "$1 ("),
-    )
+    # A single blank is left alone: most are.
+    plain = text.replace_all(masked, (r"\s{2,}|[^\S ]", " "), (r"\bcase\b(?:(?!\bcase\b|\bend\b).)*+\bend\b", NOTHING))
+
+    def called(p: Column) -> Column:
+        return text.replace_all(
+            p,
+            (rf"\b((?!(?:{_KEYWORDS}|in|any|all|some|exists)\b)[a-z_][\w.$]*) \(", "$1("),
+            (rf"\b({_KEYWORDS}|in|any|all|some|exists)\(", "$1 ("),
+        )
+
+    return structure.let(plain, lambda p: F.when(F.contains(p, F.lit("(")), called(p)).otherwise(p))
 
 
 def _unwrap(even: Column) -> Column:
@@ -47,8 +51,8 @@ def _unwrap(even: Column) -> Column:
 
     # Inside out, one level per round, until nothing changes; at most as many levels as opening brackets.
     def level(acc: Column, _round: Column) -> Column:
-        new = innermost(acc["text"])
-        return F.when(acc["over"], acc).otherwise(F.struct(new.alias("text"), (new == acc["text"]).alias("over")))
+        new = structure.let(innermost(acc["text"]), lambda n: F.struct(n.alias("text"), ((n == acc["text"]) | ~F.contains(n, F.lit("("))).alias("over")))
+        return F.when(acc["over"], acc).otherwise(new)
 
     start = F.struct(even.alias("text"), (~F.contains(even, F.lit("("))).alias("over"))
     out = F.aggregate(F.sequence(F.lit(0), _chars(even, "(")), start, level, lambda acc: acc["text"])
@@ -97,32 +101,17 @@ def extract_predicates(statements: DataFrame, col: str = "query_text") -> DataFr
     # Group depth before a piece: groups opened minus groups closed, summed up piece by piece.
     upto = structure.running(F.transform("_pieces", lambda p: _chars(p, GROUP_OPEN) - _chars(p, GROUP_CLOSE)), lambda a, b: a + b)
     before = F.slice(F.concat(F.array(F.lit(0)), upto), F.lit(1), F.size("_pieces"))
-    step = step.withColumn("_rows", F.arrays_zip(F.col("_pieces").alias("piece"), before.alias("before")))
+    # Each piece is taken apart once, inside the explosion: a filter behind it, as on ``eligible_rank``, finds
+    # columns there, while before it the optimizer would match every pattern again for the filter.
+    zipped = F.arrays_zip(F.col("_pieces").alias("piece"), before.alias("before"))
     step = step.select(
         *statements.columns,
         "_literals",
         "_branch_count",
         "branch",
-        F.posexplode_outer("_rows").alias("pred_ord", "_row"),
-    )
-    piece = F.regexp_replace(F.col("_row.piece"), f"[{GROUP_OPEN}{GROUP_CLOSE}]", " ")
-    piece = F.regexp_replace(F.trim(piece), r"^(?:not )+", "")
-    opened = _chars(F.regexp_extract("_row.piece", rf"^[\s{GROUP_OPEN}]*", 0), GROUP_OPEN)
-    step = step.withColumn("_piece", F.trim(piece)).withColumn("_depth", F.col("_row.before") + opened)
-    step = step.filter(F.coalesce(F.col("_piece"), F.lit("")) != "")
-    other = F.regexp_extract("_piece", r"\b(not between|between|not in|in|is|exists)\b", 1)
-    compared = ~F.col("_piece").rlike(r"\b(?:between|in|is)\b") & F.col("_piece").rlike(_COMPARE)
-    step = (
-        step.withColumn("_compared", compared)
-        .withColumn("op", F.when(F.col("_compared"), F.regexp_extract("_piece", _COMPARE, 2)).otherwise(other))
-        .withColumn(
-            "_left",
-            F.when(F.col("_compared"), F.regexp_extract("_piece", _COMPARE, 1)).otherwise(
-                F.regexp_extract("_piece", r"^(.*?)\s*\b(?:not between|between|not in|in|is)\b", 1)
-            ),
-        )
-        .withColumn("_right", F.when(F.col("_compared"), F.regexp_extract("_piece", _COMPARE, 3)))
+        F.posexplode_outer(F.transform(zipped, _comparison)).alias("pred_ord", "_row"),
     )
+    step = step.select("*", "_row.*").filter(F.coalesce(F.col("_piece"), F.lit("")) != "")
     step = step.withColumn("_left_name", _column_name(F.col("_left"))).withColumn("_right_name", _column_name(F.col("_right")))
     ranked = F.col("_compared") & ~F.col("op").contains("like") & (F.col("_depth") == 0)
     left_value, right_value = F.col("_left").rlike(_VALUE), F.col("_right").rlike(_VALUE)
@@ -146,6 +135,34 @@ def extract_predicates(statements: DataFrame, col: str = "query_text") -> DataFr
     )
 
 
+def _comparison(row: Column) -> Column:
+    """A piece of a WHERE clause in its parts: (_piece, _depth, _compared, op, _left, _right)."""
+    plain = F.regexp_replace(row["piece"], f"[{GROUP_OPEN}{GROUP_CLOSE}]", " ")
+    opened = _chars(F.regexp_extract(row["piece"], rf"^[\s{GROUP_OPEN}]*", 0), GROUP_OPEN)
+    other = r"\b(not between|between|not in|in|is|exists)\b"
+
+    def sides(piece: Column) -> Column:
+        # One match gives all three parts; what follows a last line break belongs to none.
+        cut = F.split(F.regexp_replace(piece, _COMPARE + "(?s:.*)", structure.CUT.join(("$1", "$2", "$3"))), structure.CUT)
+        slow = F.when(piece.rlike(_COMPARE), F.array(*[F.regexp_extract(piece, _COMPARE, k) for k in (1, 2, 3)]))
+        return F.when(piece.rlike(r"\b(?:between|in|is)\b"), F.lit(None)).when(F.contains(piece, F.lit(structure.CUT)), slow).otherwise(F.when(F.size(cut) == 3, cut))
+
+    def parts(piece: Column) -> Column:
+        return structure.let(
+            sides(piece),
+            lambda s: F.struct(
+                piece.alias("_piece"),
+                (row["before"] + opened).alias("_depth"),
+                F.when(piece.isNotNull(), s.isNotNull()).alias("_compared"),
+                F.when(s.isNotNull(), F.get(s, F.lit(1))).otherwise(F.regexp_extract(piece, other, 1)).alias("op"),
+                F.when(s.isNotNull(), F.get(s, F.lit(0))).otherwise(F.regexp_extract(piece, r"^(.*?)\s*\b(?:not between|between|not in|in|is)\b", 1)).alias("_left"),
+                F.get(s, F.lit(2)).alias("_right"),
+            ),
+        )
+
+    return structure.let(F.trim(F.regexp_replace(F.trim(plain), r"^(?:not )+", "")), parts)
+
+
 def _column_name(side: Column) -> Column:
     """One side of a comparison; a cast stands for its column."""
     inner = F.regexp_extract(side, rf"^cast{ARG_OPEN}\s*([a-z_][\w.$]*)\s+as\b[^{ARG_CLOSE}]*{ARG_CLOSE}", 1)

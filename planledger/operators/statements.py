@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import structure, text
 
 
 def clean_for_parse(df: DataFrame, col: str = "query_text", into: str = "clean_text") -> DataFrame:
@@ -38,6 +38,11 @@ def dedupe(call_sites: DataFrame, order: Sequence[str] = ("path", "call_ord")) -
     sites reaches its reducer as one row per task. ``stmt_id`` stays unique for billions of
     texts, unlike a 64-bit hash. A text that can't be read is failed, whatever its verb.
     """
+
+    # Bound to a variable: a filter on the kind would clean the text for each mention of it.
+    def kind(clean: Column) -> Column:
+        return F.when(text.readable(clean), text.statement_kind(clean)).otherwise(F.lit("failed"))
+
     return (
         call_sites.groupBy(F.lower("query_text").alias("query_text"), "is_dynamic")
         .agg(
@@ -54,9 +59,8 @@ def dedupe(call_sites: DataFrame, order: Sequence[str] = ("path", "call_ord")) -
             F.col("_last.path").alias("owner_path"),
             "_text",
         )
-        .withColumn("_clean", text.clean_query(F.col("_text")))
-        .withColumn("kind", F.when(text.readable(F.col("_clean")), text.statement_kind(F.col("_clean"))).otherwise(F.lit("failed")))
-        .drop("_clean", "_text")
+        .withColumn("kind", structure.let(text.clean_query(F.col("_text")), kind))
+        .drop("_text")
     )
 
 

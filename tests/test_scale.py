@@ -93,3 +93,30 @@ def test_crowded_builder_is_gathered_by_blocks(spark):
     assert texts["hot"] == (1500, "".join(f"<{k}>" for k in range(1500))) and len(texts) == 101
     plan = folded._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [v" in plan and "_block" in plan
+
+
+def test_a_filter_on_the_kind_cleans_a_text_once(spark):
+    from planledger.operators import statements
+
+    calls = spark.createDataFrame([("p", 1, "select a from b", False)], "path string, call_ord int, query_text string, is_dynamic boolean")
+    plan = statements.dedupe(calls).filter("kind <> 'failed'").drop("kind")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{4,}+") == 1
+
+
+def test_a_filter_on_predicates_matches_no_pattern_again(spark):
+    from planledger.operators import predicates
+
+    stmts = spark.createDataFrame([("s", "select a from b where c = 1")], "stmt_id string, query_text string")
+    plan = predicates.extract_predicates(stmts).filter("eligible_rank")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert filters and not any("RLIKE" in line or "regexp" in line for line in filters)
+
+
+def test_comparisons_hold_cut_characters_and_line_ends(spark):
+    from planledger.operators import predicates
+
+    rows = [("s", "select a from b where c\u001f = 1 and d = 2"), ("t", "select a from b where c = 1 and d  >= 'x''y' and (e) \t in (1, 2)\n or not f  not like 'g'")]
+    stmts = spark.createDataFrame(rows, "stmt_id string, query_text string")
+    got = predicates.extract_predicates(stmts).orderBy("stmt_id", "pred_ord").select("op", "left_side", "right_side").collect()
+    assert [tuple(r) for r in got[:2]] == [("=", "c\u001f", "1"), ("=", "d", "2")]
+    assert [tuple(r) for r in got[2:]] == [("=", "c", "1"), (">=", "d", "'x''y'"), ("in", "(e)", None), ("not like", "f", "'g'")]
