@@ -120,3 +120,27 @@ def test_comparisons_hold_cut_characters_and_line_ends(spark):
     got = predicates.extract_predicates(stmts).orderBy("stmt_id", "pred_ord").select("op", "left_side", "right_side").collect()
     assert [tuple(r) for r in got[:2]] == [("=", "c\u001f", "1"), ("=", "d", "2")]
     assert [tuple(r) for r in got[2:]] == [("=", "c", "1"), (">=", "d", "'x''y'"), ("in", "(e)", None), ("not like", "f", "'g'")]
+
+
+def test_typed_walk_equals_the_walk_over_variants(spark):
+    """Deeper than one conversion reads, and with nodes that are no objects; the query hands out no subtree."""
+    import json
+
+    from planledger import catalog
+    from planledger.plans import nodes
+    from planledger.sources.plans import read_pg_plans
+
+    deep = {"Node Type": "Seq Scan", "Total Cost": 1, "Relation Name": "low", "Filter": "f"}
+    for k in range(15):
+        deep = {"Node Type": f"n{k}", "Total Cost": k % 4 / 4, "Plans": [{"Node Type": "Leaf", "Total Cost": "0.5"}, deep, {"Plans": 3}]}
+    plans = [deep, {"Plans": [5, None, {"Plans": []}, {"Plans": {"a": 1}}]}, 7, None, {"Total Cost": [1], "Plans": [{}] * 12}]
+    docs = spark.createDataFrame([(i, json.dumps([{"Plan": p}])) for i, p in enumerate(plans)] + [(9, "{bad"), (10, None), (11, "[]")], "plan_id int, json string")
+    read = read_pg_plans(docs, "json").drop("json")
+    cols = ["plan_id", "path", "parent_path", "depth", "node_ord"]
+    want = [tuple(r) for r in nodes.flatten_plan(read).select(*cols).orderBy("plan_id", "node_ord").collect()]
+    assert [tuple(r) for r in nodes.plan_nodes(read, ()).select(*cols).orderBy("plan_id", "node_ord").collect()] == want
+    assert max(r[3] for r in want) == 15 and {r[0] for r in want} == {0, 1, 2, 3, 4}
+    picked = {r.plan_id: r for r in nodes.document_picks(read).collect()}
+    assert set(picked) == {0, 1, 2, 3, 4} and picked[0].costliest == ("low", "f")
+    plan = catalog.queries()["h2_flatten_plan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.Plans" not in plan
