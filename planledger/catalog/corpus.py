@@ -8,19 +8,17 @@ from .. import adapters
 from ..operators import extract
 from ..session import work_dir
 from ..sources import corpus as src
-from ..sources.sinks import write_report
+from ..sources.sinks import write_files, write_report
 from ..sources.tables import table
 from ..streaming.incremental import scan_new_files
 
 
 def scan_corpus(spark, sf):
     """Pages are written as one file each, then scanned like a source tree."""
-    folder = work_dir(spark, "tree")
-    pages = table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("project"), F.col("html").alias("value"))
-    pages.write.partitionBy("project").option("lineSep", "\n").text(folder)
-    files = src.scan_corpus(spark, [folder], glob="*.txt")
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), F.col("html").alias("value"))
+    files = src.scan_corpus(spark, [write_files(pages, work_dir(spark, "tree"))], glob="*.txt")
     return files.select(
-        F.regexp_extract("path", r"project=p(\d+)", 1).cast("bigint").alias("page_id"),
+        F.regexp_extract("path", r"/(?:name=)?p(\d+)(?:\.txt$|/)", 1).cast("bigint").alias("page_id"),
         "size",
         F.md5(F.encode(F.regexp_replace("content", r"\n$", ""), "utf-8")).alias("content_md5"),
     )

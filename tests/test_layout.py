@@ -83,3 +83,34 @@ def test_blocks_need_no_running_structures(spark):
     assert "zip_with" in row._jdf.queryExecution().executedPlan().toString()
     got = [(t.text, t.begin, t.branch, t.clause) for t in row.first().t if t.text in "abcdtuvwxy"]
     assert got == [("a", -1, 0, "select"), ("t", -1, 0, "from"), ("b", -1, 1, "select"), ("c", 8, 0, "select"), ("u", 8, 0, "from"), ("d", 8, 1, "select"), ("v", 8, 1, "from"), ("x", 8, 1, "where"), ("w", -1, 1, "from"), ("y", -1, 1, "where")]
+
+
+def test_pages_are_written_without_a_folder_each(spark, tmp_path, monkeypatch):
+    """Tasks write the files: a process started for each file, or a folder of its own, would take most of the time."""
+    from planledger.catalog import corpus
+    from planledger.sources import sinks
+
+    pages = [(k, f"<p>é {k}\n</p>" * (k % 4)) for k in range(60)] + [(7, "<p>again</p>")]
+    spark.createDataFrame(pages, "page_id long, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(corpus, "work_dir", lambda *_: str(tmp_path / "tree"))
+    monkeypatch.setattr(sinks, "FOLDERS", 4)
+    got = {r.page_id: r.size for r in corpus.scan_corpus(spark, str(tmp_path)).collect()}
+    text = {k: [t for i, t in pages if i == k] for k, _ in pages}
+    assert got == {k: sum(len(t.encode()) + 1 for t in ts) for k, ts in text.items()}
+    assert len(list((tmp_path / "tree").iterdir())) <= 4
+    assert sorted(p.name for p in (tmp_path / "tree").rglob("*") if p.is_file()) == sorted(f"p{k}.txt" for k in range(60))
+
+
+def test_rows_as_files(spark, tmp_path, monkeypatch):
+    """Batches cut a name's rows; null texts are empty lines; without a mounted file system Spark's writer makes the files."""
+    from planledger.sources import corpus, sinks
+
+    monkeypatch.setattr(sinks, "BATCH_ROWS", 2)
+    rows = spark.createDataFrame([("a", f"{k}") for k in range(5)] + [("b", None), ("c", "x\ny")], "name string, value string")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tests.link./in", f"file://{tmp_path}")
+    for top in (f"file://{tmp_path}/a", "viewfs://tests/in/b"):
+        folder = sinks.write_files(rows, top)
+        found = corpus.scan_corpus(spark, [folder], glob="*.txt")
+        assert sorted(r.content for r in found.collect()) == ["\n", "0\n1\n2\n3\n4\n", "x\ny\n"]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
