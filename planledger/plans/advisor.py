@@ -157,9 +157,12 @@ def advise(scores: DataFrame, plan_picks: DataFrame, predicates: DataFrame, thre
 def advise_documents(picked: DataFrame, predicates: DataFrame, threshold: int = PRIORITY_THRESHOLD, keep: bool = True):
     """:func:`advise` for the rows of ``document_picks``: scores and picks meet without a join.
 
-    ``keep`` writes the matched plans once, so that each document is parsed a single time.
+    ``keep`` writes the picks before hot statements are counted among them, so that each document is
+    parsed a single time, and the matched plans.
     """
-    matched = match_picks(picked, predicates)
+    wanted = [c for c in picked.columns if c in ("plan_id", "stmt_id", "costliest", "slowest", "startup_cost", "seq_scan_times", *METRIC_ORDER)]
+    picked = picked.select(*wanted)
+    matched = match_picks(written(picked, "document-picks") if keep else picked, predicates)
     scored = document_scores(written(matched, "matched-plans") if keep else matched)
     return _report(document_pick_rows(scored), score_stats(scored), threshold)
 

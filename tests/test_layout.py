@@ -114,3 +114,13 @@ def test_rows_as_files(spark, tmp_path, monkeypatch):
         found = corpus.scan_corpus(spark, [folder], glob="*.txt")
         assert sorted(r.content for r in found.collect()) == ["\n", "0\n1\n2\n3\n4\n", "x\ny\n"]
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+
+
+def test_documents_are_parsed_once_for_advice(spark, monkeypatch):
+    """Counting the statements of the picks must not parse the documents again."""
+    from planledger.plans import advisor
+
+    plans, keep = [], advisor.written
+    monkeypatch.setattr(advisor, "written", lambda df, purpose: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, purpose))
+    rows = catalog.queries()["i7_recommend_from_documents"](spark, SF)
+    assert sum(p.count("parseJson") for p in [*plans, rows._jdf.queryExecution().executedPlan().toString()]) == 1
